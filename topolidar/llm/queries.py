@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from topolidar.llm import bpe, separators
 from topolidar.llm.quality import quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +23,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _multi_bpe() -> tuple[str, str]:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@_query
+def op1_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    separator = 50_256  # the first id that the ranks leave free
+    blocks, order = separators.pack(bpe.encode(_table(spark, sf_dir, "documents"), *_multi_bpe()), separator)
+    return separators.document_counts(blocks, separator).join(order, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
+
+
+@_query
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(_table(spark, sf_dir, "documents"), *_multi_bpe())
+    decoded = bpe.decode(encoded, *_multi_bpe())
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @_query
 def op10_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents")).drop("repeats")
