@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from topolidar.llm import bpe, separators
 from topolidar.llm.quality import quality_rules
+from topolidar.llm.simhash import simhash_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,6 +37,11 @@ def op1_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separators.document_counts(blocks, separator).join(order, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
 
 
+@_query
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(_table(spark, sf_dir, "documents"), words=4, radius=4)
+
+
 @_query
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(_table(spark, sf_dir, "documents"), *_multi_bpe())
