@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from topolidar.llm.batches import buffers, map_slices, text_table
 
 #: Pretokens that a worker remembers; the memory this needs doesn't grow with the table.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 ENCODED = "doc_id long, ids array<int>, char_starts array<int>, char_stops array<int>"
 
@@ -163,7 +163,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
         lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (flat, *chars)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *lists], names=["doc_id", "ids", "char_starts", "char_stops"])
 
-    return map_slices(text_table(df, id_col, text_col), "text", ENCODED, step)
+    return map_slices(text_table(df, id_col, text_col), "text", ENCODED, step, 2 << 20)
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

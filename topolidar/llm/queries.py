@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topolidar.llm import bpe, separators
+from topolidar.llm import bpe, language_model, separators
 from topolidar.llm.contamination import contamination
 from topolidar.llm.quality import quality_rules
 from topolidar.llm.simhash import simhash_components
@@ -76,6 +76,15 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@_query
+def op9_log_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = language_model.held_out(F.col("doc_id"))
+    model = language_model.train(docs.where(~out))
+    scored = language_model.score(docs, model)
+    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 @_query
 def op10_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents")).drop("repeats")
