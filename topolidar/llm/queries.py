@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topolidar.llm import bpe, language_model, separators
+from topolidar.llm.chunks import dedup_substrings
 from topolidar.llm.contamination import contamination
 from topolidar.llm.quality import quality_rules
 from topolidar.llm.simhash import simhash_components
@@ -38,6 +39,12 @@ def op1_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separators.document_counts(blocks, separator).join(order, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
 
 
+@_query
+def op2_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_substrings(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chunks", F.size("removed").cast("long").alias("n_removed"), "removed_bytes", (F.col("removed_bytes") > 0).alias("repeats"), "text", "removed")
+
+
 @_query
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"), words=4, radius=4)
