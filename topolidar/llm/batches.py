@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Bytes of text that one vectorised step holds at most, unless a single text is longer.
 SLICE_BYTES = 4 << 20
@@ -46,12 +47,20 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         start, before = stop, int(ends[stop - 1])
 
 
-def map_slices(df: DataFrame, column: str, schema: str, step: Callable[[pa.RecordBatch], pa.RecordBatch], most: int = SLICE_BYTES) -> DataFrame:
-    """``step`` over bounded pieces of every Arrow batch: one pass, no shuffle, memory bounded by a piece."""
+def map_texts(df: DataFrame, schema: str, step: Callable[[pa.RecordBatch], pa.RecordBatch], id_col: str, text_col: str, keep: Sequence[str] = (), most: int = SLICE_BYTES) -> DataFrame:
+    """``step`` over bounded pieces (doc_id, text) of every Arrow batch: one pass, no shuffle, memory bounded by a piece. It
+    gives ``schema``, a row for each of the piece's; the columns in ``keep`` follow, as they are."""
+    carried = [F.col(k).alias(f"keep_{i}") for i, k in enumerate(keep)]
+    rows = text_table(df, id_col, text_col, *carried)
+    made = _parse_datatype_string(schema).fields
+    out = StructType([*made, *(f for f in rows.schema.fields if f.name.startswith("keep_"))])
+
+    names, n = out.names, len(carried)
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            for piece in slices(batch, column, most):
-                yield step(piece)
+            for piece in slices(batch, "text", most):
+                own = step(piece)
+                yield pa.RecordBatch.from_arrays([*own.columns, *(piece.column(f"keep_{i}") for i in range(n))], names=names)
 
-    return df.mapInArrow(run, schema)
+    return rows.mapInArrow(run, out).select(*(f.name for f in made), *(F.col(f"keep_{i}").alias(k) for i, k in enumerate(keep)))

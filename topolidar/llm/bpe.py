@@ -9,14 +9,16 @@ import re
 import sys
 import types
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from topolidar.llm.batches import buffers, map_slices, text_table
+from topolidar.llm.batches import buffers, map_texts
 
 #: Pretokens that a worker remembers; the memory this needs doesn't grow with the table.
 REMEMBERED = 200_000
@@ -87,10 +89,9 @@ class BytePairs:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.split = Tokenizer.from_str(json), Splitter(pattern)
-        byte_of = {c: b for b, c in enumerate(byte_characters())}
-        spelled = {i: t for t, i in self.tokenizer.get_vocab().items()}
-        self.bytes_of = [bytes(map(byte_of.__getitem__, spelled[i])) if i in spelled else b"" for i in range(max(spelled) + 1)]
-        self.length_of = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
+        self.length_of = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.length_of[i] = len(token)  # a character for each byte
         self._forget()
 
     def _forget(self) -> None:
@@ -120,9 +121,12 @@ class BytePairs:
         ends = np.concatenate(([0], stops))[np.cumsum([len(p) for p in pieces], dtype=np.int64)] if pieces else np.zeros(0, np.int64)
         return flat, ends
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes of some ids; characters whose bytes are split over ids come out whole."""
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+
+def byte_strings(tokens: dict[str, int]) -> list[bytes]:
+    """The bytes of each id, by the reversed byte table; an id without a token has none."""
+    byte_of = {c: b for b, c in enumerate(byte_characters())}
+    spelled = {i: t for t, i in tokens.items()}
+    return [bytes(map(byte_of.__getitem__, spelled.get(i, ""))) for i in range(max(spelled) + 1)]
 
 
 def worker_state() -> types.ModuleType:
@@ -139,12 +143,12 @@ def byte_pairs(json: str, pattern: str) -> BytePairs:
     return kept[key]
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, char_starts, char_stops) for each row of ``df``: the ids of its whole text, without special tokens, and
+def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, ids, char_starts, char_stops) and the columns in ``keep`` for each row of ``df``: the ids of its whole text, without special tokens, and
     for each id the characters of the text that its bytes belong to (a character split over ids belongs to each).
 
-    A null or empty text has no ids. Repeated rows and null ids are rows like others; an empty table gives no rows; further
-    columns are not read. The text is cut into pretokens by ``pattern`` and each pretoken is encoded on its own, as the
+    A null or empty text has no ids. Repeated rows and null ids are rows like others; an empty table gives no rows; columns
+    outside ``keep`` are not read. The text is cut into pretokens by ``pattern`` and each pretoken is encoded on its own, as the
     rank files ask for. One pass, no shuffle; the vocabulary (a few MB, whatever the table) goes to the workers by broadcast.
     """
     json = df.sparkSession.sparkContext.broadcast(tokenizer_json(ranks_path))
@@ -163,22 +167,25 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
         lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (flat, *chars)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *lists], names=["doc_id", "ids", "char_starts", "char_stops"])
 
-    return map_slices(text_table(df, id_col, text_col), "text", ENCODED, step, 2 << 20)
+    return map_texts(df, ENCODED, step, id_col, text_col, keep, 2 << 20)
 
 
-def decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(doc_id, ids, decoded) for each row of ``df``: the bytes that its ids stand for. A null list counts as empty; an id
-    outside the vocabulary fails the job, as it can't come from ``encode``."""
-    json = df.sparkSession.sparkContext.broadcast(tokenizer_json(ranks_path))
+def decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids", keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, ids, decoded) and the columns in ``keep`` for each row of ``df``: the bytes that its ids stand for, in which
+    characters whose bytes are split over ids are whole again. A null list counts as empty; an id outside the vocabulary
+    fails the job, as it can't come from ``encode``."""
+    table = byte_characters()
+    strings = byte_strings({"".join(map(table.__getitem__, token)): i for token, i in read_ranks(ranks_path).items()})
+    sent = df.sparkSession.sparkContext.broadcast(strings)
 
     def run(found):
+        bytes_of = sent.value.__getitem__
         for batch in found:
-            coder = byte_pairs(json.value, pattern)
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                out = [coder.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else b"" for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
-
-    from pyspark.sql import functions as F
-
-    return df.select(F.col(id_col).alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                out = [b"".join(map(bytes_of, x.values.to_numpy(zero_copy_only=False).tolist())) if x.is_valid else b"" for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*part.schema.names, "decoded"])
+
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"), *(F.col(k).alias(f"keep_{i}") for i, k in enumerate(keep)))
+    made = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("decoded", BinaryType())]))
+    return made.select("doc_id", "ids", "decoded", *(F.col(f"keep_{i}").alias(k) for i, k in enumerate(keep)))

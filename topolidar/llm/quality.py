@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from topolidar.llm.batches import buffers, map_slices, text_table
+from topolidar.llm.batches import buffers, map_texts
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b"\t\n\x0b\x0c\r "
@@ -186,12 +187,12 @@ def _dup_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: QualityRules = QualityRules()) -> DataFrame:
-    """One row per row of ``df`` with the counts, the spans of repeats (in words) and the verdict ``kept``.
+def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: QualityRules = QualityRules(), keep: Sequence[str] = ()) -> DataFrame:
+    """One row per row of ``df`` with the counts, the spans of repeats (in words), the verdict ``kept`` and columns to keep.
 
     Words are runs of bytes other than the six ASCII spaces. A null or empty text has no words and fails; so does any text
     under ``min_words``. Rows with equal or null ids are judged each for itself. Ties don't arise: all counts are exact.
-    An empty table gives no rows; further columns of ``df`` are not read. One pass without a shuffle; a task holds a few
+    An empty table gives no rows; columns of ``df`` outside ``keep`` are not read. One pass without a shuffle; a task holds a few
     MB of text, or one text if that is longer.
     """
     symbol, space = np.zeros(256, bool), np.zeros(256, bool)
@@ -212,4 +213,4 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         return pa.RecordBatch.from_arrays([spans if k == "repeats" else pa.array(columns[k]) if k != "doc_id" else columns[k].cast(pa.int64()) for k in names], names=names)
 
-    return map_slices(text_table(df, id_col, text_col), "text", SCHEMA, step)
+    return map_texts(df, SCHEMA, step, id_col, text_col, keep)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topolidar.llm import shared
-from topolidar.llm.batches import map_slices, text_table, texts
+from topolidar.llm.batches import map_texts, texts
 from topolidar.llm.components import components
 
 BITS = 64
@@ -39,7 +39,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found = np.fromiter((fingerprint(t, words) for t in texts(batch.column("text"))), np.uint64, batch.num_rows)
         return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
-    return map_slices(text_table(df, id_col, text_col), "text", "doc_id long, fp long", step)
+    return map_texts(df, "doc_id long, fp long", step, id_col, text_col)
 
 
 def near_pairs(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
