@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topolidar.llm import bpe, language_model, separators
+from topolidar.llm import bpe, language_model, licenses, separators, tool_calls, toxicity
 from topolidar.llm.chunks import dedup_substrings
 from topolidar.llm.contamination import contamination
 from topolidar.llm.quality import quality_rules
@@ -45,6 +45,79 @@ def op2_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chunks", F.size("removed").cast("long").alias("n_removed"), "removed_bytes", (F.col("removed_bytes") > 0).alias("repeats"), "text", "removed")
 
 
+def _sql_licenses() -> str:
+    text = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    flowing = rf"regexp_replace({text}, '([^.!?\n\x20\x09\x0D])[\x20\x09\x0D]*\n[\x20\x09\x0D]*([^\n\x20\x09\x0D])', '\1 \2', 'g')"
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    ids = "MAP {" + ", ".join(f"{quote(k)}: {quote(v)}" for k, v in licenses.known_sentences().items()) + "}"
+
+    def known(source: str) -> str:
+        marked = f"regexp_replace(regexp_replace({source}, '{licenses.END}', '\\1' || chr(10), 'g'), '{licenses.OTHER}', ' ', 'g')"
+        mapped = f"list_transform(string_split({marked}, chr(10)), lambda s: coalesce(({ids})[trim(s)], CASE WHEN starts_with(trim(s), '{licenses.COPYRIGHT}') THEN 'Copyright' END))"
+        return f"list_filter({mapped}, lambda s: s IS NOT NULL)"
+
+    steps, before = [], "start"
+    for i, (_, sequence) in enumerate(licenses.RULES):
+        mark = "".join(f"<{s}>" for s in sequence)
+        steps.append(f"r{i} AS (SELECT *, contains(left{i}, '{mark}') AS m{i}, replace(left{i}, '{mark}', '#') AS left{i + 1} FROM {before})")
+        before = f"r{i}"
+    names = ", ".join(f"CASE WHEN m{i} THEN '{name}' END" for i, (name, _) in enumerate(licenses.RULES))
+    first = "list_filter(l, lambda x, i: x IS NOT NULL AND list_position(l, x) = i)"
+    return f"""
+    WITH b AS (SELECT doc_id, {known(text)} AS lines, {known(flowing)} AS flowing FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(flowing) >= len(lines) THEN flowing ELSE lines END AS ids FROM b),
+    start AS (SELECT doc_id, ids, coalesce(list_aggregate(list_transform(list_filter(ids, lambda s: s <> 'Copyright'), lambda s: '<' || s || '>'), 'string_agg', ''), '') AS left0 FROM s),
+    {", ".join(steps)},
+    f AS (SELECT doc_id, ids, [{names}] AS l, left{len(licenses.RULES)} AS rest FROM {before})
+    SELECT doc_id, coalesce(list_aggregate(ids, 'string_agg', ','), '') AS sentence_ids, coalesce(list_aggregate({first}, 'string_agg', ','), '') AS licenses,
+           CAST(length(rest) - length(replace(rest, '<', '')) AS BIGINT) AS n_unmatched FROM f"""
+
+
+SQL["op3_license_rules"] = _sql_licenses()
+
+
+@_query
+def op3_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"), "n_unmatched")
+
+
+@_query
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = language_model.held_out(F.col("doc_id"), 3, 1)
+    model = toxicity.train(docs.select("doc_id", "text").join(labels.where(~held_out).select("doc_id", "toxic"), "doc_id"))
+    scored = toxicity.toxicity(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+#: A user's turn, as a call that the assistant answers.
+ANSWER = {"type": "object", "required": ["prompt", "turn"], "additionalProperties": False, "properties": {"prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}}}
+
+SQL["op7_tool_calls"] = """
+WITH c AS (SELECT conv_id, turn, conv_id || ':' || turn AS id, text, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS depth FROM conversations WHERE role = 'user'),
+r AS (SELECT conv_id || ':' || (turn - 1) AS id, text FROM conversations WHERE role = 'assistant')
+SELECT c.conv_id, c.id AS call_id, CAST(c.depth AS INTEGER) AS depth, r.id IS NOT NULL AS linked, length(c.text) >= 1 AS valid,
+       sha256('{"arguments":{"prompt":' || CAST(to_json(c.text) AS VARCHAR) || ',"turn":' || c.turn || '},"depth":' || c.depth || ',"id":"' || c.id || '","name":"answer","result":' || coalesce(CAST(to_json(r.text) AS VARCHAR), 'null') || '}') AS json_sha256
+FROM c LEFT JOIN r USING (id)
+"""
+
+
+@_query
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' turns as calls, each of which needs the one before; the assistant's next turn is the result."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    call = lambda turn: F.concat_ws(":", "conv_id", turn)
+    asked = turns.where("role = 'user'")
+    calls = asked.select(F.col("conv_id").alias("group_id"), call("turn").alias("call_id"), F.lit("answer").alias("name"), F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("prompt"), "turn")).alias("arguments"))
+    results = turns.where("role = 'assistant'").select(call(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    # The call before is one of the two turns before: no window over a conversation, which may be long.
+    needs = asked.select(call("turn").alias("call_id"), F.explode(F.array(call(F.col("turn") - 2), call(F.col("turn") - 1))).alias("needed")).join(calls.select(F.col("call_id").alias("needed")).distinct(), "needed", "left_semi")
+    linked = tool_calls.link_calls(calls, results, needs, {"answer": ANSWER})
+    return linked.select(F.col("group_id").alias("conv_id"), "call_id", "depth", "linked", "valid", F.sha2("json", 256).alias("json_sha256"))
+
+
 @_query
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"), words=4, radius=4)
