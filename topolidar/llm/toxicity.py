@@ -19,10 +19,14 @@ from pyspark.sql import functions as F
 
 from topolidar.llm.batches import map_texts
 
-ORDER, DISCOUNT = 5, 0.75
+ORDER, DISCOUNT = 8, 0.75
+#: Pieces found less often in both classes together are left to the backoff.
+LEAST = 2
+#: Words of a stronger ratio than that count as evidence.
+STRONG = 2.0
 #: The fit takes that many labelled rows at most, those with the smallest hashed ids, and of texts up to that many bytes.
 SAMPLE_ROWS, SAMPLE_BYTES = 8_000, 1 << 16
-FOLDS = 2
+FOLDS, FEATURES = 2, 5
 
 _WORD = re.compile(r"\w+")
 
@@ -47,6 +51,10 @@ class Ratios:
             for word, n in words.items():
                 for piece in pieces(word):
                     into[piece] += n
+        rare = [p for p in own[0].keys() | own[1].keys() if own[0][p] + own[1][p] < LEAST]
+        for found in own:
+            for piece in rare:
+                found.pop(piece, None)
         lower = {ORDER - 1: Counter(p[1:] for p in own[0].keys() | own[1].keys())}  # distinct characters before a piece
         for k in range(ORDER - 2, 0, -1):
             lower[k] = Counter(p[1:] for p in lower[k + 1])
@@ -55,7 +63,7 @@ class Ratios:
             for piece, n in found.items():
                 totals[k][piece[:-1]] += n
                 kinds[k][piece[:-1]] += 1
-        shared: dict[str, float] = {"": 1 / (len(lower[1]) + 1)}
+        shared: dict[str, float] = {"": 1 / (len(lower[1]) + 1)} if lower[1] else {}
         for k in range(1, ORDER):
             for piece, n in lower[k].items():
                 total = totals[k][piece[:-1]]
@@ -82,9 +90,10 @@ def word_ratio(word: str, seen: dict[str, float], unseen: dict[str, float]) -> f
 
 
 def features(texts: list[str], seen: dict[str, float], unseen: dict[str, float]) -> np.ndarray:
-    """For each text: the ratio for a character of the whole text, that of the strongest word, and the strongest word's own."""
+    """For each text: the ratio for a character of the whole text and of its strongest word, the ratios of the strongest word
+    and of the mean of three, and what words have over STRONG, for the square root of the text's words."""
     known: dict[str, float] = {}
-    out = np.zeros((len(texts), 3))
+    out = np.zeros((len(texts), FEATURES))
     for i, text in enumerate(texts):
         found = words(text)
         if not found:
@@ -94,7 +103,7 @@ def features(texts: list[str], seen: dict[str, float], unseen: dict[str, float])
                 known[word] = word_ratio(word, seen, unseen)
         ratios = np.fromiter(map(known.__getitem__, found), float, len(found))
         lengths = np.fromiter(map(len, found), float, len(found)) + 1
-        out[i] = ratios.sum() / lengths.sum(), (ratios / lengths).max(), ratios.max()
+        out[i] = ratios.sum() / lengths.sum(), (ratios / lengths).max(), ratios.max(), np.sort(ratios)[-3:].sum() / 3, np.maximum(ratios - STRONG, 0).sum() / math.sqrt(len(found))
     return out
 
 
@@ -129,13 +138,13 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     labels = np.array([r["label"] for r in found], int)
     if not 0 < labels.sum() < len(labels):
         share = (labels.sum() + 0.5) / (len(labels) + 1)
-        return ToxicityModel({}, {}, [0.0, 0.0, 0.0, math.log(share / (1 - share))])
+        return ToxicityModel({}, {}, [0.0] * FEATURES + [math.log(share / (1 - share))])
     counted = [[(Counter(), Counter()) for _ in range(FOLDS)], (Counter(), Counter())]
     for i, r in enumerate(found):
         some = words(r["text"])
         counted[0][i % FOLDS][r["label"]].update(some)
         counted[1][r["label"]].update(some)
-    x = np.zeros((len(found), 3))
+    x = np.zeros((len(found), FEATURES))
     for fold in range(FOLDS):
         rest = tuple(sum((counted[0][k][c] for k in range(FOLDS) if k != fold), Counter()) for c in range(2))
         if all(rest):
