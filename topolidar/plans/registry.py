@@ -20,9 +20,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    from topolidar.plans import segment_queries, space_queries  # noqa: F401  importing registers
+
+
 def queries() -> dict[str, Callable]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(SQL)
