@@ -12,7 +12,7 @@ def expand_segments(segments: DataFrame, values: Sequence[str], by: Sequence[str
     """(by, ph_index, values): a row for each photon of each segment, photons counted from 0 and ``begin`` from 1. Segments
     that begin at 0 or have no photon give none; of several for one photon the last in ``order`` (or by begin) counts."""
     live = segments.where((F.col(begin) > 0) & (F.col(count) > 0))
-    rows = live.select(*by, F.explode(F.sequence(F.col(begin) - 1, F.col(begin) + F.col(count) - 2)).cast("long").alias("ph_index"), F.struct(F.col(order or begin).alias("_o"), *values).alias("_v"))
+    rows = live.select(*by, F.explode(F.sequence((F.col(begin) - 1).cast("long"), (F.col(begin) + F.col(count) - 2).cast("long"))).alias("ph_index"), F.struct(F.col(order or begin).alias("_o"), *values).alias("_v"))
     return rows.groupBy(*by, "ph_index").agg(F.max("_v").alias("_v")).select(*by, "ph_index", *(F.col("_v")[v].alias(v) for v in values))
 
 

@@ -74,11 +74,11 @@ def seg_agg_full_recipe(spark, sf_dir):
 @query(
     "seg_agg_passthrough",
     f"""WITH {E_SQL}, k AS (SELECT *, CAST(floor((pos - min(pos) OVER (PARTITION BY event_type)) / 7200) AS BIGINT) AS key_id FROM e)
-    SELECT event_type, key_id, round(avg(value), 6) + 0.0 AS a, round(var_samp(value), 6) + 0.0 AS v, round(min(value), 6) + 0.0 AS lo, round(max(value), 6) + 0.0 AS hi, round(sum(value), 4) + 0.0 AS s, count(value) AS n,
+    SELECT event_type, key_id, round(avg(value), 6) + 0.0 AS a, round(stddev_samp(value), 6) + 0.0 AS v, round(min(value), 6) + 0.0 AS lo, round(max(value), 6) + 0.0 AS hi, round(sum(value), 4) + 0.0 AS s, count(value) AS n,
     round(arg_min(value, event_id), 6) + 0.0 AS f, round(arg_max(value, event_id), 6) + 0.0 AS l FROM k GROUP BY ALL""",
 )
 def seg_agg_passthrough(spark, sf_dir):
-    recipes = [Recipe("value", op, outfield=out) for op, out in (("mean", "a"), ("var", "v"), ("min", "lo"), ("max", "hi"), ("sum", "s"), ("count", "n"), ("first", "f"), ("last", "l"))]
+    recipes = [Recipe("value", op, outfield=out) for op, out in (("mean", "a"), ("std", "v"), ("min", "lo"), ("max", "hi"), ("sum", "s"), ("count", "n"), ("first", "f"), ("last", "l"))]
     out = aggregate_by_segment(events(spark, sf_dir), recipes, 7200, by=["event_type"], position="pos", order="event_id")
     return out.select("event_type", "key_id", *(r(c, 4 if c == "s" else 6).alias(c) for c in ("a", "v", "lo", "hi", "s", "f", "l")), "n")
 
