@@ -24,7 +24,7 @@ def asof_nearest(left: DataFrame, right: DataFrame, on: str, values: Sequence[st
     before counts. Of right rows with one key the last in ``order`` counts backwards and the first forwards; without
     ``order`` the largest values do both."""
     by = list(by)
-    pick = F.struct(*([order] if order else []), *values)
+    pick = F.struct(*([F.col(order).alias("_o")] if order else []), *values)
     rows = right.where(F.col(on).isNotNull()).groupBy(*by, on).agg(F.max(pick).alias("_b"), (F.min(pick) if order else F.max(pick)).alias("_f")).withColumn("_k", F.col(on)).withColumn("_side", F.lit(0))
     id_ = left.withColumn("_left", F.struct(*left.columns)).select(*by, on, "_left").withColumn("_side", F.lit(1))
     both = rows.unionByName(id_, allowMissingColumns=True)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Sequence
+from datetime import date, timedelta
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ def las_header(data: bytes) -> dict:
     if minor >= 4 and size >= 375:
         n = struct.unpack_from("<Q", data, 247)[0] or n
     out = {"x_min": x0, "x_max": x1, "y_min": y0, "y_max": y1, "z_min": z0, "z_max": z1, "n_points": n, "offset": offset, "format": form & 0x3F, "packed": bool(form & 0x80), "length": length, "scale": scale, "shift": shift, "crs": None}
-    out["creation_date"] = pd.Timestamp(year, 1, 1).date() + pd.Timedelta(days=day - 1) if year and day else None
+    out["creation_date"] = date(year, 1, 1) + timedelta(days=day - 1) if year and day else None
     at = size
     for _ in range(n_vlr):  # variable length records: well-known text, or a GeoTIFF key of a projected or geographic system
         user, record, after = data[at + 2 : at + 18].rstrip(b"\0"), *struct.unpack_from("<HH", data, at + 18)
@@ -58,7 +59,8 @@ def read_las_headers(spark: SparkSession, path: str) -> DataFrame:
                     rows.append({"file_name": name, **{k: h[k] for k in ("x_min", "x_max", "y_min", "y_max", "z_min", "z_max", "creation_date", "n_points", "crs")}, "error": None})
                 except Exception as e:  # noqa: BLE001  any broken file is a row, not a failure
                     rows.append({"file_name": name, "error": str(e)})
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in LAS_HEADER.split(", ")])
+            out = pd.DataFrame(rows, columns=[c.split()[0] for c in LAS_HEADER.split(", ")])
+            yield out.astype({c: object for c in ("creation_date", "crs", "error")}).where(out.notna(), None)
 
     return files.select("path", F.substring("content", 1, 1 << 16).alias("head")).mapInPandas(run, LAS_HEADER)
 
@@ -133,7 +135,8 @@ def read_tiff_extents(spark: SparkSession, path: str) -> DataFrame:
                     rows.append({"file_name": name, **tiff_extent(bytes(head)), "error": None})
                 except Exception as e:  # noqa: BLE001
                     rows.append({"file_name": name, "error": str(e)})
-            yield pd.DataFrame(rows, columns=columns)
+            out = pd.DataFrame(rows, columns=columns)
+            yield out.astype({c: object for c in ("crs", "error")}).where(out.notna(), None)
 
     return files.select("path", F.substring("content", 1, 1 << 20).alias("head")).mapInPandas(run, "file_name string, x_min double, x_max double, y_min double, y_max double, crs string, error string")
 
