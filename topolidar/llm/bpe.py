@@ -21,7 +21,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from topolidar.llm.batches import buffers, map_texts
 
 #: Pretokens that a worker remembers; the memory this needs doesn't grow with the table.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 
 ENCODED = "doc_id long, ids array<int>, char_starts array<int>, char_stops array<int>"
 
@@ -167,7 +167,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
         lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (flat, *chars)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *lists], names=["doc_id", "ids", "char_starts", "char_stops"])
 
-    return map_texts(df, ENCODED, step, id_col, text_col, keep, 2 << 20)
+    return map_texts(df, ENCODED, step, id_col, text_col, keep, 1 << 20)
 
 
 def decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids", keep: Sequence[str] = ()) -> DataFrame:
