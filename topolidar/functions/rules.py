@@ -106,3 +106,13 @@ def bin_key(position: Column, start: Column, width: float) -> Column:
 def start_of(position: str, by: Sequence[str]) -> Column:
     """The least position of a row's track. A grouped minimum joined back is better for long tracks; see segments."""
     return F.min(position).over(Window.partitionBy(*by))
+
+
+def sub_segment_offset(flags: Sequence[Column], width: float = 20.0, missing: int = -127) -> Column:
+    """Along-track offset of a segment's centre from the first of its parts with a flag over -1, 0 if none has: 50, 30, 10,
+    -10 and -30 m for five parts of 20 m. ``missing`` marks no value."""
+    n, out = len(flags), None
+    for i, flag in enumerate(flags):
+        live = (flag != missing) & (flag > -1)
+        out = (F if out is None else out).when(live, F.lit(width * (n / 2 - i)))
+    return out.otherwise(F.lit(0.0))

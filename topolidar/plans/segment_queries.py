@@ -238,3 +238,31 @@ def profile_series(spark, sf_dir):
     e = events(spark, sf_dir).select("event_id", F.col("pos").alias("alongtrack"), F.col("value").alias("h_ph"), (F.col("user_id") % 7).alias("combined_class"))
     out = profile.figure("alongtrack", {"photons": e}, thin="event_id")
     return out.groupBy("panel", "series").agg(F.count(F.lit(1)).alias("n"), r(F.sum("y"), 3).alias("y"))
+
+
+@query("sub_segment_offset", "SELECT p_partkey, CASE WHEN p_size % 5 > 3 THEN 50.0::DOUBLE WHEN p_size % 7 > 4 THEN 30 WHEN p_size % 3 > 1 THEN 10 WHEN p_size % 2 > 0 THEN -10 WHEN p_size % 11 > 5 THEN -30 ELSE 0 END AS centre FROM part")
+def sub_segment_offset(spark, sf_dir):
+    flag = lambda m, over: F.when(F.col("p_size") % m > over, 1).otherwise(-127 if m == 7 else -1)
+    return table(spark, sf_dir, "part").select("p_partkey", rules.sub_segment_offset([flag(5, 3), flag(7, 4), flag(3, 1), flag(2, 0), flag(11, 5)]).alias("centre"))
+
+
+_MERGE = """WITH p AS (SELECT user_id % 3 AS granule, event_id AS pos, value AS h, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'signup' THEN 3 WHEN 'purchase' THEN 40 ELSE 0 END AS c FROM events),
+k AS (SELECT *, CAST(floor((pos - min(pos) OVER (PARTITION BY granule)) / 50) AS BIGINT) AS key_id, min(pos) OVER (PARTITION BY granule) AS p0 FROM p),
+a AS (SELECT granule, key_id, key_id * 50 + min(p0) + 25.0::DOUBLE AS x, median(h) FILTER (WHERE c = 1) AS te, quantile_cont(h - 10, 0.98) FILTER (WHERE c IN (2, 3)) AS ca, count(*) FILTER (WHERE c = 1) AS n FROM k GROUP BY ALL),
+l AS (SELECT l_orderkey % 3 AS granule, l_orderkey AS pos, l_quantity AS h, l_linenumber AS c FROM lineitem WHERE l_orderkey < 9000),
+m AS (SELECT *, CAST(floor((pos - min(pos) OVER (PARTITION BY granule)) / 50) AS BIGINT) AS key_id FROM l),
+b AS (SELECT granule, key_id, median(h) FILTER (WHERE c = 2) AS als, count(*) FILTER (WHERE c IN (3, 4, 5)) AS nc FROM m GROUP BY ALL)
+SELECT granule, key_id, round(x, 6) + 0.0 AS alongtrack_x, round(te, 6) + 0.0 AS h_te_median, round(ca, 6) + 0.0 AS h_canopy, coalesce(nullif(n, 0), -1) AS n_terrain,
+round(als, 6) + 0.0 AS als_h_te_median, coalesce(nullif(nc, 0), -1) AS als_n_canopy FROM a LEFT JOIN b USING (granule, key_id)"""
+
+
+@query("topobathy_merge", _MERGE)
+def topobathy_merge(spark, sf_dir):
+    from topolidar.plans import pipelines
+
+    kind = F.col("event_type")
+    cls = F.when(kind == "click", 1).when(kind == "view", 2).when(kind == "signup", 3).when(kind == "purchase", 40).otherwise(0)
+    photons = table(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("granule"), F.col("event_id").alias("alongtrack"), F.col("value").alias("h_ph"), (F.col("value") - 10).alias("h_norm"), cls.alias("combined_class"))
+    lidar = table(spark, sf_dir, "lineitem").where("l_orderkey < 9000").select((F.col("l_orderkey") % 3).alias("granule"), F.col("l_orderkey").alias("alongtrack"), F.col("l_quantity").alias("ortho_h"), F.col("l_linenumber").alias("classification"))
+    out = pipelines.topobathy(photons, lidar, 50.0, ["granule"])
+    return out.select("granule", "key_id", r("alongtrack_x").alias("alongtrack_x"), *(r(c).alias(c) for c in ("h_te_median", "h_canopy", "als_h_te_median")), *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("n_terrain", "als_n_canopy")))

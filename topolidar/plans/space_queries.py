@@ -361,3 +361,29 @@ def building_edges(spark, sf_dir):
     v = points(spark, sf_dir).select(F.lit(1).alias("building_id"), (F.col("x") / 6).alias("crosstrack"), (F.col("y") / 6).alias("alongtrack"), F.lit(6).alias("classification"))
     centre = spark.range(1).select(F.lit(1).alias("building_id"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"))
     return edges.building_edges(v, centre).select("building_id", F.to_json("entry").alias("entry"), F.to_json("exit").alias("exit"))
+
+
+@query("tile_catalogue", f"WITH {_TILES} SELECT file_name, round(x_min * 100 + 500000, 3) + 0.0 AS x_min, CAST(lon_max > lon_min AND lat_max > lat_min AND abs(lat_max - lat_min - 0.009::DOUBLE) < 0.0005 AS BOOLEAN) AS sound FROM (SELECT *, 1.0 AS lon_max, 0.0 AS lon_min, 0.009::DOUBLE AS lat_max, 0.0::DOUBLE AS lat_min FROM tiles)")
+def tile_catalogue(spark, sf_dir):
+    from topolidar.plans import pipelines
+
+    at = lambda c, base: (F.col(c) * 100 + base).alias(c)
+    heads = _tiles(spark).select("file_name", at("x_min", 500_000), at("x_max", 500_000), at("y_min", 4_000_000), at("y_max", 4_000_000), F.lit(10).alias("zone"), F.lit("EPSG:32610").alias("crs"), F.lit(None).cast("string").alias("error"))
+    out = pipelines.tile_catalogue(heads)
+    sound = (F.col("lon_max") > F.col("lon_min")) & (F.col("lat_max") > F.col("lat_min")) & (F.abs(F.col("lat_max") - F.col("lat_min") - 0.009) < 0.0005)
+    return out.select("file_name", r("x_min", 3).alias("x_min"), sound.alias("sound"))
+
+
+@query("footprint_photons")
+def footprint_photons(spark, sf_dir):
+    """The footprint pipeline over a made-up swath: roofs from the point cloud, one building for each track."""
+    from topolidar.plans import pipelines
+
+    v = points(spark, sf_dir).withColumn("granule", F.lit("g")).withColumn("gt", F.concat(F.lit("gt"), (F.col("label") % 2).cast("string")))
+    roof = (F.abs("x") < 12) & (F.abs("y") < 12)
+    swath = v.select("granule", "gt", (F.col("x") / 4).alias("crosstrack"), (F.col("y") / 4).alias("alongtrack"), "z", F.when(roof, 6).otherwise(2).alias("classification"), F.when(roof, 6.0).otherwise(0.0).alias("h_norm"))
+    photons = v.select("granule", "gt", (F.col("y") / 4).alias("alongtrack"), F.col("z").alias("h_ph"), F.lit(1).alias("atl08_class"), F.when(roof, 6.0).otherwise(0.0).alias("h_norm"))
+    ring = F.array(*(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in ((-8.0, -4.0), (8.0, -4.0), (8.0, 4.0), (-8.0, 4.0))))
+    buildings = v.select("granule", "gt").distinct().withColumn("building_id", F.lit(1)).withColumn("ring", ring)
+    out = pipelines.footprints(photons, swath, spatial.not_grazing(buildings), cell=2.0)
+    return out.groupBy("granule", "gt", "building_id", "direction", "photon_class").agg(F.count(F.lit(1)).alias("n"))
