@@ -107,3 +107,11 @@ def test_topobathy_pipeline(spark):
     lidar = pipelines.lidar_heights(swath).withColumn("ortho_h", F.col("z"))
     got = pipelines.topobathy(ready, lidar, res=10.0).orderBy("key_id").collect()
     assert len(got) == 3 and got[0]["h_canopy"] == pytest.approx(3.0) and got[0]["als_h_te_median"] == 9.0 and got[0]["n_terrain"] == 13
+
+
+def test_swath_around_a_track(spark):
+    track = spark.createDataFrame([("g", "a", float(i), float(i), 0.0) for i in range(0, 3001, 50)], "granule string, gt string, alongtrack double, x double, y double")
+    tiles = spark.createDataFrame([("t1", 0.0, -100.0, 1000.0, 100.0), ("t2", 0.0, 5000.0, 1000.0, 6000.0)], "file_name string, x_min double, y_min double, x_max double, y_max double")
+    points = spark.createDataFrame([("t1", 0, 510.0, 10.0, 1.0, 2), ("t1", 10, 510.0, -20.0, 1.0, 2), ("t1", 20, 510.0, 30.0, 1.0, 2), ("t1", 5, 510.0, 1.0, 1.0, 2), ("t2", 0, 500.0, 5500.0, 1.0, 2)], "file string, pt_index long, x double, y double, z double, classification int")
+    got = pipelines.lidar_swath(points, tiles, track).orderBy("pt_index").collect()
+    assert [(r["pt_index"], r["crosstrack"], r["alongtrack"], r["gt"]) for r in got] == [(0, 10.0, 510.0, "a"), (10, -20.0, 510.0, "a")]

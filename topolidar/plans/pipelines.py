@@ -49,12 +49,16 @@ def lidar_heights(swath: DataFrame, by: Sequence[str] = BY, feet: bool = False,
 
 def lidar_swath(points: DataFrame, tiles: DataFrame, track: DataFrame, by: Sequence[str] = BY, buffer: float = 100.0, limit: float = 25.0, res: float = 100.0, step: int = 10) -> DataFrame:
     """Points (file, pt_index, x, y, z, classification) of the tiles near each track, every ``step``-th, in track coordinates,
-    those within ``limit`` of it. ``track``: by, alongtrack, x, y."""
+    those within ``limit`` of it. ``track``: by, alongtrack, x, y. A tile's points see only the part of the track's line
+    around the tile, so that their work doesn't grow with the track."""
     lines = spatial.track_line(track, by, res=res)
     vertices = lines.select(*by, F.explode("line").alias("v")).select(*by, "v.*")
     near = spatial.tiles_near_track(tiles, vertices, buffer, 1000.0, by=by)
-    kept = points.where(rules.decimated(F.col("pt_index"), step)).join(near.withColumnRenamed("file_name", "file"), "file")
-    return spatial.to_track(kept, lines, by, limit=limit)
+    margin = max(buffer, res) + 50
+    boxed = near.join(tiles.select("file_name", "x_min", "y_min", "x_max", "y_max"), "file_name").join(lines, list(by))
+    around = F.filter("line", lambda v: v["x"].between(F.col("x_min") - margin, F.col("x_max") + margin) & v["y"].between(F.col("y_min") - margin, F.col("y_max") + margin))
+    parts = boxed.select(*by, F.col("file_name").alias("file"), around.alias("line"))
+    return spatial.to_track(points.where(rules.decimated(F.col("pt_index"), step)), parts, ["file"], limit=limit)
 
 
 def topobathy(photons: DataFrame, swath: DataFrame | None = None, res: float = 20.0, by: Sequence[str] = BY, compat: str = "observed", attributes: DataFrame | None = None) -> DataFrame:
@@ -110,7 +114,10 @@ def footprints(photons: DataFrame, swath: DataFrame, buildings: DataFrame, by: S
     roofs = around.where(F.col("classification") == edges.ROOF).groupBy(*key).agg(F.median("h_norm").alias("roof_h"))
     sides = found.select(*key, F.explode(F.array(F.struct(F.lit("entry").alias("direction"), F.col("entry").alias("e")), F.struct(F.lit("exit").alias("direction"), F.col("exit").alias("e")))).alias("s")).select(*key, "s.direction", "s.e.*")
     sides = sides.where("slope is not null").join(roofs, key)
-    near = photons.join(sides, list(by)).where(F.col("alongtrack").between(F.col("intercept") - 50, F.col("intercept") + 50))
+    # Photons meet the walls within 50 m of them by cells of 100 m along the track.
+    reach = sides.withColumn("_cell", F.explode(F.sequence(F.floor((F.col("intercept") - 50) / 100), F.floor((F.col("intercept") + 50) / 100))))
+    near = photons.withColumn("_cell", F.floor(F.col("alongtrack") / 100)).join(reach, [*by, "_cell"]).drop("_cell")
+    near = edges.band(near, "alongtrack", F.col("intercept"))
     d = rules.line_distance(F.lit(0.0), F.col("alongtrack"), F.col("slope"), F.col("intercept"), F.col("direction") == "exit")
     return near.withColumn("distance", d).withColumn("photon_class", rules.photon_class(F.col("h_norm"), F.col("roof_h"), tolerance))
 
