@@ -61,6 +61,8 @@ def test_bpe_round_trip_and_offsets(odd):
     assert len(rows) == len(ODD)
     for r in rows:
         assert list(r["ids"]) == enc.encode_ordinary(r["text"] or "") and bytes(r["decoded"]) == (r["text"] or "").encode()
+    for r in bpe.encode(odd, PATH, PATTERN, keep=["text"], round_trip=True).collect():
+        assert bytes(r["decoded"]) == (r["text"] or "").encode()
     for r in bpe.encode(odd.where("doc_id = 8"), PATH, PATTERN, keep=["text"]).collect():
         strings = {i: t for t, i in bpe.read_ranks(PATH).items()}
         for i, a, b in zip(r["ids"], r["char_starts"], r["char_stops"], strict=True):

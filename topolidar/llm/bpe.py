@@ -89,9 +89,8 @@ class BytePairs:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.split = Tokenizer.from_str(json), Splitter(pattern)
-        self.length_of = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.int64)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.length_of[i] = len(token)  # a character for each byte
+        self.bytes_of = byte_strings(self.tokenizer.get_vocab())
+        self.length_of = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
         self._forget()
 
     def _forget(self) -> None:
@@ -122,6 +121,11 @@ class BytePairs:
         return flat, ends
 
 
+def join_bytes(bytes_of: list[bytes], ids: np.ndarray) -> bytes:
+    """The bytes of some ids; characters whose bytes are split over ids come out whole."""
+    return b"".join(map(bytes_of.__getitem__, ids.tolist()))
+
+
 def byte_strings(tokens: dict[str, int]) -> list[bytes]:
     """The bytes of each id, by the reversed byte table; an id without a token has none."""
     byte_of = {c: b for b, c in enumerate(byte_characters())}
@@ -143,15 +147,17 @@ def byte_pairs(json: str, pattern: str) -> BytePairs:
     return kept[key]
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), round_trip: bool = False) -> DataFrame:
     """(doc_id, ids, char_starts, char_stops) and the columns in ``keep`` for each row of ``df``: the ids of its whole text, without special tokens, and
     for each id the characters of the text that its bytes belong to (a character split over ids belongs to each).
 
     A null or empty text has no ids. Repeated rows and null ids are rows like others; an empty table gives no rows; columns
     outside ``keep`` are not read. The text is cut into pretokens by ``pattern`` and each pretoken is encoded on its own, as the
-    rank files ask for. One pass, no shuffle; the vocabulary (a few MB, whatever the table) goes to the workers by broadcast.
+    rank files ask for. With ``round_trip`` the ids are decoded in the same pass, as ``decoded``: a second Python operator on
+    top would need a worker of its own for each task. One pass, no shuffle; the vocabulary (a few MB, whatever the table) goes to the workers by broadcast.
     """
     json = df.sparkSession.sparkContext.broadcast(tokenizer_json(ranks_path))
+    schema = ENCODED + ", decoded binary" if round_trip else ENCODED
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         coder = byte_pairs(json.value, pattern)
@@ -165,9 +171,13 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
         chars = [character[stops - lengths] - first, character[stops - 1] - first + 1] if len(data) else [flat, flat]
         at = pa.array(np.concatenate(([0], ends)).astype(np.int32))
         lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (flat, *chars)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *lists], names=["doc_id", "ids", "char_starts", "char_stops"])
+        columns, names = [batch.column("doc_id").cast(pa.int64()), *lists], ["doc_id", "ids", "char_starts", "char_stops"]
+        if round_trip:
+            columns.append(pa.array([join_bytes(coder.bytes_of, flat[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False)], pa.binary()))
+            names.append("decoded")
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
-    return map_texts(df, ENCODED, step, id_col, text_col, keep, 1 << 20)
+    return map_texts(df, schema, step, id_col, text_col, keep, 1 << 20)
 
 
 def decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids", keep: Sequence[str] = ()) -> DataFrame:
@@ -179,11 +189,11 @@ def decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str
     sent = df.sparkSession.sparkContext.broadcast(strings)
 
     def run(found):
-        bytes_of = sent.value.__getitem__
+        bytes_of = sent.value
         for batch in found:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                out = [b"".join(map(bytes_of, x.values.to_numpy(zero_copy_only=False).tolist())) if x.is_valid else b"" for x in part.column(1)]
+                out = [join_bytes(bytes_of, x.values.to_numpy(zero_copy_only=False)) if x.is_valid else b"" for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*part.schema.names, "decoded"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"), *(F.col(k).alias(f"keep_{i}") for i, k in enumerate(keep)))

@@ -151,9 +151,8 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(_table(spark, sf_dir, "documents"), *_multi_bpe())
-    decoded = bpe.decode(encoded, _multi_bpe()[0])
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = bpe.encode(_table(spark, sf_dir, "documents"), *_multi_bpe(), round_trip=True)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @_query
