@@ -32,7 +32,7 @@ BASE, HASHES, BITS_PER_INSERT = 1.5, 7, 10
 WEIGHT = 0.1
 #: N-gram keys that a shard of the count gets on average, words that a task counts before it passes them on.
 SHARD_KEYS, COUNTED_WORDS = 1 << 20, 400_000
-PIECE = 8 << 20
+PIECE = 4 << 20
 
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -63,20 +63,25 @@ def estimate(levels: np.ndarray, floor: int) -> np.ndarray:
     return np.where(levels > 0, floor * BASE ** (np.maximum(levels, 1) - np.where(levels > 1, 0.5, 1)), 0.0)
 
 
-def _places(keys: np.ndarray, level: int, j: int, bits: np.ndarray) -> np.ndarray:
+def _walk(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the probes of keys begin, and how far they step."""
+    return keys ^ (keys >> np.uint64(33)), _mix(keys) | np.uint64(1)
+
+
+def _place(begin: np.ndarray, step: np.ndarray, level: int, j: int, bits: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        step = _mix(keys) | np.uint64(1)
-        return ((keys ^ (keys >> np.uint64(33))) + np.uint64(level * HASHES + j) * step) % bits
+        return ((begin + np.uint64(level * HASHES + j) * step) % bits).astype(np.int64)
 
 
 def segment(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """The filter of some keys, as bytes."""
     bits = max(64, -(-int(levels.sum()) * BITS_PER_INSERT // 8) * 8)
     flags = np.zeros(bits, bool)
+    begin, step = _walk(keys)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        some = keys[levels >= level]
+        some = levels >= level
         for j in range(HASHES):
-            flags[_places(some, level, j, np.uint64(bits)).astype(np.int64)] = True
+            flags[_place(begin[some], step[some], level, j, np.uint64(bits))] = True
     return np.packbits(flags, bitorder="little")
 
 
@@ -104,14 +109,15 @@ class LogBloom:
         """The level of each key by repeated probes; 0 for one that isn't in the filter."""
         out = np.zeros(len(keys), np.int64)
         shard = (keys >> np.uint64(self.shift)).astype(np.int64)
-        starts, bits, at = self.starts[shard], self.bits[shard], np.arange(len(keys))
+        at, probe = np.arange(len(keys)), (*_walk(keys), self.bits[shard], self.starts[shard])
         level = 0
         while len(at):
             out[at] = level
             level += 1
             for j in range(HASHES):
-                place = _places(keys[at], level, j, bits[at]).astype(np.int64)
-                at = at[(self.data[starts[at] + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1 == 1]
+                place = _place(probe[0], probe[1], level, j, probe[2])
+                there = (self.data[probe[3] + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1 == 1
+                at, probe = at[there], tuple(x[there] for x in probe)
         return out
 
 
@@ -212,12 +218,12 @@ def _unigrams(words: DataFrame, shards: int) -> DataFrame:
     return words.mapInArrow(run, _PACKED)
 
 
-def ngram_levels(filters: list[LogBloom], hashes: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def ngram_levels(filters: list[LogBloom], hashes: np.ndarray, one: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For n = 1, 2, ...: the keys of the n-grams that end at each token, their levels, and which are probed: those whose
-    first and last n - 1 words are in the filter of the length below."""
+    first and last n - 1 words are in the filter of the length below. ``one``: the levels of the distinct words."""
     place = np.arange(len(flat)) - np.repeat(starts, np.diff(np.append(starts, len(flat))))
     word = hashes[flat]
-    keys, levels, able = word, filters[0].levels(hashes)[flat] if filters else np.zeros(len(flat), np.int64), np.ones(len(flat), bool)
+    keys, levels, able = word, one[flat], np.ones(len(flat), bool)
     yield keys, levels, able
     for n in range(2, len(filters) + 2):
         able = np.zeros(len(flat), bool)
@@ -240,7 +246,8 @@ def _ngrams(train: DataFrame, filters, shards: int) -> DataFrame:
         for batch in found:
             for piece in slices(batch, "text", PIECE):
                 distinct, flat, starts = tokens_of(texts(piece.column("text")))
-                *_, (keys, _, able) = ngram_levels(held, hash_words(distinct), flat, starts)
+                hashes = hash_words(distinct)
+                *_, (keys, _, able) = ngram_levels(held, hashes, held[0].levels(hashes), flat, starts)
                 yield _packed(*np.unique(keys[able], return_counts=True), shards)
 
     return train.select("text").mapInArrow(run, _PACKED)
@@ -296,7 +303,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
         below = counts == 0
         p = np.where(below, 1.0, np.minimum(1.0, (counts - d) / max(n, 1)))[flat]
         held = np.zeros(len(flat))
-        for k, (_, levels, _) in enumerate(ngram_levels(filters, hashes, flat, starts)):
+        for k, (_, levels, _) in enumerate(ngram_levels(filters, hashes, one, flat, starts)):
             if k == len(filters):
                 break
             now = estimate(levels, filters[k].floor)
