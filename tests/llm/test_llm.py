@@ -287,6 +287,25 @@ def test_filter_gives_levels_back():
     assert (bloom.levels(rng.integers(0, 2**63, 20000).astype(np.uint64)) > 0).mean() < 0.03
 
 
+def test_ngrams_that_occur_once_count(spark):
+    # Pairs and triples that occur once, beside far more tokens.
+    filler = " ".join(f"f{i}" for i in range(1000))
+    texts = [("lorem " * 20_000,)] * 8 + [(filler,)] * 3 + [("alpha beta gamma",), ("gamma alpha beta gamma",), ("delta epsilon zeta",)]
+    model = language_model.train(spark.createDataFrame(texts, "text string").repartition(4))
+    asked = spark.createDataFrame([(1, "alpha beta gamma"), (2, "gamma beta alpha"), (3, "delta epsilon zeta"), (4, "zeta epsilon delta")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in language_model.score(asked, model).collect()}
+    # The same words in an order that is in the texts: each pair and triple has a share of one.
+    assert got[1] > got[2] + 2 and got[3] > got[4] + 2
+
+
+def test_one_pass_for_both_scores_alike(spark, docs):
+    df = spark.createDataFrame(sorted(docs.items()), "doc_id long, text string").repartition(3)
+    out = language_model.held_out(F.col("doc_id"))
+    model = language_model.train(df.where(~out))
+    apart, both = ({r["doc_id"]: r["score"] for r in language_model.score(df, model, **more).collect()} for more in ({}, {"trained": ~out}))
+    assert both == pytest.approx(apart, rel=0.01)
+
+
 def test_base_scores_by_definition(spark, docs):
     counts = Counter()
     tokens = {i: [*t.encode().lower().split(), b"\n"] for i, t in docs.items()}

@@ -1,14 +1,15 @@
 """Language-model scoring with a log-frequency Bloom filter of quantised n-gram counts.
 
 An n-gram of count c has the level 1 + floor(log_b(c / floor)) and is inserted once for each level up to its own; probing
-level after level until one is missing gives the level back, and with it an estimate of the count. N-grams with a share of
-at least SHARE of the training tokens are held, so there are at most 1 / SHARE of each length and the filter's size has a
-bound whatever the corpus; what is rarer is left to the next shorter n-gram, in the end to exact word counts.
+level after level until one is missing gives the level back, and with it an estimate of the count. All n-grams of the
+training texts are held, those that occur once too, so the filter grows with the corpus: it is made in shards by the keys'
+highest bits, and what is to be probed comes to the shards, a list of distinct keys for each piece of text.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,16 +24,20 @@ from topolidar.llm.batches import slices, text_table, texts
 
 #: No word holds a space, so this can stand for a text's end.
 END = b"\n"
-#: N-grams of at least this share of the tokens are in the filter: at most 2^23 of each length, some 3 * 2^23 insertions.
-SHARE = 2.0**-23
+#: Least count of an n-gram in the filter, at any size of the corpus.
+FLOOR = 1
 #: Words of at least this share have their exact counts broadcast: at most 2^18 of them.
 WORD_SHARE = 2.0**-18
 BASE, HASHES, BITS_PER_INSERT = 1.5, 7, 10
 #: Weight of an n-gram's own estimate against that of the shorter one.
 WEIGHT = 0.1
-#: N-gram keys that a shard of the count gets on average, words that a task counts before it passes them on.
-SHARD_KEYS, COUNTED_WORDS = 1 << 20, 400_000
+#: N-gram keys that a shard gets at most on average, bytes of text for a token, words that a task counts before it passes
+#: them on.
+SHARD_KEYS, TOKEN_BYTES, COUNTED_WORDS = 1 << 20, 6, 400_000
 PIECE = 4 << 20
+#: Bytes of a key that are sent beside its shard's number: of a shard's 2^20 keys one in 4,096 meets another by chance, of
+#: the keys that are not in the filter one in 120 seems to be.
+KEY_BYTES = 4
 
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -101,10 +106,6 @@ class LogBloom:
         sizes = np.fromiter(map(len, parts), np.int64, shards)
         return cls(64 - shards.bit_length() + 1, floor, np.cumsum(sizes) - sizes, (sizes * 8).astype(np.uint64), np.concatenate(parts))
 
-    def parts(self) -> tuple:
-        """Plain values: a broadcast is pickled by reference, and executors need not have this package."""
-        return self.shift, self.floor, self.starts, self.bits, self.data
-
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each key by repeated probes; 0 for one that isn't in the filter."""
         out = np.zeros(len(keys), np.int64)
@@ -165,154 +166,163 @@ def word_counts(train: DataFrame) -> DataFrame:
     return shared.written(train.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
 
 
-_PACKED = "shard int, keys binary, counts binary"
-
-
-def _packed(keys: np.ndarray, counts: np.ndarray, shards: int) -> pa.RecordBatch:
-    """Sorted keys with their counts, cut at shards: a row for each shard that has any."""
-    cut = np.searchsorted(keys >> np.uint64(64 - shards.bit_length() + 1), np.arange(shards + 1, dtype=np.uint64))
-    some = np.flatnonzero(np.diff(cut))
-    raw, sizes = keys.tobytes(), counts.astype("<u4").tobytes()
-    rows = [(int(s), raw[8 * cut[s] : 8 * cut[s + 1]], sizes[4 * cut[s] : 4 * cut[s + 1]]) for s in some]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["shard", "keys", "counts"])
+def ngram_keys(distinct: list[bytes], flat: np.ndarray, starts: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(keys, ends): keys of the distinct words, then of all n-grams of 2, 3, ... ``order`` tokens; ends: for each of these
+    lengths the tokens that its n-grams end at. No n-gram goes over a text's end."""
+    place = np.arange(len(flat)) - np.repeat(starts, np.diff(np.append(starts, len(flat))))
+    hashes = hash_words(distinct)
+    word = hashes[flat]
+    before, keys, ends = word, [hashes], []
+    for n in range(2, order + 1):
+        at = np.flatnonzero(place >= n - 1)
+        longer = np.zeros(len(flat), np.uint64)
+        longer[at] = join_keys(before[at - 1], word[at])
+        keys.append(longer[at])
+        ends.append(at)
+        before = longer
+    return np.concatenate(keys), ends
 
 
-def _segments(packed: DataFrame, shards: int, floor: int) -> dict[int, bytes]:
-    """Adds up the counts of each shard and makes its segment of the filter. What comes to the driver is the filter, whose
-    size has a bound."""
+def _pieces(rows: DataFrame) -> DataFrame:
+    """(piece, size, asked, body): the rows as numbered pieces of at most PIECE bytes of text, in the shared folder. asked:
+    whether any of them is to be scored."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, keys, counts = None, [], []
-
-        def emit() -> pa.RecordBatch:
-            k, c = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
-            order = np.argsort(k)
-            k, c = k[order], c[order]
-            heads = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-            k, c = k[heads], np.add.reduceat(c, heads)
-            k, c = k[c >= floor], c[c >= floor]
-            return pa.RecordBatch.from_arrays([pa.array([held], pa.int32()), pa.array([segment(k, level_of(c, floor) if len(c) else c).tobytes() if len(k) else None], pa.binary())], names=["shard", "bits"])
-
         for batch in found:
-            for shard, k, c in zip(*(batch.column(x) for x in ("shard", "keys", "counts")), strict=True):
-                if held is not None and shard.as_py() != held:
-                    yield emit()
-                    keys, counts = [], []
-                held = shard.as_py()
-                keys.append(np.frombuffer(k.as_py(), "<u8"))
-                counts.append(np.frombuffer(c.as_py(), "<u4"))
-        if keys:
-            yield emit()
+            for piece in slices(batch, "text", PIECE):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(piece)
+                size = sum(map(len, texts(piece.column("text")))) + piece.num_rows
+                asked = any(piece.column("scored").to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([size], pa.int64()), pa.array([asked]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["size", "asked", "body"])
 
-    parts = packed.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, "shard int, bits binary")
-    return {r["shard"]: bytes(r["bits"]) for r in parts.where("bits is not null").collect()}
+    return shared.written(rows.mapInArrow(run, "size long, asked boolean, body binary").select(F.monotonically_increasing_id().alias("piece"), "*"), "pieces")
 
 
-def _unigrams(words: DataFrame, shards: int) -> DataFrame:
-    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in found:
-            keys = hash_words(texts(batch.column("word")))
-            order = np.argsort(keys)
-            yield _packed(keys[order], np.minimum(batch.column("n").to_numpy()[order], 2**32 - 1), shards)
+def _opened(body: bytes) -> tuple[pa.RecordBatch, list[bytes], np.ndarray, np.ndarray]:
+    piece = pa.ipc.open_stream(body).read_next_batch()
+    return piece, *tokens_of(texts(piece.column("text")))
 
-    return words.mapInArrow(run, _PACKED)
 
+def _keys(pieces: DataFrame, order: int, shards: int) -> DataFrame:
+    """(shard, piece, asked, keys, counts): the distinct keys of each piece, in order and cut at shards, and how often its
+    training texts have them."""
+    width = KEY_BYTES
 
-def ngram_levels(filters: list[LogBloom], hashes: np.ndarray, one: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For n = 1, 2, ...: the keys of the n-grams that end at each token, their levels, and which are probed: those whose
-    first and last n - 1 words are in the filter of the length below. ``one``: the levels of the distinct words."""
-    place = np.arange(len(flat)) - np.repeat(starts, np.diff(np.append(starts, len(flat))))
-    word = hashes[flat]
-    keys, levels, able = word, one[flat], np.ones(len(flat), bool)
-    yield keys, levels, able
-    for n in range(2, len(filters) + 2):
-        able = np.zeros(len(flat), bool)
-        able[1:] = (levels[1:] > 0) & (levels[:-1] > 0) & (place[1:] >= n - 1)
-        at = np.flatnonzero(able)
-        longer = np.zeros(len(flat), np.uint64)
-        longer[at] = join_keys(keys[at - 1], word[at])
-        levels = np.zeros(len(flat), np.int64)
-        if n <= len(filters):
-            levels[at] = filters[n - 1].levels(longer[at])
-        keys = longer
-        yield keys, levels, able
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            for number, asked, body in zip(*(batch.column(x) for x in ("piece", "asked", "body")), strict=True):
+                piece, distinct, flat, starts = _opened(body.as_py())
+                trains = np.repeat(np.array(piece.column("trains").to_pylist(), bool), np.diff(np.append(starts, len(flat))))
+                keys, ends = ngram_keys(distinct, flat, starts, order)
+                times = np.concatenate([np.bincount(flat[trains], minlength=len(distinct)), *(trains[at] for at in ends)])
+                keys, inverse = np.unique(keys, return_inverse=True)
+                counts = np.bincount(inverse, times, len(keys))
+                cut = np.searchsorted(keys >> np.uint64(64 - shards.bit_length() + 1), np.arange(shards + 1, dtype=np.uint64))
+                raw = np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+                sizes = np.minimum(counts, 2**32 - 1).astype("<u4")
+                some = np.flatnonzero(np.diff(cut)).tolist()
+                columns = [
+                    pa.array(some, pa.int32()), pa.array([number.as_py()] * len(some), pa.int64()), pa.array([asked.as_py()] * len(some), pa.bool_()),
+                    pa.array([raw[width * cut[s] : width * cut[s + 1]] for s in some], pa.binary()), pa.array([zlib.compress(sizes[cut[s] : cut[s + 1]].tobytes(), 1) for s in some], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "piece", "asked", "keys", "counts"])
+
+    return pieces.select("piece", "asked", "body").mapInArrow(run, "shard int, piece long, asked boolean, keys binary, counts binary")
+
+
+def _levels(keys: DataFrame, shards: int) -> DataFrame:
+    """(piece, shard, levels): each shard adds up its counts, makes its segment of the filter and probes it for the keys of
+    each piece, a byte for each."""
+    width = KEY_BYTES
 
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = None, []
 
-def _ngrams(train: DataFrame, filters, shards: int) -> DataFrame:
-    """Counts of the n-grams one longer than ``filters`` (a broadcast) reaches, added up by pieces of text."""
+        def emit() -> pa.RecordBatch:
+            raw = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, width)
+            wide = np.zeros((len(raw), 8), np.uint8)
+            wide[:, :width] = raw
+            all_keys = wide.view("<u8").ravel()
+            k, inverse = np.unique(all_keys, return_inverse=True)
+            c = np.bincount(inverse, np.frombuffer(b"".join(zlib.decompress(r[3]) for r in rows), "<u4"), len(k))
+            some = c >= FLOOR
+            bits = segment(k[some], level_of(c[some], FLOOR)).tobytes()
+            out = LogBloom.of({0: bits}, 1, FLOOR).levels(k).astype(np.uint8)[inverse].tobytes()
+            ends = np.cumsum([len(r[2]) // width for r in rows]).tolist()
+            asked = [(r[0], zlib.compress(out[a:b], 1)) for r, a, b in zip(rows, [0, *ends], ends, strict=False) if r[1]]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in asked], pa.int64()), pa.array([held] * len(asked), pa.int32()), pa.array([r[1] for r in asked], pa.binary())], names=["piece", "shard", "levels"])
 
-    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [LogBloom(*x) for x in filters.value]
         for batch in found:
-            for piece in slices(batch, "text", PIECE):
-                distinct, flat, starts = tokens_of(texts(piece.column("text")))
-                hashes = hash_words(distinct)
-                *_, (keys, _, able) = ngram_levels(held, hashes, held[0].levels(hashes), flat, starts)
-                yield _packed(*np.unique(keys[able], return_counts=True), shards)
+            for shard, *row in zip(*(batch.column(x).to_pylist() for x in ("shard", "piece", "asked", "keys", "counts")), strict=True):
+                if held is not None and shard != held:
+                    yield emit()
+                    rows = []
+                held = shard
+                rows.append(row)
+        if rows:
+            yield emit()
 
-    return train.select("text").mapInArrow(run, _PACKED)
+    return keys.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, "piece long, shard int, levels binary")
 
 
 @dataclass
 class Model:
     """What scoring needs: N tokens, V distinct ones, the discount of the word counts, their table, the exact counts of
-    frequent words and the filters by length."""
+    frequent words, and the training texts, whose n-grams are counted where they are probed."""
 
     tokens: int
     types: int
     discount: float
     words: DataFrame
     frequent: dict[bytes, int]
-    filters: list[LogBloom]
+    source: DataFrame
+    order: int
 
 
 def train(df: DataFrame, order: int = 3, text_col: str = "text") -> Model:
     """A model of all texts of ``df``; a null text is an empty one."""
-    spark = df.sparkSession
     df = df.select(F.col(text_col).cast("string").alias("text"))
     words = word_counts(df)
     one = lambda k: F.count(F.when(F.col("n") == k, 1))
     n, v, n1, n2 = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), one(1), one(2)).first()
     frequent = {r["word"].encode(): r["n"] for r in words.where(F.col("n") >= max(2, math.ceil(n * WORD_SHARE))).toLocalIterator()}
-    floor = max(2, math.ceil(n * SHARE))
-    shards = 1 << max(4, (n // SHARD_KEYS).bit_length())
-    filters = [LogBloom.of(_segments(_unigrams(words.where(F.col("n") >= floor), shards), shards, floor), shards, floor)]
-    while len(filters) < order:
-        filters.append(LogBloom.of(_segments(_ngrams(df, spark.sparkContext.broadcast([x.parts() for x in filters]), shards), shards, floor), shards, floor))
-    return Model(n, v, min(max(n1 / max(n1 + 2 * n2, 1), 0.1), 0.9), words, frequent, filters)
+    return Model(n, v, min(max(n1 / max(n1 + 2 * n2, 1), 0.1), 0.9), words, frequent, df, order)
 
 
-def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", trained: Column | None = None) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) for each row of ``df``; log10 probabilities of its whole text and end.
 
-    Words below the model's shares are looked up by a join of their own on the exact counts, so counts of all lengths are
+    ``trained``: of which rows of ``df`` the model is, if it is of rows of ``df``; these are then read once for both.
+    Words below the model's share are looked up by a join of their own on the exact counts, so counts of all lengths are
     complete. A null or empty text is its end alone. Repeated rows and null ids are rows of their own; with no training
     text every token is unknown and has probability 1; an empty table gives no rows; further columns are not read.
     """
-    n, v, d = model.tokens, model.types, model.discount
-    sent = df.sparkSession.sparkContext.broadcast((model.frequent, [x.parts() for x in model.filters]))
+    n, v, d, order = model.tokens, model.types, model.discount, model.order
+    sent = df.sparkSession.sparkContext.broadcast(model.frequent)
     total = n + v + 1
     kind = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64()), ("below", pa.int64())]))
 
-    def step(piece: pa.RecordBatch, frequent: dict[bytes, int], filters: list[LogBloom]) -> pa.RecordBatch:
-        distinct, flat, starts = tokens_of(texts(piece.column("text")))
-        hashes = hash_words(distinct)
+    def step(body: bytes, found: np.ndarray, frequent: dict[bytes, int]) -> pa.RecordBatch:
+        piece, distinct, flat, starts = _opened(body)
         exact = np.fromiter((frequent.get(w, 0) for w in distinct), np.float64, len(distinct))
-        one = filters[0].levels(hashes)
-        counts = np.where(exact > 0, exact, estimate(one, filters[0].floor))
+        keys, ends = ngram_keys(distinct, flat, starts, order)
+        found = found[np.unique(keys, return_inverse=True)[1]].astype(np.int64)
+        one, cuts = found[: len(distinct)], np.cumsum([len(distinct), *map(len, ends)])
+        counts = np.where(exact > 0, exact, estimate(one, FLOOR))
         below = counts == 0
         p = np.where(below, 1.0, np.minimum(1.0, (counts - d) / max(n, 1)))[flat]
-        held = np.zeros(len(flat))
-        for k, (_, levels, _) in enumerate(ngram_levels(filters, hashes, one, flat, starts)):
-            if k == len(filters):
-                break
-            now = estimate(levels, filters[k].floor)
-            if k:
-                context = np.concatenate(([0.0], held[:-1]))
-                context[starts] = 0
-                share = np.minimum(1.0, now / np.maximum(context, 1e-9))
-                p = np.where(context > 0, np.where(below[flat], 0.0, WEIGHT * share) + (1 - WEIGHT) * p, p)
-            held = now
+        levels = one[flat]
+        for k, at in enumerate(ends):
+            # One that is there has its first and last n - 1 words there too.
+            longer = np.zeros(len(flat), np.int64)
+            longer[at] = np.where((levels[at] > 0) & (levels[at - 1] > 0), found[cuts[k] : cuts[k + 1]], 0)
+            context = np.concatenate(([0.0], estimate(levels, FLOOR)[:-1]))
+            context[starts] = 0
+            share = np.minimum(1.0, estimate(longer, FLOOR) / np.maximum(context, 1e-9))
+            p = np.where(context > 0, np.where(below[flat], 0.0, WEIGHT * share) + (1 - WEIGHT) * p, p)
+            levels = longer
         base = np.where(exact > 0, np.log10((exact + 1) / total), 0.0)
         known = (exact > 0)[flat]
         owner = np.repeat(np.arange(piece.num_rows), np.diff(np.append(starts, len(flat))))
@@ -323,16 +333,32 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
         lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(piece.num_rows + 1)), pa.int32()), rest).cast(kind)
         add = lambda x: np.add.reduceat(x, starts) if len(starts) else x
         columns = [piece.column("doc_id"), pa.array(add(np.ones(len(flat), np.int64))), pa.array(add(known.astype(np.int64))), pa.array(add(base[flat])), pa.array(add(np.log10(p))), lists]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "known", "base", "model", "rest"])
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "known", "base", "model", "rest"]).filter(piece.column("scored"))
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, filters = sent.value[0], [LogBloom(*x) for x in sent.value[1]]
+        frequent, body, got = sent.value, None, []
         for batch in found:
-            for piece in slices(batch, "text"):
-                yield step(piece, frequent, filters)
+            for shard, levels, more in zip(*(batch.column(x).to_pylist() for x in ("shard", "levels", "body")), strict=True):
+                if shard >= 0:
+                    got.append(zlib.decompress(levels))
+                    continue
+                if body is not None:
+                    yield step(body, np.frombuffer(b"".join(got), np.uint8), frequent)
+                body, got = more, []
+        if body is not None:
+            yield step(body, np.frombuffer(b"".join(got), np.uint8), frequent)
 
     schema = "doc_id long, n_tokens long, known long, base double, model double, rest array<struct<word:string,times:long,below:long>>"
-    rows = text_table(df, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    no = F.lit(False)
+    rows = text_table(df, id_col, text_col, (no if trained is None else F.coalesce(trained, no)).alias("trains"), F.lit(True).alias("scored")).withColumn("doc_id", F.col("doc_id").cast("long"))
+    if trained is None:
+        rows = rows.unionByName(model.source.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("trains"), no.alias("scored")))
+    pieces = _pieces(rows)
+    shards = 1 << max(4, (order * (pieces.agg(F.sum("size")).first()[0] or 0) // TOKEN_BYTES // SHARD_KEYS).bit_length())
+    # A piece's own row comes before its levels, these by shard: in the order of its keys.
+    levels = _levels(_keys(pieces, order, shards), shards).select("piece", "shard", "levels", F.lit(None).cast("binary").alias("body"))
+    own = pieces.where("asked").select("piece", F.lit(-1).alias("shard"), F.lit(None).cast("binary").alias("levels"), "body")
+    rows = own.unionByName(levels).repartition("piece").sortWithinPartitions("piece", "shard").select("shard", "levels", "body").mapInArrow(run, schema)
     rows = shared.written(rows.select(F.monotonically_increasing_id().alias("row"), "*"), "scored")
     rare = rows.select("row", F.explode("rest").alias("r")).select("row", "r.*").join(model.words, "word", "left").withColumn("c", F.coalesce("n", F.lit(0)))
     word = F.when(F.col("c") > 0, F.col("c") - d).otherwise(F.lit(d * v if v else 1.0)) / max(n, 1)
