@@ -256,13 +256,22 @@ SELECT granule, key_id, round(x, 6) + 0.0 AS alongtrack_x, round(te, 6) + 0.0 AS
 round(als, 6) + 0.0 AS als_h_te_median, coalesce(nullif(nc, 0), -1) AS als_n_canopy FROM a LEFT JOIN b USING (granule, key_id)"""
 
 
-@query("topobathy_merge", _MERGE)
-def topobathy_merge(spark, sf_dir):
+def _merge(spark, sf_dir, lineitem):
     from topolidar.plans import pipelines
 
     kind = F.col("event_type")
     cls = F.when(kind == "click", 1).when(kind == "view", 2).when(kind == "signup", 3).when(kind == "purchase", 40).otherwise(0)
     photons = table(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("granule"), F.col("event_id").alias("alongtrack"), F.col("value").alias("h_ph"), (F.col("value") - 10).alias("h_norm"), cls.alias("combined_class"))
-    lidar = table(spark, sf_dir, "lineitem").where("l_orderkey < 9000").select((F.col("l_orderkey") % 3).alias("granule"), F.col("l_orderkey").alias("alongtrack"), F.col("l_quantity").alias("ortho_h"), F.col("l_linenumber").alias("classification"))
+    lidar = lineitem.select((F.col("l_orderkey") % 3).alias("granule"), F.col("l_orderkey").alias("alongtrack"), F.col("l_quantity").alias("ortho_h"), F.col("l_linenumber").alias("classification"))
     out = pipelines.topobathy(photons, lidar, 50.0, ["granule"])
     return out.select("granule", "key_id", r("alongtrack_x").alias("alongtrack_x"), *(r(c).alias(c) for c in ("h_te_median", "h_canopy", "als_h_te_median")), *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("n_terrain", "als_n_canopy")))
+
+
+@query("topobathy_merge", _MERGE)
+def topobathy_merge(spark, sf_dir):
+    return _merge(spark, sf_dir, table(spark, sf_dir, "lineitem").where("l_orderkey < 9000"))
+
+
+@query("topobathy_merge_all", _MERGE.replace(" WHERE l_orderkey < 9000", ""))
+def topobathy_merge_all(spark, sf_dir):
+    return _merge(spark, sf_dir, table(spark, sf_dir, "lineitem"))
