@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -12,45 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topolidar.functions.rules import right_closed_bin
+from topolidar.operators import clusters
 
 ROOF = 6
 
 
-def dbscan(points: np.ndarray, eps: float = 3.0, least: int = 10) -> np.ndarray:
-    """Cluster numbers, -1 for noise; a core point has ``least`` points within ``eps``, itself included. Points are looked
-    up in cells of ``eps``, so the work follows the number of neighbours."""
-    cells: dict[tuple, list[int]] = {}
-    keys = np.floor(points / eps).astype(int)
-    for i, key in enumerate(map(tuple, keys)):
-        cells.setdefault(key, []).append(i)
-
-    def around(i: int) -> np.ndarray:
-        a, b = keys[i]
-        near = np.array([j for u in (a - 1, a, a + 1) for v in (b - 1, b, b + 1) for j in cells.get((u, v), ())])
-        return near[((points[near] - points[i]) ** 2).sum(axis=1) <= eps * eps]
-
-    labels, cluster = np.full(len(points), -2), 0
-    for i in range(len(points)):
-        if labels[i] != -2:
-            continue
-        near = around(i)
-        if len(near) < least:
-            labels[i] = -1
-            continue
-        labels[i], queue = cluster, deque(near)
-        while queue:
-            j = queue.popleft()
-            if labels[j] == -1:
-                labels[j] = cluster
-            if labels[j] != -2:
-                continue
-            labels[j], more = cluster, around(j)
-            if len(more) >= least:
-                queue.extend(more)
-        cluster += 1
-    return labels
-
-
 def robust_line(x: np.ndarray, y: np.ndarray, residual: float = 1.5) -> tuple[float, float, np.ndarray] | None:
     """(slope, intercept, inliers): of the lines through two points the one with most inliers, then the least residuals,
     fitted again to its inliers. All pairs are tried, as there are few points, so the result is always the same."""
@@ -72,11 +37,12 @@ def robust_line(x: np.ndarray, y: np.ndarray, residual: float = 1.5) -> tuple[fl
     return float(m), float(b), inliers
 
 
-def is_valid_wall(x: np.ndarray, y: np.ndarray, inliers: np.ndarray, least: float = 0.7, bend: float = 1.5) -> bool:
-    """Enough inliers, and the middle third no further than ``bend`` from the mean of the outer two."""
+def is_valid_wall(x: np.ndarray, y: np.ndarray, line: tuple[float, float, np.ndarray], least: float = 0.7, bend: float = 1.5) -> bool:
+    """Enough inliers, and the residuals' middle third no further than ``bend`` from the mean of the outer two."""
+    slope, intercept, inliers = line
     if not len(x) or inliers.mean() < least:
         return False
-    parts = np.array_split(y[np.argsort(x, kind="stable")], 3)
+    parts = np.array_split((y - (slope * x + intercept))[np.argsort(x, kind="stable")], 3)
     if any(len(p) == 0 for p in parts):
         return True
     left, middle, right = (p.mean() for p in parts)
@@ -87,34 +53,57 @@ _EDGE = "slope double, intercept double, valid boolean, reason string"
 EDGE_SCHEMA = f"entry struct<{_EDGE}>, exit struct<{_EDGE}>"
 
 
-def building_edges(points: DataFrame, buildings: DataFrame, by: Sequence[str] = ("building_id",), x: str = "crosstrack", y: str = "alongtrack", cls: str = "classification", reach: float = 6.0) -> DataFrame:
+def roof_ends(roof: pd.DataFrame, reach: float) -> list[np.ndarray]:
+    """For each bin of one metre across, the least across and the least along (near wall), and the largest ones (far wall),
+    each for itself. ``roof``: x0, x1, y0, y1 of points or of cells that lie in one bin."""
+    number = np.clip(np.floor(roof["x0"].to_numpy()) + reach + 1, 0, 2 * reach + 1)
+    bins = roof.groupby(number).agg(x0=("x0", "min"), x1=("x1", "max"), y0=("y0", "min"), y1=("y1", "max"))
+    return [bins[["x0", "y0"]].to_numpy(), bins[["x1", "y1"]].to_numpy()]
+
+
+def wall(ends: np.ndarray) -> dict:
+    line = robust_line(ends[:, 0], ends[:, 1]) if len(ends) >= 2 else None
+    if line is None:
+        return {"slope": None, "intercept": None, "valid": False, "reason": "line"}
+    ok = is_valid_wall(ends[:, 0], ends[:, 1], line)
+    return {"slope": line[0], "intercept": line[1], "valid": ok, "reason": "ok" if ok else "wall"}
+
+
+def building_edges(points: DataFrame, buildings: DataFrame, by: Sequence[str] = ("building_id",), x: str = "crosstrack", y: str = "alongtrack", cls: str = "classification", reach: int = 6) -> DataFrame:
     """(by, entry, exit): the lines along = slope * across + intercept of the near and far wall of each building, from the
     roof points (class 6) of the cluster nearest to its centre (``buildings``: by, x0, y0). Buildings without roof points or
-    a cluster have NULL edges. A group is the roof of one building."""
+    a cluster have NULL edges. Clusters come from cells (``clusters.roof_parts``), so a task holds what a building's area
+    bounds, however many points lie in it."""
+    rows = points.where(F.col(cls) == ROOF).join(buildings.select(*by, F.col("x0").alias("_x0"), F.col("y0").alias("_y0")), list(by))
+    d2 = F.pow(F.col(x) - F.col("_x0"), F.lit(2)) + F.pow(F.col(y) - F.col("_y0"), F.lit(2))
+    parts = clusters.roof_parts(rows.select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), d2.alias("d2")), by)
     kinds = {f.name: f.dataType.simpleString() for f in buildings.schema.fields}
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), EDGE_SCHEMA])
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, at, xy = [pdf[c].iloc[0] for c in by], pdf[["_x0", "_y0"]].iloc[0].to_numpy(float), pdf[[x, y]].to_numpy(float)
-        labels = dbscan(xy)
-        found = [None, None]
-        if (labels >= 0).any():
-            members = np.flatnonzero(labels >= 0)
-            chosen = labels[members[((xy[members] - at) ** 2).sum(axis=1).argmin()]]
-            roof = xy[labels == chosen]
-            number = np.digitize(roof[:, 0], np.arange(-reach, reach + 1))
-            for side, pick in enumerate((np.min, np.max)):
-                ends = np.array([(pick(roof[number == k, 0]), pick(roof[number == k, 1])) for k in np.unique(number)])
-                line = robust_line(ends[:, 0], ends[:, 1]) if len(ends) >= 2 else None
-                ok = line is not None and is_valid_wall(ends[:, 0], ends[:, 1], line[2])
-                found[side] = {"slope": line[0], "intercept": line[1], "valid": ok, "reason": "ok" if ok else "wall"} if line else {"slope": None, "intercept": None, "valid": False, "reason": "line"}
+        key = [pdf[c].iloc[0] for c in by]
+        chosen = clusters.nearest_cluster(pdf)
+        found = [None, None] if chosen is None else [wall(ends) for ends in roof_ends(chosen, reach)]
         return pd.DataFrame([[*key, *found]], columns=[*by, "entry", "exit"])
 
-    rows = points.where(F.col(cls) == ROOF).join(buildings.select(*by, F.col("x0").alias("_x0"), F.col("y0").alias("_y0")), list(by))
-    edges = rows.select(*by, x, y, "_x0", "_y0").groupBy(*by).applyInPandas(fit, schema)
+    edges = parts.groupBy(*by).applyInPandas(fit, ", ".join([*(f"{c} {kinds[c]}" for c in by), EDGE_SCHEMA]))
     return buildings.select(*by).join(edges, list(by), "left")
 
 
+def checked_edges(found: DataFrame, points: DataFrame, by: Sequence[str] = ("building_id",), x: str = "crosstrack", y: str = "alongtrack") -> DataFrame:
+    """(by, direction, slope, intercept, valid, reason, roof_median_h, roof_iqr): the walls of ``building_edges``, one a row;
+    those that are straight are held to the conditions around them, of which the first that fails is the reason. ``points``
+    have h_norm and classification. Distances are along the track, towards the roof."""
+    side = lambda name: F.struct(F.lit(name).alias("direction"), F.col(name).alias("e"))
+    walls = found.select(*by, F.explode(F.array(side("entry"), side("exit"))).alias("s")).select(*by, "s.direction", "s.e.*").where("reason is not null")
+    ahead = F.col(y) - (F.col("slope") * F.col(x) + F.col("intercept"))
+    around = points.select(*by, x, y, "h_norm", "classification").join(walls.where("valid").select(*by, "direction", "slope", "intercept"), list(by))
+    around = around.withColumn("distance", F.when(F.col("direction") == "exit", -ahead).otherwise(ahead)).where(F.abs("distance") <= 8.0)
+    checks = local_edge_conditions(around, [*by, "direction"]).select(*by, "direction", F.col("reason").alias("_why"), "roof_median_h", "roof_iqr")
+    out = walls.join(checks, [*by, "direction"], "left")
+    why = F.when(F.col("valid"), F.coalesce("_why", F.lit("few roof points"))).otherwise(F.col("reason"))
+    return out.select(*by, "direction", "slope", "intercept", (why == "ok").alias("valid"), why.alias("reason"), "roof_median_h", "roof_iqr")
+
+
 def edge_points(df: DataFrame, across: str, along: str, by: Sequence[str], low: float = -6.0, high: float = 6.0, step: float = 1.0) -> DataFrame:
     """The least and largest across and along, each for itself, in bins of across."""
     from topolidar.functions.rules import digitized
