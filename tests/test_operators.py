@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from topolidar.functions import geo, geometry, meta, rules
 from topolidar.functions.aggregates import Recipe
-from topolidar.operators import edges, labels, offset, ordered, profile, reshape, segments, spatial
+from topolidar.operators import clusters, edges, labels, offset, ordered, profile, reshape, segments, spatial
 
 
 def rows(df):
@@ -113,11 +113,49 @@ def test_wide_families(spark):
     assert reshape.expand_families(df, ["gone"]).count() == 0
 
 
-def test_dbscan_finds_two_blobs():
-    rng = np.random.default_rng(0)
-    points = np.vstack((rng.normal(0, 0.5, (40, 2)), rng.normal(20, 0.5, (40, 2)), [[100, 100]]))
-    found = edges.dbscan(points)
-    assert len(set(found[:40])) == 1 and len(set(found[40:80])) == 1 and found[0] != found[40] and found[80] == -1
+def brute_clusters(p, eps, least):
+    """Labels of DBSCAN, -1 for noise; clusters by their smallest core cell, to which points that two of them reach go."""
+    near = ((p[:, None] - p[None]) ** 2).sum(axis=2) <= eps * eps
+    core = near.sum(axis=1) >= least
+    cell = np.floor(p / clusters.CELL).astype(int)
+    labels, order = np.full(len(p), -1), sorted(np.flatnonzero(core), key=lambda i: tuple(cell[i]))
+    for n, i in enumerate(order):
+        if labels[i] >= 0:
+            continue
+        labels[i], todo = n, [i]
+        while todo:
+            for k in np.flatnonzero(near[todo.pop()] & core & (labels < 0)):
+                labels[k] = n
+                todo.append(k)
+    for i in np.flatnonzero(~core):
+        found = labels[near[i] & core]
+        labels[i] = found.min() if len(found) else -1
+    return labels
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_clusters_like_brute_force(spark, seed):
+    # Dense blobs that are all heavy cells, some of them just under or over EPS apart, among sparse points and repeated ones.
+    rng, rows = np.random.default_rng(seed), []
+    centres = [(b, 0.0, 0.0) for b in range(6)]
+    for b, *_ in centres:
+        blobs = [rng.uniform(-9, 9, 2) + rng.uniform(0, (0.4, 1.5, 4)[k], (int(rng.integers(12, 60)), 2)) for k in rng.integers(0, 3, 4)]
+        left = rng.uniform(0, 0.5, (40, 2)) - [6.0, 0]
+        right = rng.uniform(0, 0.5, (40, 2)) + [left[:, 0].max() + 3.0 + (0.02 if b % 2 else -0.02) - 0.25, 0]
+        cloud = np.vstack((*blobs, rng.uniform(-10, 10, (int(rng.integers(0, 120)), 2)), left, right))
+        rows += [(b, *p) for p in np.vstack((cloud, cloud[:5], cloud[:5])).tolist()]
+    df = spark.createDataFrame(rows, "b int, x double, y double").withColumn("d2", F.col("x") ** 2 + F.col("y") ** 2)
+    parts = clusters.roof_parts(df, ["b"]).toPandas()
+    assert (parts["kind"] == 1).any() and (parts["kind"] == 2).any()
+    for b, *_ in centres:
+        p = np.array([r[1:] for r in rows if r[0] == b])
+        labels = brute_clusters(p, clusters.EPS, clusters.LEAST)
+        d2 = np.where(labels < 0, np.inf, (p**2).sum(axis=1))
+        chosen = p[labels == labels[d2.argmin()]]
+        got = clusters.nearest_cluster(parts[parts["b"] == b])
+        assert np.where(got["kind"] == 0, 1, got["n"]).sum() == len(chosen)
+        assert (got["x0"].min(), got["x1"].max(), got["y0"].min(), got["y1"].max()) == (*chosen[:, 0].min(keepdims=True), *chosen[:, 0].max(keepdims=True), *chosen[:, 1].min(keepdims=True), *chosen[:, 1].max(keepdims=True))
+        assert (edges.roof_ends(got, 6)[0] == edges.roof_ends(pd.DataFrame({"x0": chosen[:, 0], "x1": chosen[:, 0], "y0": chosen[:, 1], "y1": chosen[:, 1]}), 6)[0]).all()
 
 
 def test_planted_edge_is_found(spark):
@@ -133,25 +171,42 @@ def test_planted_edge_is_found(spark):
 def test_shift_is_recovered(spark):
     rng = np.random.default_rng(3)
     truth = lambda x, y: np.sin(x / 3) + np.cos(y / 4)
-    gx, gy = np.meshgrid(np.arange(-30, 30, 0.5) + 0.25, np.arange(0, 60, 0.5) + 0.25)
-    cells = spark.createDataFrame(pd.DataFrame({"cx": np.floor(gx.ravel() / 0.5).astype(int), "cy": np.floor(gy.ravel() / 0.5).astype(int), "surface": truth(gx, gy).ravel()}))
-    px, py = rng.uniform(-5, 5, 300), rng.uniform(15, 45, 300)
-    photons = spark.createDataFrame(pd.DataFrame({"crosstrack": px - 2.0, "alongtrack": py + 1.5, "h_ph": truth(px, py)}))
-    best = offset.best_shift(offset.shift_costs(photons, cells, 0.5, reach=4.0)).first()
-    assert (best["dx"], best["dy"]) == (2.0, -1.5)
-    at, value = offset.simplex(lambda p: (p[0] - 1.2) ** 2 + (p[1] + 0.7) ** 2, [0, 0])
-    assert at == pytest.approx([1.2, -0.7], abs=1e-2) and value < 1e-3
-
-
-def test_holes_take_the_nearest_cell():
-    grid = np.full((6, 7), np.nan)
-    grid[0, 0], grid[5, 6], grid[2, 3] = 1, 2, 3
-    have = np.argwhere(~np.isnan(grid))
-    for (i, j), v in np.ndenumerate(offset.fill_holes(grid)):
-        d = ((have - [i, j]) ** 2).sum(axis=1)
-        assert v in {grid[tuple(h)] for h in have[d == d.min()]}
-    flat = np.add.outer(np.arange(6.0), np.arange(7.0))
-    assert offset.bilinear(flat, 0, 0, 1.0, np.array([2.0, 9.0]), np.array([3.5, 1.0]))[0] == pytest.approx(4.5)
+    gx, gy = rng.uniform(-25, 25, 60_000), rng.uniform(0, 700, 60_000)
+    ground = spark.createDataFrame(pd.DataFrame({"gt": "a", "crosstrack": gx, "alongtrack": gy, "z": truth(gx, gy)}))
+    px, py = rng.uniform(-5, 5, 3000), rng.uniform(15, 685, 3000)
+    photons = spark.createDataFrame(pd.DataFrame({"gt": "a", "crosstrack": px - 2.13, "alongtrack": py + 1.57, "h_ph": truth(px, py)}))
+    surface = offset.surface(ground, 1.0, ["gt"])
+    assert surface.count() == 3
+    costs = offset.shift_costs(photons, surface, 4.0, 0.5, ["gt"])
+    assert costs.count() == 256 and costs.where("n = 3000").count() == 256
+    best = offset.find_shift(photons, surface, ["gt"], reach=4.0, tolerance=0.05)
+    got = best.first()
+    assert got["dx"] == pytest.approx(2.13, abs=0.15) and got["dy"] == pytest.approx(-1.57, abs=0.15) and got["mae"] <= costs.agg(F.min("mae")).first()[0]
+    assert offset.z_shift(photons.withColumn("h_ph", F.col("h_ph") + 0.25), surface, best, ["gt"]).first()["z_shift"] == pytest.approx(0.25, abs=0.02)
+    assert offset.find_shift(photons.limit(0), surface, ["gt"], tolerance=1).count() == 0 and offset.find_shift(photons, offset.surface(ground.limit(0), 1.0, ["gt"]), ["gt"], tolerance=1).count() == 0
+
+
+def test_surface_is_the_grid_without_holes(spark):
+    # Cells of a track of several parts, some of them empty, against nearest cells and costs over the whole grid at once.
+    rng = np.random.default_rng(8)
+    x, y = rng.uniform(-6, 6, 300), np.concatenate((rng.uniform(0, 200, 200), rng.uniform(1200, 1500, 100)))
+    z = x + y / 50
+    df = spark.createDataFrame(pd.DataFrame({"crosstrack": x, "alongtrack": y, "z": z}))
+    parts = offset.surface(df, 1.0).toPandas().sort_values("part")
+    head = parts.iloc[0]
+    grid = np.concatenate([np.frombuffer(d, "<f8").reshape(-1, head["nx"]) for d in parts["data"]])
+    ix = np.minimum(((x - x.min()) * head["nx"] / np.ptp(x)).astype(int), head["nx"] - 1)
+    iy = np.minimum(((y - y.min()) * head["ny"] / np.ptp(y)).astype(int), head["ny"] - 1)
+    known = pd.DataFrame({"ix": ix, "iy": iy, "z": z}).groupby(["iy", "ix"])["z"].mean()
+    at, values = np.array(known.index.tolist()), known.to_numpy()
+    assert grid.shape == (head["ny"], head["nx"])
+    for i, j in zip(rng.integers(0, head["ny"], 2000), rng.integers(0, head["nx"], 2000), strict=True):
+        d = ((at - [i, j]) ** 2).sum(axis=1)
+        assert np.isclose(values[d == d.min()], grid[i, j]).any()
+    photons = pd.DataFrame({"crosstrack": rng.uniform(-8, 8, 200), "alongtrack": rng.uniform(-20, 1520, 200), "h_ph": 0.0})
+    for r in offset.shift_costs(spark.createDataFrame(photons), offset.surface(df, 1.0), 2.0, 1.0).collect():
+        over = offset.bilinear(grid.T, head["x0"], head["y0"], (head["rx"], head["ry"]), photons["crosstrack"] + r["dx"], photons["alongtrack"] + r["dy"])
+        assert r["n"] == (~np.isnan(over)).sum() and r["mae"] == pytest.approx(np.nanmean(np.abs(over)))
 
 
 def test_polygons_and_tracks(spark):

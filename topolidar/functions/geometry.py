@@ -16,6 +16,16 @@ def area(ring: Column) -> Column:
     return F.abs(F.aggregate(edges(ring), F.lit(0.0), lambda s, e: s + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])) / 2
 
 
+def centroid(ring: Column) -> Column:
+    """The centre of a ring's area as a struct x, y; of a ring without area the mean of its vertices."""
+    weight = lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]
+    total = lambda f: F.aggregate(edges(ring), F.lit(0.0), lambda s, e: s + f(e))
+    twice = total(weight)
+    mean = lambda c: F.aggregate(F.transform(ring, lambda p: p[c]), F.lit(0.0), lambda s, v: s + v) / F.size(ring)
+    at = lambda c: F.coalesce(F.try_divide(total(lambda e: weight(e) * (e["a"][c] + e["b"][c])), 3 * twice), mean(c)).alias(c)
+    return F.struct(at("x"), at("y"))
+
+
 def segment_distance(x: Column, y: Column, a: Column, b: Column) -> Column:
     """Distance of a point to the segment from a to b."""
     dx, dy = b["x"] - a["x"], b["y"] - a["y"]

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topolidar.functions import geo, rules
+from topolidar.functions import geo, geometry, rules
 from topolidar.operators import edges, labels, offset, ordered, reshape, segments, spatial
+from topolidar.sources import scratch
 
 BY = ("granule", "gt")
 
@@ -97,29 +98,34 @@ def land_segments_20m(land: DataFrame) -> DataFrame:
     return reshape.expand_families(land)
 
 
-def footprints(photons: DataFrame, swath: DataFrame, buildings: DataFrame, by: Sequence[str] = BY, tolerance: float = 1.0, cell: float = 1.0) -> DataFrame:
-    """Photons around the walls of buildings (by, building_id, ring in track coordinates): the swath moved by its best shift,
-    edges from its roofs, and each photon's distance to an edge and class. Buildings without edges give no rows."""
-    ground = swath.where("classification = 2")
-    cells = ground.groupBy(*by, F.floor(F.col("crosstrack") / cell).cast("long").alias("cx"), F.floor(F.col("alongtrack") / cell).cast("long").alias("cy")).agg(F.avg("z").alias("surface"))
-    terrain = photons.where("atl08_class = 1").withColumn("crosstrack", F.lit(0.0))
-    shifts = offset.best_shift(offset.shift_costs(terrain, cells, cell, by=by), by)
-    moved = offset.shifted(swath, shifts, by)
+def footprint_buildings(buildings: DataFrame, track: DataFrame, by: Sequence[str] = BY, simple: bool = False) -> DataFrame:
+    """Buildings (building_id, ring) that a track's photons (by, alongtrack, x, y) hit, with rings in track coordinates:
+    within 5 m of its line, over 100 square metres, and reaching beyond the footprint on both sides. ``simple``: only those
+    that the line enters and leaves once."""
+    lines = spatial.track_line(track, by, res=10.0)
+    met = spatial.corridor_buildings(buildings, lines, by, buffer=5.0, least_area=100.0)
+    return spatial.not_grazing(spatial.rings_to_track(spatial.simple_crossings(met) if simple else met)).select(*by, "building_id", "ring")
+
+
+def footprints(photons: DataFrame, swath: DataFrame, buildings: DataFrame, by: Sequence[str] = BY, tolerance: float = 1.0, cell: float = 1.0, shifts: DataFrame | None = None) -> DataFrame:
+    """Photons around the walls of buildings (by, building_id, ring in track coordinates): the swath moved by the shift that
+    fits terrain photons best over its ground, walls from its roofs, and each photon's distance to a wall that passed all
+    checks, at most 10 m, and class by the roof at the wall. Buildings without such walls, and tracks without ground, give
+    no rows. ``shifts`` (by, dx, dy): of offset.find_shift, if they are at hand."""
+    photons = photons.drop("crosstrack").withColumn("crosstrack", F.lit(0.0))
+    if shifts is None:
+        shifts = offset.find_shift(photons.where("atl08_class = 1"), offset.surface(swath.where("classification = 2"), cell, by), by)
     key = [*by, "building_id"]
-    around = spatial.clip(moved, buildings, 5.0, by).where(F.abs("crosstrack") < 7)
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
-    centres = buildings.select(*key, mean(xs).alias("x0"), mean(ys).alias("y0"))
-    found = edges.building_edges(around, centres, key)
-    roofs = around.where(F.col("classification") == edges.ROOF).groupBy(*key).agg(F.median("h_norm").alias("roof_h"))
-    sides = found.select(*key, F.explode(F.array(F.struct(F.lit("entry").alias("direction"), F.col("entry").alias("e")), F.struct(F.lit("exit").alias("direction"), F.col("exit").alias("e")))).alias("s")).select(*key, "s.direction", "s.e.*")
-    sides = sides.where("slope is not null").join(roofs, key)
+    around = scratch.written(spatial.clip(offset.shifted(swath, shifts, by), buildings, 21.0, by).where(F.abs("crosstrack") < 7), "around")
+    centre = geometry.centroid(F.col("ring"))
+    walls = scratch.written(edges.checked_edges(edges.building_edges(around, buildings.select(*key, centre["x"].alias("x0"), centre["y"].alias("y0")), key), around, key), "walls")
     # Photons meet the walls within 50 m of them by cells of 100 m along the track.
-    reach = sides.withColumn("_cell", F.explode(F.sequence(F.floor((F.col("intercept") - 50) / 100), F.floor((F.col("intercept") + 50) / 100))))
+    reach = walls.where("valid").withColumn("_cell", F.explode(F.sequence(F.floor((F.col("intercept") - 50) / 100), F.floor((F.col("intercept") + 50) / 100))))
     near = photons.withColumn("_cell", F.floor(F.col("alongtrack") / 100)).join(reach, [*by, "_cell"]).drop("_cell")
     near = edges.band(near, "alongtrack", F.col("intercept"))
-    d = rules.line_distance(F.lit(0.0), F.col("alongtrack"), F.col("slope"), F.col("intercept"), F.col("direction") == "exit")
-    return near.withColumn("distance", d).withColumn("photon_class", rules.photon_class(F.col("h_norm"), F.col("roof_h"), tolerance))
+    d = rules.line_distance(F.col("crosstrack"), F.col("alongtrack"), F.col("slope"), F.col("intercept"), F.col("direction") == "exit")
+    near = near.withColumn("distance", d).where(F.abs("distance") <= 10)
+    return near.withColumn("photon_class", rules.photon_class(F.col("h_norm"), F.col("roof_median_h"), tolerance))
 
 
 def tile_catalogue(headers: DataFrame, zone_of: str = "zone", south: bool = False) -> DataFrame:

@@ -260,14 +260,14 @@ def _surface(spark, sf_dir):
 @query("mae_shift_search", f"WITH {V_SQL}, {_SURFACE}, i AS (SELECT i * 0.5::DOUBLE - 10 AS d FROM range(0, 40) t(i)) SELECT a.d AS dx, b.d AS dy, round(avg(abs(z - surface)), 6) + 0.0 AS mae, count(*) AS n FROM ph, i AS a, i AS b JOIN su ON cx = CAST(floor((x + a.d) / 5) AS BIGINT) AND cy = CAST(floor((y + b.d) / 5) AS BIGINT) GROUP BY ALL")
 def mae_shift_search(spark, sf_dir):
     v, cells = _surface(spark, sf_dir)
-    out = offset.shift_costs(v, cells, 5.0, x="x", y="y", z="z")
+    out = offset.cell_costs(v, cells, 5.0)
     return out.select(F.col("dx").cast("double").alias("dx"), F.col("dy").cast("double").alias("dy"), r("mae").alias("mae"), "n")
 
 
 @query("z_shift", f"WITH {V_SQL}, {_SURFACE} SELECT round(coalesce(median(z - surface), 0), 6) + 0.0 AS z_shift FROM ph LEFT JOIN su ON cx = CAST(floor(x / 5) AS BIGINT) AND cy = CAST(floor(y / 5) AS BIGINT)")
 def z_shift(spark, sf_dir):
     v, cells = _surface(spark, sf_dir)
-    return offset.z_shift(v, cells, 5.0, x="x", y="y", z="z").select(r("z_shift").alias("z_shift"))
+    return offset.cell_median(v, cells, 5.0).select(r("z_shift").alias("z_shift"))
 
 
 _TILES = "tiles AS (SELECT 't' || i || '_' || j AS file_name, CAST(i * 10 AS DOUBLE) AS x_min, CAST(j * 10 AS DOUBLE) AS y_min, CAST(i * 10 + 10 AS DOUBLE) AS x_max, CAST(j * 10 + 10 AS DOUBLE) AS y_max FROM range(-4, 4) a(i), range(-4, 4) b(j))"
@@ -374,16 +374,36 @@ def tile_catalogue(spark, sf_dir):
     return out.select("file_name", r("x_min", 3).alias("x_min"), sound.alias("sound"))
 
 
+def _footprint_inputs(spark, sf_dir):
+    """A made-up swath and its photons: tracks by the labels' parity, one flat roof of 6 m over uneven ground for each."""
+    v = points(spark, sf_dir).withColumn("granule", F.lit("g")).withColumn("gt", F.concat(F.lit("gt"), (F.col("label") % 2).cast("string")))
+    x, y = F.col("x") / 4, F.col("y") / 4
+    roof = (F.abs(x) < 6.5) & (F.abs(y) < 2.5)
+    ground = F.sin(x) + F.cos(y / 2)
+    rows = v.select("granule", "gt", "vec_id", x.alias("crosstrack"), y.alias("alongtrack"), roof.alias("roof"), ground.alias("ground"), (F.col("z") / 100).alias("noise"))
+    swath = rows.select("granule", "gt", "crosstrack", "alongtrack", (F.col("ground") + F.when(F.col("roof"), 6.0).otherwise(0.0)).alias("z"), F.when(F.col("roof"), 6).otherwise(2).alias("classification"), F.when(F.col("roof"), 6.0).otherwise(0.0).alias("h_norm"))
+    along = F.col("alongtrack")
+    photons = rows.select("granule", "gt", "vec_id", along, (1.0 * F.cos(along / 2) + F.col("noise")).alias("h_ph"), F.when(F.abs(along) < 2.5, 2).otherwise(1).alias("atl08_class"), F.when(F.abs(along) < 2.5, 6.0).otherwise(0.0).alias("h_norm"))
+    ring = F.array(*(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in ((-8.0, -2.5), (8.0, -2.5), (8.0, 2.5), (-8.0, 2.5))))
+    buildings = v.select("granule", "gt").distinct().withColumn("building_id", F.lit(1)).withColumn("ring", ring)
+    return photons, swath, spatial.not_grazing(buildings)
+
+
 @query("footprint_photons")
 def footprint_photons(spark, sf_dir):
-    """The footprint pipeline over a made-up swath: roofs from the point cloud, one building for each track."""
+    """The footprint pipeline over the made-up swath, its photons counted by wall and class."""
     from topolidar.plans import pipelines
 
-    v = points(spark, sf_dir).withColumn("granule", F.lit("g")).withColumn("gt", F.concat(F.lit("gt"), (F.col("label") % 2).cast("string")))
-    roof = (F.abs("x") < 12) & (F.abs("y") < 12)
-    swath = v.select("granule", "gt", (F.col("x") / 4).alias("crosstrack"), (F.col("y") / 4).alias("alongtrack"), "z", F.when(roof, 6).otherwise(2).alias("classification"), F.when(roof, 6.0).otherwise(0.0).alias("h_norm"))
-    photons = v.select("granule", "gt", (F.col("y") / 4).alias("alongtrack"), F.col("z").alias("h_ph"), F.lit(1).alias("atl08_class"), F.when(roof, 6.0).otherwise(0.0).alias("h_norm"))
-    ring = F.array(*(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in ((-8.0, -4.0), (8.0, -4.0), (8.0, 4.0), (-8.0, 4.0))))
-    buildings = v.select("granule", "gt").distinct().withColumn("building_id", F.lit(1)).withColumn("ring", ring)
-    out = pipelines.footprints(photons, swath, spatial.not_grazing(buildings), cell=2.0)
+    out = pipelines.footprints(*_footprint_inputs(spark, sf_dir), cell=1.0)
     return out.groupBy("granule", "gt", "building_id", "direction", "photon_class").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("shift_search")
+def shift_search(spark, sf_dir):
+    """The shift of each track of the made-up swath, over its ground without holes, and what photons then lie above it."""
+    photons, swath, _ = _footprint_inputs(spark, sf_dir)
+    terrain = photons.where("atl08_class = 1").withColumn("crosstrack", F.lit(0.0))
+    ground = offset.surface(swath.where("classification = 2"), 1.0, ["granule", "gt"])
+    best = offset.find_shift(terrain, ground, ["granule", "gt"])
+    above = offset.z_shift(terrain, ground, best, ["granule", "gt"])
+    return best.join(above, ["granule", "gt"]).select("granule", "gt", *(r(c).alias(c) for c in ("dx", "dy", "mae", "z_shift")))
