@@ -270,6 +270,44 @@ def test_calls_are_linked_ordered_and_validated(spark):
     assert all(json.loads(r["json"]) for r in got.values())
 
 
+def test_depths_like_brute_force(spark):
+    rnd = random.Random(11)
+    ids = [f"c{i}" for i in range(120)]
+    needs = [(a, rnd.choice(ids)) for a in ids[60:] for _ in range(rnd.randint(0, 3))] + [(ids[i], ids[i - 1]) for i in range(1, 60)] + [("c70", "nobody"), ("elsewhere", "c0"), ("c71", None)]
+    of = {a: {b for x, b in needs if x == a and b is not None} for a in ids}
+    want, changed = {a: 0 for a in ids if not of[a]}, True
+    while changed:
+        new = {a: 1 + max(want[b] for b in of[a]) for a in ids if a not in want and of[a] <= want.keys()}
+        want |= new
+        changed = bool(new)
+    assert len(want) < len(ids) and max(want.values()) > 50
+    got = tool_calls.depths(spark.createDataFrame([(i,) for i in ids], "call_id string"), spark.createDataFrame(needs, "call_id string, needed string"))
+    assert {r["call_id"]: r["depth"] for r in got.collect()} == want
+
+
+def test_one_long_conversation(spark, tmp_path):
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", f"t{t}") for t in range(10_000)] + [(2, 0, "user", ""), (2, 7, "user", "x"), (3, 0, "assistant", "x")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["call_id"]: r for r in llm_queries.op7_tool_calls(spark, str(tmp_path)).collect()}
+    assert {k: r["depth"] for k, r in got.items()} == {f"1:{t}": t // 2 for t in range(0, 10_000, 2)} | {"2:0": 0, "2:7": 1}
+    assert not got["2:0"]["valid"] and got["2:7"]["valid"] and not got["2:7"]["linked"] and got["1:0"]["linked"]
+
+
+def test_arguments_that_json_cannot_say(spark):
+    schema = {"f": {"type": ["object", "array"], "properties": {"x": {"type": ["integer", "null"]}, "y": {"type": "strange"}}}}
+    cases = {
+        "ok": ('{"y": "\\ud83d\\ude00", "x": null}', []), "list": ("[1]", []), "wrong": ('{"x": "s"}', ["$.x: not of type integer or null"]), "half": ('{"x":"\\ud800"}', ["$: no JSON"]), "key": ('{"\\udfff":1}', ["$: no JSON"]),
+        "nan": ('{"x":NaN}', ["$: no JSON"]), "inf": ('{"x":1e999}', ["$: no JSON"]), "deep": ("[" * 100_000 + "]" * 100_000, ["$: nested too deep"]), "empty": ("", ["$: no JSON"]), "long": (json.dumps({"x": 1, "y": "é" * 1_000_000}), []), "scalar": ("1", ["$: not of type object or array"]),
+    }
+    calls = spark.createDataFrame([(1, k, "f", a) for k, (a, _) in cases.items()], "group_id long, call_id string, name string, arguments string").withColumns({c: F.lit(9) for c in ("depth", "content", "linked", "n", "needed", "next")})
+    none = spark.createDataFrame([], "call_id string, content string"), spark.createDataFrame([], "call_id string, needed string")
+    got = {r["call_id"]: r for r in tool_calls.link_calls(calls, *none, schema).collect()}
+    assert {k: r["faults"] for k, r in got.items()} == {k: w for k, (_, w) in cases.items()}
+    for k, r in got.items():
+        assert json.loads(r["json"])["arguments"] == (cases[k][0] if "$: n" in str(r["faults"]) and "not of" not in str(r["faults"]) else json.loads(cases[k][0]))
+    assert tool_calls.link_calls(calls.limit(0), *none, schema).count() == 0
+
+
 # 9
 
 

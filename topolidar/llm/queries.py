@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from topolidar.llm import bpe, language_model, licenses, separators, tool_calls, toxicity
 from topolidar.llm.chunks import dedup_substrings
@@ -104,16 +105,28 @@ FROM c LEFT JOIN r USING (id)
 """
 
 
+#: Turns of a conversation that one task orders.
+TURNS = 4096
+
+
+def _before(asked: DataFrame) -> DataFrame:
+    """(conv_id, turn, before): the turn of the same conversation before each; in two levels, of runs of turns and within
+    them, as one conversation may have a third of all rows."""
+    part = asked.where("turn is not null").select("conv_id", "turn").distinct().withColumn("part", F.floor(F.col("turn") / TURNS))
+    inner, outer = Window.partitionBy("conv_id", "part").orderBy("turn"), Window.partitionBy("conv_id").orderBy("part")
+    last = part.groupBy("conv_id", "part").agg(F.max("turn").alias("last")).select("conv_id", "part", F.lag("last").over(outer).alias("last"))
+    return part.withColumn("before", F.lag("turn").over(inner)).join(last, ["conv_id", "part"]).select("conv_id", "turn", F.coalesce("before", "last").alias("before"))
+
+
 @_query
 def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users' turns as calls, each of which needs the one before; the assistant's next turn is the result."""
     turns = _table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
-    call = lambda turn: F.concat_ws(":", "conv_id", turn)
+    call = lambda turn: F.concat(F.col("conv_id").cast("string"), F.lit(":"), (F.col(turn) if isinstance(turn, str) else turn).cast("string"))
     asked = turns.where("role = 'user'")
     calls = asked.select(F.col("conv_id").alias("group_id"), call("turn").alias("call_id"), F.lit("answer").alias("name"), F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("prompt"), "turn")).alias("arguments"))
     results = turns.where("role = 'assistant'").select(call(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
-    # The call before is one of the two turns before: no window over a conversation, which may be long.
-    needs = asked.select(call("turn").alias("call_id"), F.explode(F.array(call(F.col("turn") - 2), call(F.col("turn") - 1))).alias("needed")).join(calls.select(F.col("call_id").alias("needed")).distinct(), "needed", "left_semi")
+    needs = _before(asked).where("before is not null").select(call("turn").alias("call_id"), call("before").alias("needed"))
     linked = tool_calls.link_calls(calls, results, needs, {"answer": ANSWER})
     return linked.select(F.col("group_id").alias("conv_id"), "call_id", "depth", "linked", "valid", F.sha2("json", 256).alias("json_sha256"))
 
