@@ -21,7 +21,7 @@ SPACES = b"\t\n\x0b\x0c\r "
 class Chunking:
     """A cut falls before one word in ``words`` on average, wherever the last ``window`` bits of the gear hash, which depend
     on as many bytes, are small enough: a text that is moved has the same cuts from ``window`` bytes on. In words of over
-    ``long_word`` bytes (scripts without spaces) any character can be cut at. ``most`` bytes force a cut. Repeated chunks
+    ``long_word`` bytes (scripts without spaces) any character can be cut at. ``most`` bytes force a cut, before the character that holds the byte. Repeated chunks
     in a row are removed if they have ``least`` bytes or more together; what is shorter may repeat by chance."""
 
     words: int = 5
@@ -69,9 +69,13 @@ def cut(data: np.ndarray, offsets: np.ndarray, rule: Chunking) -> np.ndarray:
     at = at[(total & np.uint32((1 << rule.window) - 1)) < (1 << rule.window) // rule.words]
     cuts = np.union1d(begins, at)
     sizes = np.diff(cuts, append=len(data))
-    for i in np.flatnonzero(sizes > rule.most).tolist():
-        cuts = np.append(cuts, np.arange(cuts[i] + rule.most, cuts[i] + sizes[i], rule.most))
-    return np.sort(cuts)
+    long = np.flatnonzero(sizes > rule.most)
+    if not len(long):
+        return cuts
+    forced = np.concatenate([np.arange(cuts[i] + rule.most, cuts[i] + sizes[i], rule.most) for i in long.tolist()])
+    for _ in range(3):  # a character has at most three bytes after its first
+        forced -= (data[forced] & 0xC0) == 0x80
+    return np.union1d(cuts, forced)
 
 
 def digests(whole: bytes, cuts: np.ndarray) -> np.ndarray:
