@@ -1,27 +1,30 @@
-"""Benchmark decontamination with a positional inverted index, in DataFrame functions only.
+"""Benchmark decontamination with a distributed positional inverted index, in DataFrame functions only.
 
-The index keeps, for each document, the postings of the terms that anchor benchmark windows: a window's anchor is the one
-of its terms that is rarest in the documents, so that intersecting starts from the shortest list. A posting has the words
-around its place; intersecting it with the lists of the other terms at adjusted offsets is then a comparison in place.
+The index holds postings (term, document, place) of every term that the benchmark has, in segments that are made where the
+documents are read, each in the order of its terms. A benchmark window is looked up from its rarest term on: the postings of
+the rarest one give candidates, those of the second rarest at its offset leave few of them, and these are then intersected
+with the postings of all other terms at their offsets.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Sequence
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from topolidar.llm import shared
 from topolidar.llm.batches import text_table
 
 #: What separates words: ASCII other than digits and letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Rows of a table made from the benchmark up to which it is broadcast (some 100 MB); beyond, joins shuffle.
-BROADCAST_ROWS = 200_000
-#: Anchor terms that one pass over the documents looks for.
-PASS_TERMS = 20_000
+#: Rows up to which a table made from the benchmark is broadcast (some 100 MB at most), and up to which the numbers of
+#: documents with candidates are (some 60 MB); beyond, joins shuffle.
+BROADCAST_ROWS, BROADCAST_NUMBERS = 200_000, 2_000_000
+#: In the index: the row that each document has, at place 0, whatever its words are.
+DOCUMENT = -1
 
 
 def words(text: Column) -> Column:
@@ -29,9 +32,9 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), ascii_uppercase, ascii_lowercase), SEPARATORS), "")
 
 
-def _small(df: DataFrame) -> DataFrame:
+def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """A table to join with: broadcast if its counted rows are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def items_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -40,97 +43,104 @@ def items_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "tex
     return shared.written(found.where(F.size("words") > 0), "items")
 
 
-def term_counts(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(term, n): how often each term of the items occurs in all documents; terms that never do are left out."""
-    terms = shared.written(items.select(F.explode("words").alias("term")).distinct(), "terms")
-    found = docs.select(F.explode(words(F.col("text"))).alias("term")).join(_small(terms), "term")
-    return shared.written(found.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "counts")
-
-
-def _before(array: Column, at: Column, n: int) -> Column:
-    """Up to ``n`` elements before place ``at``, the nearest first."""
-    return F.reverse(F.slice(array, F.greatest(at - n + 1, F.lit(1)), F.least(at, F.lit(n))))
-
-
-def anchors_of(items: DataFrame, counts: DataFrame, width: int, reach: int) -> DataFrame:
-    """(term, item_id, at, left, right, size): the places in items whose term is the rarest of a window, ties to the smaller
-    term and then the earlier place. A window is ``width`` words of an item, or all words of a shorter one. Windows with a
-    term that no document has can't occur and get none."""
-    starts = F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - width, F.lit(0)))).alias("window")
-    terms = items.select("item_id", "words", starts).select("item_id", "window", F.posexplode(F.slice("words", F.col("window") + 1, F.lit(width))).alias("offset", "term"))
-    ranked = terms.join(_small(counts), "term", "left").groupBy("item_id", "window")
-    rarest = ranked.agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", (F.col("window") + F.col("offset")).alias("at"))).alias("a")).where("a.n > 0")
-    places = rarest.select("item_id", F.col("a.at").alias("at")).distinct().join(items, "item_id")
-    at = F.col("at")
-    found = places.select(F.col("words")[at].alias("term"), "item_id", "at", _before(F.col("words"), at, reach).alias("left"), F.slice("words", at + 2, F.lit(reach)).alias("right"), F.size("words").alias("size"))
-    return shared.written(found, "anchors")
-
-
-def build_index(docs: DataFrame, anchors: DataFrame, reach: int) -> DataFrame:
-    """(row, doc_id, n_words, postings): for each document the places of anchor terms, each with the ``reach`` words before
-    (nearest first) and after it. Written to the shared folder; ``row`` tells rows with equal or null ids apart."""
-    terms = sorted(r[0] for r in anchors.select("term").distinct().collect())  # grows with the benchmark only
-
-    def postings(tokens: Column, some: list[str]) -> Column:
-        places = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: tokens[i].isin(some))
-        found = F.transform(places, lambda i: F.struct(tokens[i].alias("term"), i.alias("pos"), _before(tokens, i, reach).alias("left"), F.slice(tokens, i + 2, F.lit(reach)).alias("right")))
-        return F.when(F.size(tokens) > 0, found)
-
-    def of(tokens: Column) -> Column:
-        parts = [postings(tokens, terms[i : i + PASS_TERMS]) for i in range(0, len(terms), PASS_TERMS)]
-        return F.struct(F.size(tokens).cast("long").alias("n_words"), (F.concat(*parts) if parts else F.lit(None).cast("array<struct<term:string,pos:int,left:array<string>,right:array<string>>>")).alias("postings"))
-
-    # The tokens are bound to a lambda's variable, so that they are split once and not for each place.
-    found = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.transform(F.array(words(F.col("text"))), of)[0].alias("x"))
-    return shared.written(found.select("row", "doc_id", "x.*"), "index")
-
-
-def _same(a: str, b: str) -> Column:
-    """Leading elements that two arrays share."""
-    first = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False))
-    return F.when(first > 0, first - 1).otherwise(F.size(a)).cast("int")
-
-
-def _met(index: DataFrame, anchors: DataFrame) -> DataFrame:
-    rows = index.select("row", F.explode("postings").alias("p")).select("row", F.col("p.term").alias("term"), "p.pos", F.col("p.left").alias("doc_left"), F.col("p.right").alias("doc_right"))
-    return rows.join(_small(anchors), "term")
-
-
-def phrase_matches(index: DataFrame, anchors: DataFrame, width: int) -> DataFrame:
-    """(row, item_id, at, start, stop): runs of document words, around an anchor, that equal words of an item and hold at
-    least one of its windows. ``at`` is the anchor's place in the item."""
-    side = lambda x: F.slice(x, 1, width - 1)  # noqa: E731  the index may reach further, for proximity
-    met = _met(index, anchors).select("row", "item_id", "at", "pos", "size", *(side(x).alias(x) for x in ("left", "right", "doc_left", "doc_right")))
-    met = met.select("row", "item_id", "at", "pos", "size", _same("left", "doc_left").alias("l"), _same("right", "doc_right").alias("r"))
-    return met.where(F.col("l") + F.col("r") + 1 >= F.least(F.col("size"), F.lit(width))).select("row", "item_id", "at", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r") + 1).alias("stop"))
-
-
-def proximity_matches(index: DataFrame, anchors: DataFrame, width: int, slop: int) -> DataFrame:
-    """(row, item_id, at, pos): places of an anchor where all words of a window of its item that holds it, in any order,
-    occur within the window's words plus ``slop`` on either side. ``index`` must reach width - 1 + slop words."""
-    met = _met(index, anchors).withColumn("around", F.concat("doc_left", F.array("term"), "doc_right"))
-    whole = F.concat(F.reverse(F.slice("left", 1, width - 1)), F.array("term"), F.slice("right", 1, width - 1))
-    n = F.least(F.col("size"), F.lit(width))
-    near = F.exists(F.sequence(F.lit(1), F.size("whole") - n + 1), lambda i: F.size(F.array_except(F.slice("whole", i, n), "around")) == 0)
-    return met.withColumn("whole", whole).where(near).select("row", "item_id", "at", F.col("pos"))
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_hit, items, spans) for each row of ``docs``: its words, how many of them are in an occurrence of a
-    benchmark window, the sorted ids (as strings) of the items with such windows, and the word ranges that they cover.
+def terms_of(items: DataFrame) -> DataFrame:
+    """(term, t): the benchmark's terms with a number each; the empty term, which no text has, marks documents."""
+    found = items.select(F.explode("words").alias("term")).distinct().select("term", F.monotonically_increasing_id().alias("t"))
+    return shared.written(found.union(items.sparkSession.range(1).select(F.lit(""), F.lit(DOCUMENT).cast("long"))), "terms")
+
+
+def build_index(docs: DataFrame, terms: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(t, row, pos, doc_id, n_words, keep): a posting for each place, from 1 on, of a document's word that is a term, and one
+    DOCUMENT row for each document, which alone has the last columns. ``row`` tells rows with equal or null ids apart.
+    Documents are read once; each task writes a segment, sorted by term."""
+    found = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("w"), *keep)
+    found = found.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), *keep, F.posexplode(F.concat(F.array(F.lit("")), "w")).alias("pos", "term"))
+    of_document = lambda c: F.when(F.col("pos") == 0, F.col(c)).alias(c)
+    found = found.join(_small(terms), "term").select("t", "row", "pos", *(of_document(c) for c in ("doc_id", "n_words", *keep)))
+    return shared.written(found.sortWithinPartitions("t"), "index")
+
+
+def windows_of(items: DataFrame, terms: DataFrame, index: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """(window, n, t1, at1, t2, at2, ts) of each different window of ``width`` words of an item, or of all words of a shorter
+    one, and (window, item_id): which items have it. t1 and t2 are its rarest and second rarest term by postings in the
+    index, ties to the smaller number, with their places; ts are all terms in order. t2 is null if there is one term only.
+    Windows with a term that no document has can't occur and are left out."""
+    starts = F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - width, F.lit(0)))).alias("start")
+    some = items.select("item_id", "words", starts).select("item_id", F.slice("words", F.col("start") + 1, F.lit(width)).alias("w"))
+    distinct = shared.written(some.select("w").distinct().select(F.monotonically_increasing_id().alias("window"), "w"), "windows")
+    counts = index.where(F.col("t") >= 0).groupBy("t").agg(F.count(F.lit(1)).alias("c"))
+    counted = shared.written(terms.join(counts, "t"), "counts")
+    placed = distinct.select("window", F.size("w").alias("n"), F.posexplode("w").alias("at", "term")).join(_small(counted), "term")
+    ranked = placed.groupBy("window").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("c", "t", "at"))).alias("r")).where(F.size("r") == F.col("n"))
+    other = F.get(F.filter("r", lambda x: x["t"] != F.col("r")[0]["t"]), F.lit(0))
+    by_place = F.transform(F.array_sort(F.transform("r", lambda x: F.struct(x["at"].alias("at"), x["t"].alias("t")))), lambda x: x["t"])
+    windows = ranked.select("window", "n", F.col("r")[0]["t"].alias("t1"), F.col("r")[0]["at"].alias("at1"), other["t"].alias("t2"), other["at"].alias("at2"), by_place.alias("ts"))
+    return shared.written(windows, "ranked"), shared.written(some.join(distinct, "w").select("window", "item_id").distinct(), "members")
+
+
+def _candidates(index: DataFrame, windows: DataFrame) -> DataFrame:
+    """(row, window, start, n, t2, at2): where windows would begin, by the postings of their rarest term."""
+    rare = _small(windows.select(F.col("t1").alias("t"), "window", "at1", "n", "t2", "at2"))
+    found = index.join(rare, "t").withColumn("start", F.col("pos") - F.col("at1"))
+    return found.select("row", "window", "start", "n", "t2", "at2")
+
+
+def _postings(index: DataFrame, found: DataFrame) -> DataFrame:
+    """(row, pos, t) of the documents that ``found`` has."""
+    rows = shared.written(found.select("row").distinct(), "rows")
+    return index.where(F.col("t") >= 0).select("row", "pos", "t").join(_small(rows, BROADCAST_NUMBERS), "row", "left_semi")
+
+
+def phrase_matches(index: DataFrame, windows: DataFrame) -> DataFrame:
+    """(row, window, start, n): places, from 1 on, where a document has all words of a window in their order."""
+    second = _small(windows.where("t2 is not null").select(F.col("t2").alias("t")).distinct())
+    beside = index.join(second, "t", "left_semi").select("row", (F.col("pos")).alias("_pos"), F.col("t").alias("t2"))
+    ahead = _candidates(index, windows).where("start >= 1").withColumn("_pos", F.col("start") + F.col("at2"))
+    left = shared.written(ahead.join(beside.withColumn("hit", F.lit(True)), ["row", "_pos", "t2"], "left").where("t2 is null or hit").select("row", "window", "start", "n"), "candidates")
+    want = left.join(_small(windows.select("window", "ts")), "window").select("row", "window", "start", "n", F.posexplode("ts").alias("at", "t"))
+    want = want.withColumn("pos", F.col("start") + F.col("at")).drop("at")
+    met = want.join(_postings(index, left), ["row", "pos", "t"]).groupBy("row", "window", "start", "n").agg(F.count(F.lit(1)).alias("met"))
+    return met.where("met = n").drop("met")
+
+
+def proximity_matches(index: DataFrame, windows: DataFrame, slop: int) -> DataFrame:
+    """(row, window, start): places where all words of a window occur, in any order, within its words plus ``slop`` on either
+    side, if it is laid with its rarest term on a posting of that term."""
+    wide = (windows.agg(F.max("n")).first()[0] or 1) + 2 * slop
+    found = shared.written(_candidates(index, windows).select("row", "window", "start", "n"), "candidates")
+    want = found.join(_small(windows.select("window", F.array_distinct("ts").alias("ts"))), "window").select("row", "window", "start", "n", F.size("ts").alias("kinds"), F.explode("ts").alias("t"))
+    low, high = F.col("start") - slop, F.col("start") + F.col("n") - 1 + slop
+    want = want.withColumn("part", F.explode(F.sequence(F.floor(low / wide), F.floor(high / wide))))
+    there = _postings(index, found).withColumn("part", F.floor(F.col("pos") / wide))
+    met = want.join(there, ["row", "t", "part"]).where(F.col("pos").between(low, high)).select("row", "window", "start", "kinds", "t").distinct()
+    return met.groupBy("row", "window", "start", "kinds").agg(F.count(F.lit(1)).alias("met")).where("met = kinds").select("row", "window", "start")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, n_words, n_hit, items, spans) and the columns in ``keep`` for each row of ``docs``: its words, how many of them
+    are in an occurrence of a benchmark window, the sorted ids (as strings) of the items with such windows, and the word
+    ranges that they cover.
 
     A null or empty text has no words and no hits; so has an item. Repeated rows and rows with a null id are judged each
     for itself; equal windows of several items count for all of them. An empty table of documents gives no rows, an empty
-    benchmark no hits; further columns are not read. Document words never leave their row but for the neighbourhoods of
-    rare terms; a group holds what one document has.
+    benchmark no hits; further columns are not read. Of documents only the postings of benchmark terms are kept; a group
+    holds what one document has.
     """
-    docs = text_table(docs, id_col, text_col)
+    docs = text_table(docs, id_col, text_col, *(F.col(k).alias(f"keep_{i}") for i, k in enumerate(keep)))
+    kept = [f"keep_{i}" for i in range(len(keep))]
     items = items_of(benchmark, item_id, item_text)
-    anchors = anchors_of(items, term_counts(docs, items), width, width - 1)
-    index = build_index(docs, anchors, width - 1)
-    hits = phrase_matches(index, anchors, width)
-    grown = F.aggregate("runs", F.array().cast("array<struct<start:int,stop:int>>"), lambda a, x: F.when((F.size(a) > 0) & (F.element_at(a, -1)["stop"] >= x["start"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["stop"], x["stop"]).alias("stop"))))).otherwise(F.concat(a, F.array(x))))
-    found = hits.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("runs"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items")).select("row", "items", grown.alias("spans"))
-    covered = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"])
-    joined = index.select("row", "doc_id", "n_words").join(found, "row", "left")
-    return joined.select("doc_id", "n_words", F.coalesce(covered, F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>")).alias("spans"))
+    terms = terms_of(items)
+    index = build_index(docs, terms, kept)
+    windows, members = windows_of(items, terms, index, width)
+    hits = shared.written(phrase_matches(index, windows), "hits")
+    ids = hits.select("row", "window").distinct().join(_small(members), "window").groupBy("row").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    # Ranges that overlap or touch are one: a new one begins after the largest end before it.
+    in_order = Window.partitionBy("row").orderBy("start")
+    ranges = hits.groupBy("row", (F.col("start") - 1).alias("start")).agg((F.col("start") - 1 + F.max("n")).alias("stop"))
+    ranges = ranges.withColumn("_before", F.max("stop").over(in_order.rowsBetween(Window.unboundedPreceding, -1)))
+    ranges = ranges.withColumn("_run", F.sum(F.coalesce((F.col("_before") < F.col("start")).cast("int"), F.lit(1))).over(in_order))
+    runs = ranges.groupBy("row", "_run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    spans = runs.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"), F.sum(F.col("stop") - F.col("start")).alias("n_hit"))
+    joined = index.where(F.col("t") == DOCUMENT).select("row", "doc_id", "n_words", *kept).join(ids.join(spans, "row"), "row", "left")
+    none = F.array().cast("array<struct<start:int,stop:int>>")
+    return joined.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", none).alias("spans"), *(F.col(c).alias(k) for c, k in zip(kept, keep, strict=True)))
