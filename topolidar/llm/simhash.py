@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,8 @@ SEED = 42
 #: Fingerprints of a tile that goes between machines, and of one that is compared at a time.
 TILE = 1024
 INNER = 256
+#: Groups of bits that fingerprints must share to meet. With a radius of four these are 70 ways to share 32 bits.
+TOGETHER = 4
 
 
 def fingerprint(text: bytes, words: int) -> int:
@@ -123,30 +127,39 @@ def _links(radius: int):
     return run
 
 
-def near_links(fps: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
+def bit_masks(radius: int, together: int) -> list[int]:
+    """Masks of 64 bits: the bits fall into radius + together groups, and a mask is a choice of ``together`` of them. Two
+    fingerprints at most ``radius`` bits apart differ in at most as many groups, so they agree under a mask at least."""
+    n = radius + together
+    edges = [BITS * k // n for k in range(n + 1)]
+    groups = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
+    return [sum(some) for some in combinations(groups, together)]
+
+
+def near_links(fps: DataFrame, radius: int = 4, tile: int = TILE, together: int = TOGETHER) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints (column fp) at most ``radius`` bits apart.
 
-    Two such fingerprints agree in at least one of radius + 1 groups of bits, so only those that share a group's value meet
-    in a tile. Where more than ``tile`` share one, they are dealt by population count and a salt into tiles, and each pair
-    of tiles whose counts are within the radius is a cell of its own: no task holds more than two tiles of a value,
-    and no pair is lost.
+    Only fingerprints that agree under one of ``bit_masks`` meet in a tile: with the masks' many bits few do that aren't
+    near, however many there are in all. Where more than ``tile`` agree, they are dealt by population count and a salt into
+    tiles, and each pair of tiles whose counts are within the radius is a cell of its own: no task holds more than two tiles
+    of a value, and no pair is lost.
     """
-    edges = [BITS * k // (radius + 1) for k in range(radius + 2)]
-    block = lambda a, b: F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1))
-    keyed = fps.select("fp", F.bit_count("fp").alias("ones"), F.posexplode(F.array(*(block(a, b) for a, b in zip(edges, edges[1:], strict=False)))).alias("block", "value"))
-    sizes = keyed.groupBy("block", "value", "ones").count()
-    hot = sizes.groupBy("block", "value").agg(F.sum("count").alias("n"), F.map_from_entries(F.collect_list(F.struct("ones", F.ceil(F.col("count") / tile).cast("int").alias("salts")))).alias("salts"))
-    hot = hot.where(F.col("n") > tile).select("block", "value", "salts")
-    dealt = keyed.join(hot, ["block", "value"], "left")
+    signed = lambda m: m - (1 << BITS) if m >> (BITS - 1) else m
+    masks = F.array(*(F.lit(signed(m)).cast("long") for m in bit_masks(radius, together)))
+    keyed = fps.select("fp", F.posexplode(masks).alias("block", "mask")).select("fp", F.bit_count("fp").alias("ones"), F.xxhash64("block", F.col("fp").bitwiseAND(F.col("mask"))).alias("value"))
+    sizes = keyed.groupBy("value", "ones").count()
+    hot = sizes.groupBy("value").agg(F.sum("count").alias("n"), F.map_from_entries(F.collect_list(F.struct("ones", F.ceil(F.col("count") / tile).cast("int").alias("salts")))).alias("salts"))
+    # Values that one fingerprint has alone make no pair and go no further.
+    dealt = keyed.join(hot.where("n > 1").select("value", F.when(F.col("n") > tile, F.col("salts")).alias("salts")), "value")
     salt = F.pmod(F.xxhash64("fp"), F.col("salts")[F.col("ones")]).cast("int")
     mine = F.struct(F.col("ones").alias("o"), salt.alias("s"))
     near = F.filter(F.map_entries("salts"), lambda e: F.abs(e["key"] - F.col("ones")) <= radius)
     tiles = F.flatten(F.transform(near, lambda e: F.transform(F.sequence(F.lit(0), e["value"] - 1), lambda s: F.struct(e["key"].alias("o"), s.alias("s")))))
-    cold = dealt.where("salts is null").select(F.xxhash64("block", "value").alias("cell"), F.lit(0).alias("side"), "fp")
-    split = dealt.where("salts is not null").select("block", "value", "fp", mine.alias("mine"), F.explode(tiles).alias("other"))
-    split = split.select(F.xxhash64("block", "value", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "fp")
-    cells = cold.union(split)
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_links(radius), "a long, b long")
+    other = F.explode(F.when(F.col("salts").isNotNull(), tiles).otherwise(F.array(F.struct(F.lit(0).alias("o"), F.lit(0).alias("s")))))
+    split = dealt.select("value", "fp", F.col("salts").isNotNull().alias("hot"), mine.alias("mine"), other.alias("other"))
+    cell = F.when(F.col("hot"), F.xxhash64("value", F.least("mine", "other"), F.greatest("mine", "other"))).otherwise(F.col("value"))
+    cells = split.select(cell.alias("cell"), F.when(F.col("hot"), (F.col("mine") > F.col("other")).cast("int")).otherwise(0).alias("side"), "fp")
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_links(radius), "a long, b long").distinct()
 
 
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
@@ -159,7 +172,89 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     docs = shared.written(fingerprints(df, id_col, text_col, words), "fingerprints")
     distinct = shared.written(docs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_same")), "distinct")
-    roots = components(near_links(distinct.select("fp"), radius))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id", "n_same")
+    rooted = shared.written(_rooted(distinct, radius), "roots")
+    # Components of one fingerprint, which most are, need no more; the others are reduced before their shuffle.
+    least = rooted.where("linked").groupBy("root").agg(F.min("first").alias("least"))
+    named = rooted.join(least, (F.col("linked")) & (rooted["root"] == least["root"]), "left").select("fp", F.coalesce("least", "first").alias("component_id"), "n_same")
     return docs.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_same")
+
+
+def _rooted(distinct: DataFrame, radius: int, together: int = TOGETHER) -> DataFrame:
+    """``distinct`` (fp, ...) with root, the smallest fingerprint that links reach, and linked: whether there is a link."""
+    roots = components(near_links(distinct.select("fp"), radius, together=together)).withColumnRenamed("node", "fp")
+    return distinct.join(roots, "fp", "left").withColumn("linked", F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "fp"))
+
+
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """The distinct XXH64 hashes of a text's shingles, sorted."""
+    found = text.lower().split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    some = map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False)) if len(found) >= words else [b" ".join(found)]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in some), np.uint64))
+
+
+def near_duplicates(df: DataFrame, words: int = 5, radius: int = 6, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", together: int = 3) -> DataFrame:
+    """(doc_id, mark, stays): which rows of ``df`` repeat another one and go, by doc_id and ``mark``, a hash of the text;
+    ``stays``: of several rows with this id and text one stays.
+
+    Candidates are what links of fingerprints at most ``radius`` bits apart connect. Of each such group the text with the
+    smallest id stays (a null id comes last; of one id the smallest mark), and those go whose shingle sets have a Jaccard
+    similarity of ``similarity`` or more with it. What is left of the group is judged again in the next round, without what
+    stayed or went: there are as many rounds as texts of one group that stay. Equal texts count as one, of the smallest id;
+    a null text counts as empty. Texts without words are similar to none. An empty table gives no rows.
+    """
+    last = F.lit(2**63 - 1)
+    rows = df.select(F.coalesce(F.col(id_col).cast("long"), last).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = np.fromiter((fingerprint(t, words) for t in texts(batch.column("text"))), np.uint64, batch.num_rows)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(found.view(np.int64))], names=["id", "fp"])
+
+    docs = shared.written(map_texts(rows, "id long, fp long", step, "id", "text", ["mark"]), "fingerprints")
+    # Rows of equal texts are one: the first id stays for all of them.
+    alike = docs.groupBy("fp", "mark").agg(F.min("id").alias("id"))
+    distinct = alike.select("fp").distinct()
+    rooted = _rooted(distinct, radius, together).where("linked").select("fp", "root")
+    single = alike.groupBy("fp").count().where("count > 1").select("fp", F.col("fp").alias("own"))
+    groups = alike.join(rooted, "fp", "left").join(single, "fp", "left").withColumn("root", F.coalesce("root", "own")).where("root is not null")
+    groups = shared.written(groups.select("root", "id", "mark"), "groups")
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingles(t, words) for t in texts(batch.column("text"))]
+        offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))], names=["id", "shingles"])
+
+    some = rows.join(groups.select("id", "mark"), ["id", "mark"], "left_semi")
+    hashed = map_texts(some, "id long, shingles array<long>", sets, "id", "text", ["mark"]).dropDuplicates(["id", "mark"])
+    left = shared.written(hashed.join(groups, ["id", "mark"]).select("root", "id", "mark", "shingles"), "shingles")
+    gone = []
+
+    def judge(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            same = []
+            for a, b in zip(batch.column("shingles"), batch.column("first"), strict=True):
+                x, y = (v.values.to_numpy(zero_copy_only=False) for v in (a, b))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                same.append(both >= similarity * (len(x) + len(y) - both) and both > 0)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(same, pa.bool_())], names=["id", "mark", "same"])
+
+    while not left.isEmpty():
+        first = left.groupBy("root").agg(F.min(F.struct("id", "mark")).alias("m")).select("root", "m.*")
+        held = left.join(first, ["root", "id", "mark"]).select("root", F.col("shingles").alias("first"), F.col("id").alias("own"), F.col("mark").alias("own_mark"))
+        rest = left.join(held, "root").where("id <> own or mark <> own_mark").select("id", "mark", "shingles", "first")
+        judged = shared.written(rest.mapInArrow(judge, "id long, mark long, same boolean"), "judged")
+        gone.append(judged.where("same").select("id", "mark"))
+        following = shared.written(left.join(judged.where("not same").select("id", "mark"), ["id", "mark"]).select(left.columns), "shingles")
+        shared.drop(left.sparkSession, left)
+        left = following
+    # Of equal texts the rows of the first id stay, or one of them; none does if the text goes.
+    counted = docs.groupBy("fp", "mark", "id").agg(F.count(F.lit(1)).alias("rows"))
+    firsts = counted.groupBy("fp", "mark").agg(F.min("id").alias("first"), F.sum("rows").alias("all")).where("all > 1").drop("all")
+    repeated = counted.join(firsts, ["fp", "mark"]).where("id <> first or rows > 1").withColumn("stays", F.col("id") == F.col("first"))
+    if gone:
+        whole = reduce(DataFrame.union, gone).join(alike, ["id", "mark"]).select("fp", "mark")
+        repeated = repeated.join(whole, ["fp", "mark"], "left_anti").select("id", "mark", "stays").union(counted.join(whole, ["fp", "mark"], "left_semi").select("id", "mark", F.lit(False)))
+    return repeated.select(F.nullif("id", last).alias("doc_id"), "mark", "stays")
