@@ -1,15 +1,15 @@
 """Language-model scoring with a log-frequency Bloom filter of quantised n-gram counts.
 
-An n-gram of count c has the level 1 + floor(log_b(c / floor)) and is inserted once for each level up to its own; probing
-level after level until one is missing gives the level back, and with it an estimate of the count. All n-grams of the
-training texts are held, those that occur once too, so the filter grows with the corpus: it is made in shards by the keys'
-highest bits, and what is to be probed comes to the shards, a list of distinct keys for each piece of text.
+An n-gram of count c has the level 1 + floor(log_b(c)) and is inserted once for each level up to its own; probing level after
+level until one is missing gives the level back, and with it the least count of that level. All n-grams of two and three
+tokens of the training texts are held, those that occur once too, so the filter grows with the corpus: it is made in shards
+by the keys' highest bits, and what is to be probed comes to the shards. Counts of single tokens go the same way and stay
+exact. Texts are tokenised once, into pieces whose tokens are numbers.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,19 +24,14 @@ from topolidar.llm.batches import slices, text_table, texts
 
 #: No word holds a space, so this can stand for a text's end.
 END = b"\n"
-#: Least count of an n-gram in the filter, at any size of the corpus.
-FLOOR = 1
-#: Words of at least this share have their exact counts broadcast: at most 2^18 of them.
-WORD_SHARE = 2.0**-18
-BASE, HASHES, BITS_PER_INSERT = 1.5, 7, 10
-#: Weight of an n-gram's own estimate against that of the shorter one.
-WEIGHT = 0.1
-#: N-gram keys that a shard gets at most on average, bytes of text for a token, words that a task counts before it passes
-#: them on.
-SHARD_KEYS, TOKEN_BYTES, COUNTED_WORDS = 1 << 20, 6, 400_000
-PIECE = 4 << 20
-#: Bytes of a key that are sent beside its shard's number: of a shard's 2^20 keys one in 4,096 meets another by chance, of
-#: the keys that are not in the filter one in 120 seems to be.
+BASE, HASHES, BITS_PER_INSERT = 1.5, 6, 14
+#: What a context's count is held against when the estimates of an n-gram and of the shorter one are mixed. For each training
+#: text the one counts that makes it likeliest, each token left out in its turn; the middle of these is taken.
+STRENGTHS = (1.0, 5.0, 25.0, 125.0, 625.0, 3125.0)
+#: Keys that a shard gets on average at most, and bytes of text in a piece, unless a single text is longer.
+SHARD_KEYS, PIECE = 1 << 20, 4 << 20
+#: Bytes of an n-gram's key that are sent beside its shard's number: of a shard's 2^20 keys one in 4,096 meets another by
+#: chance. Keys of words are sent whole.
 KEY_BYTES = 4
 
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -59,66 +54,56 @@ def join_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
         return _mix(context * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
-def level_of(counts: np.ndarray, floor: int) -> np.ndarray:
-    return 1 + np.floor(np.log(counts / floor) / math.log(BASE) + 1e-9).astype(np.int64)
+def level_of(counts: np.ndarray) -> np.ndarray:
+    return 1 + np.floor(np.log(counts) / math.log(BASE) + 1e-9).astype(np.int64)
 
 
-def estimate(levels: np.ndarray, floor: int) -> np.ndarray:
-    """The middle, by logarithm, of the counts that have a level; at the lowest its least count; 0 at level 0."""
-    return np.where(levels > 0, floor * BASE ** (np.maximum(levels, 1) - np.where(levels > 1, 0.5, 1)), 0.0)
-
-
-def _walk(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the probes of keys begin, and how far they step."""
-    return keys ^ (keys >> np.uint64(33)), _mix(keys) | np.uint64(1)
-
-
-def _place(begin: np.ndarray, step: np.ndarray, level: int, j: int, bits: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return ((begin + np.uint64(level * HASHES + j) * step) % bits).astype(np.int64)
-
-
-def segment(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """The filter of some keys, as bytes."""
-    bits = max(64, -(-int(levels.sum()) * BITS_PER_INSERT // 8) * 8)
-    flags = np.zeros(bits, bool)
-    begin, step = _walk(keys)
-    for level in range(1, int(levels.max(initial=0)) + 1):
-        some = levels >= level
-        for j in range(HASHES):
-            flags[_place(begin[some], step[some], level, j, np.uint64(bits))] = True
-    return np.packbits(flags, bitorder="little")
+def least_counts() -> np.ndarray:
+    """The least count of each level; 0 at level 0."""
+    return np.concatenate(([0.0], np.ceil(BASE ** np.arange(255) - 1e-9)))
 
 
 @dataclass
 class LogBloom:
-    """Segments of the filter, one for each value of a key's highest bits."""
+    """A segment of the filter; its size is a power of two, so that places are taken by a mask."""
+
+    mask: np.uint64
+    flags: np.ndarray
+
+    @staticmethod
+    def _walk(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the probes of keys begin, and how far they step."""
+        return keys ^ (keys >> np.uint64(33)), _mix(keys) | np.uint64(1)
 
-    shift: int
-    floor: int
-    starts: np.ndarray
-    bits: np.ndarray
-    data: np.ndarray
+    def _place(self, begin: np.ndarray, step: np.ndarray, level: int, j: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (begin + np.uint64(level * HASHES + j) * step) & self.mask
 
     @classmethod
-    def of(cls, found: dict[int, bytes], shards: int, floor: int) -> LogBloom:
-        parts = [np.frombuffer(found.get(s, bytes(8)), np.uint8) for s in range(shards)]
-        sizes = np.fromiter(map(len, parts), np.int64, shards)
-        return cls(64 - shards.bit_length() + 1, floor, np.cumsum(sizes) - sizes, (sizes * 8).astype(np.uint64), np.concatenate(parts))
+    def of(cls, keys: np.ndarray, levels: np.ndarray) -> LogBloom:
+        """The filter of some keys, each inserted for all levels up to its own."""
+        bits = 1 << max(6, int(levels.sum() * BITS_PER_INSERT - 1).bit_length())
+        out = cls(np.uint64(bits - 1), np.zeros(bits, bool))
+        level = 1
+        while len(keys):
+            begin, step = cls._walk(keys)
+            for j in range(HASHES):
+                out.flags[out._place(begin, step, level, j)] = True
+            more = levels > level
+            keys, levels, level = keys[more], levels[more], level + 1
+        return out
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each key by repeated probes; 0 for one that isn't in the filter."""
-        out = np.zeros(len(keys), np.int64)
-        shard = (keys >> np.uint64(self.shift)).astype(np.int64)
-        at, probe = np.arange(len(keys)), (*_walk(keys), self.bits[shard], self.starts[shard])
-        level = 0
-        while len(at):
+        out, at, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 0
+        begin, step = self._walk(keys)
+        while len(at) and level < 255:
             out[at] = level
             level += 1
             for j in range(HASHES):
-                place = _place(probe[0], probe[1], level, j, probe[2])
-                there = (self.data[probe[3] + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1 == 1
-                at, probe = at[there], tuple(x[there] for x in probe)
+                there = self.flags[self._place(begin, step, level, j)]
+                if not there.all():
+                    at, begin, step = at[there], begin[there], step[there]
         return out
 
 
@@ -129,12 +114,12 @@ class _Numbers(dict):
 
 
 def tokens_of(found: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """(distinct tokens, the number of each text's tokens in a row, where each text begins): lower-cased words, then END."""
+    """(distinct tokens, the number of each text's tokens in a row, how many each text has): lower-cased words, then END."""
     numbers = _Numbers({END: 0})
     number = numbers.__getitem__
     lists = [[*map(number, t.lower().split()), 0] for t in found]
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    return list(numbers), np.fromiter((x for w in lists for x in w), np.int64, int(sizes.sum())), np.cumsum(sizes) - sizes
+    return list(numbers), np.fromiter((x for w in lists for x in w), np.uint32, int(sizes.sum())), sizes
 
 
 def held_out(id_col: Column, modulus: int = 7, remainder: int = 2) -> Column:
@@ -142,37 +127,12 @@ def held_out(id_col: Column, modulus: int = 7, remainder: int = 2) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
-def word_counts(train: DataFrame) -> DataFrame:
-    """(word, n) over the texts of ``train``, in the shared folder. Each task adds up before the shuffle."""
-
-    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[bytes, int] = {}
-
-        def emit() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-            counts.clear()
-            return out
-
-        for batch in found:
-            for piece in slices(batch, "text", PIECE):
-                distinct, flat, _ = tokens_of(texts(piece.column("text")))
-                for word, n in zip(distinct, np.bincount(flat, minlength=len(distinct)).tolist(), strict=True):
-                    if n:
-                        counts[word] = counts.get(word, 0) + n
-                if len(counts) > COUNTED_WORDS:
-                    yield emit()
-        yield emit()
-
-    return shared.written(train.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-
-
-def ngram_keys(distinct: list[bytes], flat: np.ndarray, starts: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(keys, ends): keys of the distinct words, then of all n-grams of 2, 3, ... ``order`` tokens; ends: for each of these
-    lengths the tokens that its n-grams end at. No n-gram goes over a text's end."""
+def ngram_keys(hashes: np.ndarray, flat: np.ndarray, starts: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(keys, ends): keys of all n-grams of 2, 3, ... ``order`` tokens; ends: for each of these lengths the tokens that its
+    n-grams end at. No n-gram goes over a text's end."""
     place = np.arange(len(flat)) - np.repeat(starts, np.diff(np.append(starts, len(flat))))
-    hashes = hash_words(distinct)
-    word = hashes[flat]
-    before, keys, ends = word, [hashes], []
+    before = word = hashes[flat]
+    keys, ends = [np.zeros(0, np.uint64)], []
     for n in range(2, order + 1):
         at = np.flatnonzero(place >= n - 1)
         longer = np.zeros(len(flat), np.uint64)
@@ -183,190 +143,233 @@ def ngram_keys(distinct: list[bytes], flat: np.ndarray, starts: np.ndarray, orde
     return np.concatenate(keys), ends
 
 
+def _dealt(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, cuts): places of ``keys`` by their highest ``bits``, as they come within a shard, and where shards begin."""
+    shard = (keys >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32) if bits else np.zeros(len(keys), np.uint16)
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(1 << bits), side="left").tolist() + [len(keys)]
+
+
 def _pieces(rows: DataFrame) -> DataFrame:
-    """(piece, size, asked, body): the rows as numbered pieces of at most PIECE bytes of text, in the shared folder. asked:
-    whether any of them is to be scored."""
+    """(piece, trains, n_tokens, n_distinct, doc_ids, scored, sizes, flat, words): ``rows`` (doc_id, text, trains, scored) in
+    numbered pieces of at most PIECE bytes of text, those that train and others apart, in the shared folder. flat are the
+    tokens' numbers, words the distinct tokens but END, which has number 0."""
+    names = ["trains", "n_tokens", "n_distinct", "doc_ids", "scored", "sizes", "flat", "words"]
+    kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            for piece in slices(batch, "text", PIECE):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_batch(piece)
-                size = sum(map(len, texts(piece.column("text")))) + piece.num_rows
-                asked = any(piece.column("scored").to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array([size], pa.int64()), pa.array([asked]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["size", "asked", "body"])
+            for both in slices(batch, "text", PIECE):
+                flags = np.array(both.column("trains").to_pylist(), bool)
+                for trains in (True, False):
+                    piece = both.filter(pa.array(flags == trains))
+                    if piece.num_rows:
+                        distinct, flat, sizes = tokens_of(texts(piece.column("text")))
+                        values = trains, len(flat), len(distinct), piece.column("doc_id").to_pylist(), piece.column("scored").to_pylist(), sizes.tolist(), flat.astype("<u4").tobytes(), b"\n".join(distinct[1:])
+                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=names)
 
-    return shared.written(rows.mapInArrow(run, "size long, asked boolean, body binary").select(F.monotonically_increasing_id().alias("piece"), "*"), "pieces")
+    schema = "trains boolean, n_tokens long, n_distinct long, doc_ids array<long>, scored array<boolean>, sizes array<long>, flat binary, words binary"
+    return shared.written(rows.mapInArrow(run, schema).select(F.monotonically_increasing_id().alias("piece"), "*"), "pieces")
 
 
-def _opened(body: bytes) -> tuple[pa.RecordBatch, list[bytes], np.ndarray, np.ndarray]:
-    piece = pa.ipc.open_stream(body).read_next_batch()
-    return piece, *tokens_of(texts(piece.column("text")))
+def _opened(flat: bytes, words: bytes, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the distinct tokens, flat, starts)."""
+    sizes = np.array(sizes, np.int64)
+    return hash_words([END, *words.split(b"\n")] if words else [END]), np.frombuffer(flat, "<u4").astype(np.int64), np.cumsum(sizes) - sizes
 
 
-def _keys(pieces: DataFrame, order: int, shards: int) -> DataFrame:
-    """(shard, piece, asked, keys, counts): the distinct keys of each piece, in order and cut at shards, and how often its
-    training texts have them."""
-    width = KEY_BYTES
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Rows one by one, as they are large."""
+    for i in range(batch.num_rows):
+        yield tuple(c[i].as_py() for c in batch.columns)
 
-    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in found:
-            for number, asked, body in zip(*(batch.column(x) for x in ("piece", "asked", "body")), strict=True):
-                piece, distinct, flat, starts = _opened(body.as_py())
-                trains = np.repeat(np.array(piece.column("trains").to_pylist(), bool), np.diff(np.append(starts, len(flat))))
-                keys, ends = ngram_keys(distinct, flat, starts, order)
-                times = np.concatenate([np.bincount(flat[trains], minlength=len(distinct)), *(trains[at] for at in ends)])
-                keys, inverse = np.unique(keys, return_inverse=True)
-                counts = np.bincount(inverse, times, len(keys))
-                cut = np.searchsorted(keys >> np.uint64(64 - shards.bit_length() + 1), np.arange(shards + 1, dtype=np.uint64))
-                raw = np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
-                sizes = np.minimum(counts, 2**32 - 1).astype("<u4")
-                some = np.flatnonzero(np.diff(cut)).tolist()
-                columns = [
-                    pa.array(some, pa.int32()), pa.array([number.as_py()] * len(some), pa.int64()), pa.array([asked.as_py()] * len(some), pa.bool_()),
-                    pa.array([raw[width * cut[s] : width * cut[s + 1]] for s in some], pa.binary()), pa.array([zlib.compress(sizes[cut[s] : cut[s + 1]].tobytes(), 1) for s in some], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["shard", "piece", "asked", "keys", "counts"])
-
-    return pieces.select("piece", "asked", "body").mapInArrow(run, "shard int, piece long, asked boolean, keys binary, counts binary")
-
-
-def _levels(keys: DataFrame, shards: int) -> DataFrame:
-    """(piece, shard, levels): each shard adds up its counts, makes its segment of the filter and probes it for the keys of
-    each piece, a byte for each."""
-    width = KEY_BYTES
 
-    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = None, []
-
-        def emit() -> pa.RecordBatch:
-            raw = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, width)
-            wide = np.zeros((len(raw), 8), np.uint8)
-            wide[:, :width] = raw
-            all_keys = wide.view("<u8").ravel()
-            k, inverse = np.unique(all_keys, return_inverse=True)
-            c = np.bincount(inverse, np.frombuffer(b"".join(zlib.decompress(r[3]) for r in rows), "<u4"), len(k))
-            some = c >= FLOOR
-            bits = segment(k[some], level_of(c[some], FLOOR)).tobytes()
-            out = LogBloom.of({0: bits}, 1, FLOOR).levels(k).astype(np.uint8)[inverse].tobytes()
-            ends = np.cumsum([len(r[2]) // width for r in rows]).tolist()
-            asked = [(r[0], zlib.compress(out[a:b], 1)) for r, a, b in zip(rows, [0, *ends], ends, strict=False) if r[1]]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in asked], pa.int64()), pa.array([held] * len(asked), pa.int32()), pa.array([r[1] for r in asked], pa.binary())], names=["piece", "shard", "levels"])
+def _by_shard(messages: DataFrame, shards: int) -> DataFrame:
+    return messages.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
 
-        for batch in found:
-            for shard, *row in zip(*(batch.column(x).to_pylist() for x in ("shard", "piece", "asked", "keys", "counts")), strict=True):
-                if held is not None and shard != held:
-                    yield emit()
-                    rows = []
-                held = shard
-                rows.append(row)
-        if rows:
-            yield emit()
 
-    return keys.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, "piece long, shard int, levels binary")
+def _fold(found: Iterator[pa.RecordBatch], fold) -> Iterator[pa.RecordBatch]:
+    """``fold(shard, rows)`` for the rows (piece, ...) of each shard of sorted batches."""
+    held, rows = None, []
+    for batch in found:
+        for shard, *row in _rows(batch):
+            if held is not None and shard != held:
+                yield fold(held, rows)
+                rows = []
+            held = shard
+            rows.append(row)
+    if rows:
+        yield fold(held, rows)
+
+
+def _word_counts(pieces: DataFrame, bits: int) -> DataFrame:
+    """(piece, shard, counts, n, v, n1, n2): how often the training texts have the distinct tokens of each piece, by shards;
+    and of each shard, in a row without a piece, its tokens, its distinct ones and those that occur once and twice. Written
+    to the shared folder."""
+
+    def send(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            for piece, trains, sizes, flat, words in _rows(batch):
+                hashes, flat, _ = _opened(flat, words, sizes)
+                order, cuts = _dealt(hashes, bits)
+                keys, counts = hashes[order].astype("<u8"), np.bincount(flat if trains else [], minlength=len(hashes))[order].astype("<i8")
+                some = [s for s in range(1 << bits) if cuts[s + 1] > cuts[s]]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([piece] * len(some), pa.int64()), *(pa.array([x[cuts[s] : cuts[s + 1]].tobytes() for s in some], pa.binary()) for x in (keys, counts))], names=["shard", "piece", "keys", "counts"])
+
+    def fold(shard: int, rows: list) -> pa.RecordBatch:
+        keys, inverse = np.unique(np.frombuffer(b"".join(r[1] for r in rows), "<u8"), return_inverse=True)
+        total = np.zeros(len(keys), np.int64)
+        np.add.at(total, inverse, np.frombuffer(b"".join(r[2] for r in rows), "<i8"))
+        back, ends = total[inverse].astype("<i8"), np.cumsum([0, *(len(r[1]) // 8 for r in rows)]).tolist()
+        own = [[None] * len(rows) + [int(x)] for x in (total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum())]
+        return pa.RecordBatch.from_arrays([pa.array([*(r[0] for r in rows), None], pa.int64()), pa.array([shard] * (len(rows) + 1), pa.int32()), pa.array([*(back[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)), None], pa.binary()), *(pa.array(x, pa.int64()) for x in own)], names=["piece", "shard", "counts", "n", "v", "n1", "n2"])
+
+    sent = pieces.select("piece", "trains", "sizes", "flat", "words").mapInArrow(send, "shard int, piece long, keys binary, counts binary")
+    return shared.written(_by_shard(sent, 1 << bits).mapInArrow(lambda found: _fold(found, fold), "piece long, shard int, counts binary, n long, v long, n1 long, n2 long"), "words")
+
+
+def _levels(pieces: DataFrame, order: int, bits: int) -> DataFrame:
+    """(piece, shard, levels): each shard adds up the n-grams of training pieces, makes its segment of the filter and probes
+    it for the n-grams of all pieces, a byte for each."""
+
+    def send(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            for piece, trains, sizes, flat, words in _rows(batch):
+                keys, _ = ngram_keys(*_opened(flat, words, sizes), order)
+                by, cuts = _dealt(keys, bits)
+                raw = np.ascontiguousarray(keys[by].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes()
+                some = [s for s in range(1 << bits) if cuts[s + 1] > cuts[s]]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([piece] * len(some), pa.int64()), pa.array([trains] * len(some), pa.bool_()), pa.array([raw[KEY_BYTES * cuts[s] : KEY_BYTES * cuts[s + 1]] for s in some], pa.binary())], names=["shard", "piece", "trains", "keys"])
+
+    def fold(shard: int, rows: list) -> pa.RecordBatch:
+        sizes = [len(r[2]) // KEY_BYTES for r in rows]
+        keys, inverse = np.unique(np.frombuffer(b"".join(r[2] for r in rows), "<u4"), return_inverse=True)
+        counts = np.bincount(inverse[np.repeat([r[1] for r in rows], sizes)], minlength=len(keys))
+        keys = _mix(keys.astype(np.uint64))
+        seen = counts > 0
+        level = LogBloom.of(keys[seen], level_of(counts[seen])).levels(keys).astype(np.uint8)[inverse]
+        ends = np.cumsum([0, *sizes]).tolist()
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([shard] * len(rows), pa.int32()), pa.array([level[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], names=["piece", "shard", "levels"])
+
+    sent = pieces.select("piece", "trains", "sizes", "flat", "words").mapInArrow(send, "shard int, piece long, trains boolean, keys binary")
+    return _by_shard(sent, 1 << bits).mapInArrow(lambda found: _fold(found, fold), "piece long, shard int, levels binary")
+
+
+def mixed(one: np.ndarray, longer: list[np.ndarray], counts: np.ndarray, starts: np.ndarray, n: int, v: int, d: float, strength: float) -> np.ndarray:
+    """The probability of each token: ``counts`` of the tokens, discounted by ``d``, what that leaves going to all words and
+    one unknown word alike; then for each length the n-gram's count, with ``strength`` times the shorter estimate, over its
+    context's count. ``one`` and ``longer`` are counts of contexts and n-grams by the token they end at."""
+    p = np.maximum(counts - d, 0) / max(n, 1) + (d * v / n if n else 1.0) / (v + 1)
+    context = one
+    for k, found in enumerate(longer):
+        before = np.concatenate(([0.0], context[:-1]))
+        before[starts] = 0
+        p = np.where(before > 0, (np.minimum(found, before) + strength * p) / (before + strength), p)
+        context = found
+    return p
 
 
 @dataclass
 class Model:
-    """What scoring needs: N tokens, V distinct ones, the discount of the word counts, their table, the exact counts of
-    frequent words, and the training texts, whose n-grams are counted where they are probed."""
-
-    tokens: int
-    types: int
-    discount: float
-    words: DataFrame
-    frequent: dict[bytes, int]
+    """The training texts, whose tokens are counted where they are looked up, and the longest n-gram."""
+
     source: DataFrame
     order: int
 
 
 def train(df: DataFrame, order: int = 3, text_col: str = "text") -> Model:
     """A model of all texts of ``df``; a null text is an empty one."""
-    df = df.select(F.col(text_col).cast("string").alias("text"))
-    words = word_counts(df)
-    one = lambda k: F.count(F.when(F.col("n") == k, 1))
-    n, v, n1, n2 = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), one(1), one(2)).first()
-    frequent = {r["word"].encode(): r["n"] for r in words.where(F.col("n") >= max(2, math.ceil(n * WORD_SHARE))).toLocalIterator()}
-    return Model(n, v, min(max(n1 / max(n1 + 2 * n2, 1), 0.1), 0.9), words, frequent, df, order)
+    return Model(df.select(F.col(text_col).cast("string").alias("text")), order)
 
 
-def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", trained: Column | None = None) -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score) for each row of ``df``; log10 probabilities of its whole text and end.
+def _middle(votes: list[int]) -> int:
+    """The strength that the middle text of all would have: copies, of which a part of the texts are and which are best
+    told by the weakest, don't decide."""
+    seen = np.cumsum(votes)
+    return int(np.searchsorted(seen, (seen[-1] + 1) / 2)) if seen[-1] else 0
 
-    ``trained``: of which rows of ``df`` the model is, if it is of rows of ``df``; these are then read once for both.
-    Words below the model's share are looked up by a join of their own on the exact counts, so counts of all lengths are
-    complete. A null or empty text is its end alone. Repeated rows and null ids are rows of their own; with no training
-    text every token is unknown and has probability 1; an empty table gives no rows; further columns are not read.
-    """
-    n, v, d, order = model.tokens, model.types, model.discount, model.order
-    sent = df.sparkSession.sparkContext.broadcast(model.frequent)
-    total = n + v + 1
-    kind = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64()), ("below", pa.int64())]))
-
-    def step(body: bytes, found: np.ndarray, frequent: dict[bytes, int]) -> pa.RecordBatch:
-        piece, distinct, flat, starts = _opened(body)
-        exact = np.fromiter((frequent.get(w, 0) for w in distinct), np.float64, len(distinct))
-        keys, ends = ngram_keys(distinct, flat, starts, order)
-        found = found[np.unique(keys, return_inverse=True)[1]].astype(np.int64)
-        one, cuts = found[: len(distinct)], np.cumsum([len(distinct), *map(len, ends)])
-        counts = np.where(exact > 0, exact, estimate(one, FLOOR))
-        below = counts == 0
-        p = np.where(below, 1.0, np.minimum(1.0, (counts - d) / max(n, 1)))[flat]
-        levels = one[flat]
-        for k, at in enumerate(ends):
-            # One that is there has its first and last n - 1 words there too.
-            longer = np.zeros(len(flat), np.int64)
-            longer[at] = np.where((levels[at] > 0) & (levels[at - 1] > 0), found[cuts[k] : cuts[k + 1]], 0)
-            context = np.concatenate(([0.0], estimate(levels, FLOOR)[:-1]))
-            context[starts] = 0
-            share = np.minimum(1.0, estimate(longer, FLOOR) / np.maximum(context, 1e-9))
-            p = np.where(context > 0, np.where(below[flat], 0.0, WEIGHT * share) + (1 - WEIGHT) * p, p)
-            levels = longer
-        base = np.where(exact > 0, np.log10((exact + 1) / total), 0.0)
-        known = (exact > 0)[flat]
-        owner = np.repeat(np.arange(piece.num_rows), np.diff(np.append(starts, len(flat))))
-        pairs, times = np.unique(owner[~known] * len(distinct) + flat[~known], return_counts=True)
-        of, word = pairs // len(distinct), pairs % len(distinct)
-        spelled = pa.array([distinct[i] for i in word.tolist()], pa.binary()).cast(pa.string())
-        rest = pa.StructArray.from_arrays([spelled, pa.array(times, pa.int64()), pa.array(np.where(below[word], times, 0), pa.int64())], names=["word", "times", "below"])
-        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(piece.num_rows + 1)), pa.int32()), rest).cast(kind)
-        add = lambda x: np.add.reduceat(x, starts) if len(starts) else x
-        columns = [piece.column("doc_id"), pa.array(add(np.ones(len(flat), np.int64))), pa.array(add(known.astype(np.int64))), pa.array(add(base[flat])), pa.array(add(np.log10(p))), lists]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "known", "base", "model", "rest"]).filter(piece.column("scored"))
 
-    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, body, got = sent.value, None, []
-        for batch in found:
-            for shard, levels, more in zip(*(batch.column(x).to_pylist() for x in ("shard", "levels", "body")), strict=True):
-                if shard >= 0:
-                    got.append(zlib.decompress(levels))
-                    continue
-                if body is not None:
-                    yield step(body, np.frombuffer(b"".join(got), np.uint8), frequent)
-                body, got = more, []
-        if body is not None:
-            yield step(body, np.frombuffer(b"".join(got), np.uint8), frequent)
-
-    schema = "doc_id long, n_tokens long, known long, base double, model double, rest array<struct<word:string,times:long,below:long>>"
-    no = F.lit(False)
+def _bits(keys: int) -> int:
+    return max(0, (max(keys - 1, 0) // SHARD_KEYS).bit_length())
+
+
+def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", trained: Column | None = None) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row of ``df``; log10 probabilities of its whole
+    text and end.
+
+    ``trained``: of which rows of ``df`` the model is, if it is of rows of ``df``; these are then read once for both. Counts
+    of n-grams are the least of their levels, so that the shares of one context add up to no more than one, but for
+    absent n-grams that the filter seems to have: one in five hundred at most, and only if their parts are there. A null or empty text is its end alone. Repeated rows and
+    null ids are rows of their own; with no training text every token is unknown and has probability 1; an empty table gives
+    no rows; further columns are not read.
+    """
+    order, no = model.order, F.lit(False)
     rows = text_table(df, id_col, text_col, (no if trained is None else F.coalesce(trained, no)).alias("trains"), F.lit(True).alias("scored")).withColumn("doc_id", F.col("doc_id").cast("long"))
     if trained is None:
         rows = rows.unionByName(model.source.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("trains"), no.alias("scored")))
     pieces = _pieces(rows)
-    shards = 1 << max(4, (order * (pieces.agg(F.sum("size")).first()[0] or 0) // TOKEN_BYTES // SHARD_KEYS).bit_length())
-    # A piece's own row comes before its levels, these by shard: in the order of its keys.
-    levels = _levels(_keys(pieces, order, shards), shards).select("piece", "shard", "levels", F.lit(None).cast("binary").alias("body"))
-    own = pieces.where("asked").select("piece", F.lit(-1).alias("shard"), F.lit(None).cast("binary").alias("levels"), "body")
-    rows = own.unionByName(levels).repartition("piece").sortWithinPartitions("piece", "shard").select("shard", "levels", "body").mapInArrow(run, schema)
-    rows = shared.written(rows.select(F.monotonically_increasing_id().alias("row"), "*"), "scored")
-    rare = rows.select("row", F.explode("rest").alias("r")).select("row", "r.*").join(model.words, "word", "left").withColumn("c", F.coalesce("n", F.lit(0)))
-    word = F.when(F.col("c") > 0, F.col("c") - d).otherwise(F.lit(d * v if v else 1.0)) / max(n, 1)
-    rare = rare.groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("times") * F.log10((F.col("c") + 1) / F.lit(float(total)))).alias("more_base"),
-        F.sum(F.col("below") * F.log10(F.least(word, F.lit(1.0)))).alias("more_model"),
-    )
-    plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    joined = rows.drop("rest").join(rare, "row", "left")
-    return joined.select("doc_id", "n_tokens", plus("known", "more_known").alias("n_known"), plus("base", "more_base").alias("base_score"), plus("model", "more_model").alias("score"))
+    tokens, distinct = pieces.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_distinct"), F.lit(0))).first()
+    word_bits, bits = _bits(distinct), _bits((order - 1) * tokens)
+    words = _word_counts(pieces, word_bits)
+    n, v, n1, n2 = words.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "n1", "n2"))).first()
+    d = min(max(n1 / max(n1 + 2 * n2, 1), 0.1), 0.9)
+
+    def step(doc_ids, scored, sizes, flat, words, trains, counts: bytes, levels: bytes) -> pa.RecordBatch:
+        hashes, flat, starts = _opened(flat, words, sizes)
+        exact = np.zeros(len(hashes), np.int64)
+        exact[_dealt(hashes, word_bits)[0]] = np.frombuffer(counts, "<i8")
+        keys, ends = ngram_keys(hashes, flat, starts, order)
+        level = np.zeros(len(keys), np.int64)
+        level[_dealt(keys, bits)[0]] = np.frombuffer(levels, np.uint8)
+        c = exact[flat].astype(float)
+        least, longer, at = least_counts(), [c], 0
+        for end in ends:
+            # One that is there has its first and last n - 1 tokens there too.
+            found = np.zeros(len(flat))
+            found[end] = np.where((longer[-1][end] > 0) & (longer[-1][end - 1] > 0), least[level[at : at + len(end)]], 0)
+            longer.append(found)
+            at += len(end)
+        longer = longer[1:]
+        add = lambda x: np.add.reduceat(x, starts) if len(starts) else x
+        out = [add(np.log10(mixed(c, longer, c, starts, n, v, d, s))) for s in STRENGTHS]
+        # Each training token left out of what is known of it; what comes before it stays.
+        fit = np.zeros(len(STRENGTHS), np.int64)
+        if trains:
+            less = [np.maximum(x - 1, 0) for x in longer]
+            own = [add(np.log10(mixed(np.maximum(c - 1, 0), less, c - 1, starts, n - 1, v, d, s))) for s in STRENGTHS]
+            fit = np.bincount(np.argmax(own, axis=0), minlength=len(STRENGTHS))
+        base = np.log10((exact + 1) / (n + v + 1))
+        m = len(doc_ids)
+        columns = [
+            pa.array(doc_ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(add((c > 0).astype(np.int64))), pa.array(add(base[flat])),
+            pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * len(STRENGTHS)), pa.array(np.column_stack(out).ravel())), pa.array([fit.tolist()] + [None] * (m - 1), pa.list_(pa.int64())), pa.array(scored, pa.bool_()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "base_score", "scores", "fit", "scored"])
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, counts, levels = None, [], []
+        for batch in found:
+            for kind, count, level, *more in _rows(batch):
+                if kind == 0:
+                    if own is not None:
+                        yield step(*own, b"".join(counts), b"".join(levels))
+                    own, counts, levels = more, [], []
+                elif kind == 1:
+                    counts.append(count)
+                else:
+                    levels.append(level)
+        if own is not None:
+            yield step(*own, b"".join(counts), b"".join(levels))
+
+    # A piece's own row comes before its counts and levels, these by shard: in the order of its keys.
+    parts = [
+        pieces.select("piece", F.lit(0).alias("kind"), F.lit(-1).alias("shard"), "doc_ids", "scored", "sizes", "flat", "words", "trains"),
+        words.where("piece is not null").select("piece", F.lit(1).alias("kind"), "shard", F.col("counts").alias("count")),
+        _levels(pieces, order, bits).select("piece", F.lit(2).alias("kind"), "shard", F.col("levels").alias("level")),
+    ]
+    both = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True).repartition("piece").sortWithinPartitions("piece", "kind", "shard")
+    schema = "doc_id long, n_tokens long, n_known long, base_score double, scores array<double>, fit array<long>, scored boolean"
+    done = shared.written(both.select("kind", "count", "level", "doc_ids", "scored", "sizes", "flat", "words", "trains").mapInArrow(run, schema), "scored")
+    votes = done.agg(*(F.coalesce(F.sum(F.col("fit")[i]), F.lit(0)) for i in range(len(STRENGTHS)))).first()
+    best = _middle(votes)
+    return done.where("scored").select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", F.col("scores")[best].alias("score"))

@@ -174,7 +174,7 @@ def op9_log_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = language_model.held_out(F.col("doc_id"))
     model = language_model.train(docs.where(~out))
     scored = language_model.score(docs, model, trained=~out)
-    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 @_query
