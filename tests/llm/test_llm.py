@@ -157,6 +157,16 @@ def test_passage_that_moves_is_found(spark):
     assert got[1][0] == 0 and got[3][0] == 0 and got[2][0] > 0.6 * len(passage)
 
 
+def test_forced_cuts_fall_between_characters(spark):
+    long = "\u8a9e" * 1400
+    rows = [(1, long), (2, long + "\u672b"), (3, "x" + "\U0001f600" * 9000), (4, "x" + "\U0001f600" * 9000), (5, "\u00e9" * 200_000)]
+    got = by_id(chunks.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")), "text", "removed_bytes")
+    for i, t in rows:
+        text, gone = got[i]
+        assert len(text.encode()) + gone == len(t.encode())
+    assert got[1][1] == 0 and got[2][1] > 4000 and got[4][0] == ""
+
+
 # 3
 
 
@@ -244,15 +254,25 @@ def test_windows_hit_like_brute_force(spark):
         want[i] = (len(w), len(hit), sorted(ids))
     got = contamination.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert by_id(got, "n_words", "n_hit", "items") == want
+    # Tables beyond what is broadcast meet in shuffles.
+    before = contamination.BROADCAST_ROWS
+    try:
+        contamination._small.__defaults__ = (0,)
+        got = contamination.contamination(spark.createDataFrame(rows, "doc_id long, text string").withColumn("more", F.lit("kept")), spark.createDataFrame(items, "item_id long, text string"), keep=["more"])
+        assert by_id(got, "n_words", "n_hit", "items") == want and got.where("more = 'kept'").count() == len(rows)
+    finally:
+        contamination._small.__defaults__ = (before,)
 
 
 def test_proximity_finds_shuffled_words(spark):
-    items = contamination.items_of(spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string"))
-    docs = spark.createDataFrame([(1, "x delta y beta alpha z gamma x"), (2, "alpha beta only")], "doc_id long, text string")
-    anchors = contamination.anchors_of(items, contamination.term_counts(docs, items), 4, 6)
-    index = contamination.build_index(docs, anchors, 6)
-    near = contamination.proximity_matches(index, anchors, 4, 3).join(index.select("row", "doc_id"), "row")
-    assert {r["doc_id"] for r in near.collect()} == {1} and contamination.phrase_matches(index, anchors, 4).count() == 0
+    items = contamination.items_of(spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "alpha alpha beta")], "item_id long, text string"))
+    docs = spark.createDataFrame([(1, "x delta y beta alpha z gamma x"), (2, "alpha beta only"), (3, "beta x x x x x x x alpha delta gamma"), (4, None)], "doc_id long, text string")
+    terms = contamination.terms_of(items)
+    index = contamination.build_index(docs, terms)
+    windows, members = contamination.windows_of(items, terms, index, 4)
+    near = contamination.proximity_matches(index, windows, 5).join(members, "window").join(index.where("t = -1").select("row", "doc_id"), "row")
+    # The second item needs no second alpha: words are met in any order and as a set.
+    assert {(r["doc_id"], r["item_id"]) for r in near.collect()} == {(1, 1), (1, 2), (2, 2)} and contamination.phrase_matches(index, windows).count() == 0
 
 
 # 7
@@ -313,16 +333,70 @@ def test_arguments_that_json_cannot_say(spark):
 
 def test_filter_gives_levels_back():
     rng = np.random.default_rng(2)
-    keys = np.sort(rng.integers(0, 2**63, 5000).astype(np.uint64) * np.uint64(2))
-    counts = rng.integers(2, 500, 5000)
-    shards = 8
-    cut = np.searchsorted(keys >> np.uint64(61), np.arange(shards + 1, dtype=np.uint64))
-    found = {s: language_model.segment(keys[cut[s] : cut[s + 1]], language_model.level_of(counts[cut[s] : cut[s + 1]], 2)).tobytes() for s in range(shards)}
-    bloom = language_model.LogBloom.of(found, shards, 2)
+    keys = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64))
+    want = language_model.level_of(rng.integers(1, 500, len(keys)))
+    bloom = language_model.LogBloom.of(keys, want)
     got = bloom.levels(keys)
-    want = language_model.level_of(counts, 2)
     assert (got >= want).all() and (got == want).mean() > 0.97
-    assert (bloom.levels(rng.integers(0, 2**63, 20000).astype(np.uint64)) > 0).mean() < 0.03
+    assert (bloom.levels(rng.integers(0, 2**63, 20000).astype(np.uint64)) > 0).mean() < 0.02
+    least = language_model.least_counts()
+    for c in range(1, 3000):
+        level = int(language_model.level_of(np.array([c]))[0])
+        assert least[level] <= c < least[level + 1] or least[level] == c
+    assert language_model.LogBloom.of(keys[:0], want[:0]).levels(keys).max() == 0
+
+
+def brute_scores(texts, trains):
+    """Scores from exact counts, each taken down to the least of its level; the strength that suits the middle text."""
+    tokens = {i: [*t.encode().lower().split(), b"\n"] for i, t in texts.items()}
+    grams = [Counter(tuple(tokens[i][k : k + n]) for i in trains for k in range(len(tokens[i]) - n + 1)) for n in (1, 2, 3)]
+    n, v = sum(grams[0].values()), len(grams[0])
+    n1, n2 = (sum(c == k for c in grams[0].values()) for k in (1, 2))
+    d = min(max(n1 / max(n1 + 2 * n2, 1), 0.1), 0.9)
+    least = lambda c: max((math.ceil(1.5**k - 1e-9) for k in range(60) if 1.5**k <= c + 1e-9), default=0)
+
+    def score(w, s, out):
+        total = 0.0
+        for k, x in enumerate(w):
+            p = max(grams[0][x,] - out - d, 0) / (n - out) + d * v / (n - out) / (v + 1)
+            for m in (1, 2):
+                if k >= m:
+                    h, g = tuple(w[k - m : k]), tuple(w[k - m : k + 1])
+                    before = (grams[0][h] if m == 1 else least(grams[1][h])) - out
+                    if before > 0:
+                        p = (min(max(least(grams[m][g]) - out, 0), before) + s * p) / (before + s)
+            total += math.log10(p)
+        return total
+
+    votes = sorted(max(range(len(language_model.STRENGTHS)), key=lambda k: score(tokens[i], language_model.STRENGTHS[k], 1)) for i in trains)
+    best = language_model.STRENGTHS[votes[(len(votes) - 1) // 2]]
+    return {i: score(w, best, 0) for i, w in tokens.items()}
+
+
+def test_scores_by_definition(spark, docs):
+    some = dict(sorted(docs.items())[:120])
+    want = brute_scores(some, [i for i in some if i % 3])
+    df = spark.createDataFrame(sorted(some.items()), "doc_id long, text string").repartition(3)
+    before = language_model.SHARD_KEYS
+    try:
+        for language_model.SHARD_KEYS in (before, 1000):  # one shard, and many
+            got = by_id(language_model.score(df, language_model.train(df), trained=F.col("doc_id") % 3 != 0), "score")
+            # The filter takes one in a hundred of absent n-grams for one that occurs once.
+            for i, x in want.items():
+                assert got[i][0] == pytest.approx(x, rel=0.02, abs=0.5)
+    finally:
+        language_model.SHARD_KEYS = before
+
+
+def test_text_is_likelier_than_gibberish(spark, docs):
+    rnd = random.Random(3)
+    text = next(t for i, t in sorted(docs.items()) if zlib.crc32(str(i).encode()) % 7 != 2 and 200 < len(t.split()) < 2000)
+    words = text.split()
+    mixed, made_up = rnd.sample(words, len(words)), ["".join(rnd.choice("bcdfgaeiou") for _ in range(7)) for _ in words]
+    model = language_model.train(spark.createDataFrame(sorted(docs.items()), "doc_id long, text string"))
+    asked = spark.createDataFrame([(1, text), (2, " ".join(mixed)), (3, " ".join(made_up))], "doc_id long, text string")
+    got = by_id(language_model.score(asked, model), "score")
+    assert got[1][0] > got[2][0] > got[3][0]
 
 
 def test_ngrams_that_occur_once_count(spark):
@@ -393,7 +467,7 @@ def test_repeats_like_brute_force():
 def test_odd_rows_and_empty_tables(spark, odd):
     items = spark.createDataFrame([(1, "lorem " * 12), (2, None), (3, "")], "item_id long, text string").withColumn("term", F.lit(1))
     model = language_model.train(odd)
-    assert language_model.train(odd.limit(0)).tokens == 0
+    assert {(r["train_tokens"], r["n_known"], r["score"]) for r in language_model.score(odd, language_model.train(odd.limit(0))).collect()} == {(0, 0, 0.0)}
     tox = toxicity.train(odd.withColumn("toxic", F.when(F.col("doc_id") > 4, 1).otherwise(0)))
     for make in (
         quality.quality_rules,
@@ -429,17 +503,68 @@ def test_pipeline_stages_keep_their_columns(spark):
     assert out.count() == kept[-1] and out.where("not round_trip").count() == 0
     # Brute force over the first two stages.
     first = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    good = [i for i in sorted(first) if quality.measure([first[i].encode()], quality.QualityRules())["kept"][0]]
-    prints = {i: simhash.fingerprint(first[i].encode(), 4) for i in good}
-    root = {i: i for i in good}
-    changed = True
+    good = {i: first[i] for i in sorted(first) if quality.measure([first[i].encode()], quality.QualityRules())["kept"][0]}
+    assert kept[2] == len(brute_near(good, 5, 6, 0.8))
+
+
+def brute_near(found, words, radius, similarity):
+    """Ids that stay: of equal texts the first; of what fingerprints connect, in turn, those that none that stays resembles."""
+    firsts = {}
+    for i, t in sorted(found.items()):
+        firsts.setdefault(t, i)
+    ids = sorted(firsts.values())
+    prints, sets = {i: simhash.fingerprint(found[i].encode(), words) for i in ids}, {}
+    for i in ids:
+        w = found[i].encode().lower().split()
+        sets[i] = {tuple(w[k : k + words]) for k in range(max(len(w) - words + 1, 1))} if w else set()
+    root, changed = {i: i for i in ids}, True
     while changed:
         changed = False
-        for i in good:
-            least = min(root[j] for j in good if (prints[i] ^ prints[j]).bit_count() <= 4)
+        for i in ids:
+            least = min(root[j] for j in ids if (prints[i] ^ prints[j]).bit_count() <= radius)
             changed |= least != root[i]
             root[i] = least
-    assert kept[2] == sum(root[i] == i for i in good)
+    stay = []
+    for i in ids:
+        if not any(root[j] == root[i] and sets[i] & sets[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) for j in stay):
+            stay.append(i)
+    return stay
+
+
+def test_near_duplicates_like_brute_force(spark):
+    rnd = random.Random(12)
+    texts = {}
+    for g in range(12):
+        base = [f"w{rnd.randint(0, 400)}" for _ in range(rnd.choice([4, 40, 150]))]
+        for _ in range(8):
+            t = list(base)
+            for _ in range(rnd.choice([0, 0, 1, 2, 4, 8])):
+                t[rnd.randrange(len(t))] = f"x{rnd.randint(0, 50)}"
+            texts[len(texts)] = " ".join(t)
+    texts |= {len(texts): " \n", len(texts) + 1: "\n", len(texts) + 2: "a b", len(texts) + 3: "A  B"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    for radius in (6, 20):
+        gone = {r["doc_id"] for r in simhash.near_duplicates(df, radius=radius).collect()}
+        assert sorted(set(texts) - gone) == sorted(brute_near(texts, 5, radius, 0.8)) and len(gone) > 20
+
+
+def test_pipeline_judges_rows_that_share_an_id(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    leak = " ".join(f"leak{i}" for i in range(12))
+    spark.createDataFrame([(1, leak), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clean = lambda k: " ".join(f"c{k}x{i * i % 97}y{i}" for i in range(60))
+    rows = [(1, clean(1)), (1, clean(1)), (1, clean(2)), (2, clean(1)), (3, clean(3) + " " + leak), (3, clean(4)), (None, clean(5) + " " + leak), (None, clean(6)), (None, clean(6)), (4, clean(6)), (5, None), (6, ""), (7, "\u8a9e" * 2000)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).repartition(3)
+    text = lambda d: sorted((r["doc_id"] or -1, r["text"] or "") for r in d.collect())
+    near = pipeline.near_duplicates(spark, df, str(tmp_path))
+    assert near.columns == pipeline.COLUMNS
+    assert text(near) == sorted([(1, clean(1)), (1, clean(2)), (3, clean(3) + " " + leak), (3, clean(4)), (-1, clean(5) + " " + leak), (4, clean(6)), (5, ""), (7, "\u8a9e" * 2000)])
+    assert text(pipeline.benchmark_leaks(spark, df, str(tmp_path))) == sorted((i or -1, t or "") for i, t in rows if leak not in (t or ""))
+    wide = df.withColumns({c: F.lit("clash") for c in CLASHING})
+    for _, stage in pipeline.STAGES:
+        out = stage(spark, wide, str(tmp_path))
+        assert out.count() > 0 and stage(spark, df.limit(0), str(tmp_path)).count() == 0
 
 
 def test_digests_of_whole_texts(spark, docs):
