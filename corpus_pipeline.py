@@ -7,14 +7,13 @@ read again as the next one's docs.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topolidar.llm import bpe, shared
+from topolidar.llm import bpe, shared, simhash
 from topolidar.llm.chunks import dedup_substrings
 from topolidar.llm.contamination import contamination
 from topolidar.llm.quality import quality_rules
-from topolidar.llm.simhash import simhash_components
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -28,10 +27,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules(docs, keep=COLUMNS[1:]).where("kept").select(COLUMNS)
 
 
+def _mark() -> Column:
+    """What tells rows of one id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _without(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of ``docs`` but those that ``found`` (doc_id, mark) names: by id, null ids too, and the text's hash, so that of
+    rows that share an id each is judged for its own text."""
+    named = found.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    marked = docs.select(COLUMNS).withColumn("mark", _mark())
+    return marked.join(named, marked["doc_id"].eqNullSafe(F.col("_id")) & (marked["mark"] == F.col("_mark")), "left_anti").drop("mark")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the smallest id. Documents without an id can't be told apart and stay."""
-    found = simhash_components(docs, words=4, radius=4)
-    return docs.select(COLUMNS).join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
+    """Documents without those that repeat, in five-word shingles at a similarity of 0.8 or more, one that stays."""
+    found = shared.written(simhash.near_duplicates(docs, words=5, radius=6, similarity=0.8), "duplicates")
+    kept = _without(docs, found)
+    several = found.where("stays")
+    if several.isEmpty():
+        return kept
+    marked = docs.select(COLUMNS).withColumn("mark", _mark())
+    named = several.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    one = marked.join(named, marked["doc_id"].eqNullSafe(F.col("_id")) & (marked["mark"] == F.col("_mark")), "left_semi").dropDuplicates(["doc_id", "mark"])
+    return kept.union(one.select(COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +61,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark window. Of those without an id, which can't be told apart, none goes."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10)
-    return docs.select(COLUMNS).join(found.where("n_hit > 0").select("doc_id").distinct(), "doc_id", "left_anti")
+    """Documents without any benchmark window."""
+    found = contamination(docs.withColumn("mark", _mark()), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10, keep=["mark"])
+    return _without(docs, found.where("n_hit > 0").select("doc_id", "mark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
