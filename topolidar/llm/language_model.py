@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +29,10 @@ BASE, HASHES, BITS_PER_INSERT = 1.5, 6, 14
 #: What a context's count is held against when the estimates of an n-gram and of the shorter one are mixed. For each training
 #: text the one counts that makes it likeliest, each token left out in its turn; the middle of these is taken.
 STRENGTHS = (1.0, 5.0, 25.0, 125.0, 625.0, 3125.0)
-#: Keys that a shard gets on average at most, and bytes of text in a piece, unless a single text is longer.
+#: Keys that a shard gets on average at most, and bytes of text in a piece, unless a single text is longer. Of an n-gram's key
+#: 32 bits are sent beside the shard's number: of a shard's 2^20 keys one in 4,096 meets another by chance. Keys of words are
+#: sent whole.
 SHARD_KEYS, PIECE = 1 << 20, 4 << 20
-#: Bytes of an n-gram's key that are sent beside its shard's number: of a shard's 2^20 keys one in 4,096 meets another by
-#: chance. Keys of words are sent whole.
-KEY_BYTES = 4
 
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -143,11 +143,31 @@ def ngram_keys(hashes: np.ndarray, flat: np.ndarray, starts: np.ndarray, order:
     return np.concatenate(keys), ends
 
 
-def _dealt(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, cuts): places of ``keys`` by their highest ``bits``, as they come within a shard, and where shards begin."""
-    shard = (keys >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32) if bits else np.zeros(len(keys), np.uint16)
-    order = np.argsort(shard, kind="stable")
-    return order, np.searchsorted(shard[order], np.arange(1 << bits), side="left").tolist() + [len(keys)]
+def _pressed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _opened_bytes(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def packed(values: np.ndarray, rising: bool = False) -> bytes:
+    """Unsigned numbers, compressed byte plane by byte plane; of ``rising`` ones the differences."""
+    if rising:
+        values = np.diff(values, prepend=values.dtype.type(0))
+    return _pressed(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes())
+
+
+def unpacked(data: bytes, kind: str, rising: bool = False) -> np.ndarray:
+    planes = np.frombuffer(_opened_bytes(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    values = np.ascontiguousarray(planes.T).view(kind).ravel()
+    return np.cumsum(values, dtype=kind) if rising else values
+
+
+def _cuts(keys: np.ndarray, bits: int) -> list[int]:
+    """Where the shards of sorted ``keys``, by their highest ``bits``, begin and end."""
+    shard = keys >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64)
+    return [*np.searchsorted(shard, np.arange(1 << bits, dtype=np.uint64)).tolist(), len(keys)]
 
 
 def _pieces(rows: DataFrame) -> DataFrame:
@@ -165,7 +185,7 @@ def _pieces(rows: DataFrame) -> DataFrame:
                     piece = both.filter(pa.array(flags == trains))
                     if piece.num_rows:
                         distinct, flat, sizes = tokens_of(texts(piece.column("text")))
-                        values = trains, len(flat), len(distinct), piece.column("doc_id").to_pylist(), piece.column("scored").to_pylist(), sizes.tolist(), flat.astype("<u4").tobytes(), b"\n".join(distinct[1:])
+                        values = trains, len(flat), len(distinct), piece.column("doc_id").to_pylist(), piece.column("scored").to_pylist(), sizes.tolist(), packed(flat.astype("<u4")), _pressed(b"\n".join(distinct[1:]))
                         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=names)
 
     schema = "trains boolean, n_tokens long, n_distinct long, doc_ids array<long>, scored array<boolean>, sizes array<long>, flat binary, words binary"
@@ -174,8 +194,8 @@ def _pieces(rows: DataFrame) -> DataFrame:
 
 def _opened(flat: bytes, words: bytes, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes of the distinct tokens, flat, starts)."""
-    sizes = np.array(sizes, np.int64)
-    return hash_words([END, *words.split(b"\n")] if words else [END]), np.frombuffer(flat, "<u4").astype(np.int64), np.cumsum(sizes) - sizes
+    sizes, words = np.array(sizes, np.int64), _opened_bytes(words)
+    return hash_words([END, *words.split(b"\n")] if words else [END]), unpacked(flat, "<u4").astype(np.int64), np.cumsum(sizes) - sizes
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -211,18 +231,20 @@ def _word_counts(pieces: DataFrame, bits: int) -> DataFrame:
         for batch in found:
             for piece, trains, sizes, flat, words in _rows(batch):
                 hashes, flat, _ = _opened(flat, words, sizes)
-                order, cuts = _dealt(hashes, bits)
-                keys, counts = hashes[order].astype("<u8"), np.bincount(flat if trains else [], minlength=len(hashes))[order].astype("<i8")
+                order = np.argsort(hashes)
+                keys, counts, cuts = hashes[order].astype("<u8"), np.bincount(flat if trains else [], minlength=len(hashes))[order].astype("<u8"), _cuts(hashes[order], bits)
                 some = [s for s in range(1 << bits) if cuts[s + 1] > cuts[s]]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([piece] * len(some), pa.int64()), *(pa.array([x[cuts[s] : cuts[s + 1]].tobytes() for s in some], pa.binary()) for x in (keys, counts))], names=["shard", "piece", "keys", "counts"])
+                body = [[packed(keys[cuts[s] : cuts[s + 1]], rising=True) for s in some], [packed(counts[cuts[s] : cuts[s + 1]]) for s in some]]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([piece] * len(some), pa.int64()), *(pa.array(x, pa.binary()) for x in body)], names=["shard", "piece", "keys", "counts"])
 
     def fold(shard: int, rows: list) -> pa.RecordBatch:
-        keys, inverse = np.unique(np.frombuffer(b"".join(r[1] for r in rows), "<u8"), return_inverse=True)
+        found = [unpacked(r[1], "<u8", rising=True) for r in rows]
+        keys, inverse = np.unique(np.concatenate(found), return_inverse=True)
         total = np.zeros(len(keys), np.int64)
-        np.add.at(total, inverse, np.frombuffer(b"".join(r[2] for r in rows), "<i8"))
-        back, ends = total[inverse].astype("<i8"), np.cumsum([0, *(len(r[1]) // 8 for r in rows)]).tolist()
+        np.add.at(total, inverse, np.concatenate([unpacked(r[2], "<u8") for r in rows]).astype(np.int64))
+        back, ends = total[inverse].astype("<u8"), np.cumsum([0, *map(len, found)]).tolist()
         own = [[None] * len(rows) + [int(x)] for x in (total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum())]
-        return pa.RecordBatch.from_arrays([pa.array([*(r[0] for r in rows), None], pa.int64()), pa.array([shard] * (len(rows) + 1), pa.int32()), pa.array([*(back[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)), None], pa.binary()), *(pa.array(x, pa.int64()) for x in own)], names=["piece", "shard", "counts", "n", "v", "n1", "n2"])
+        return pa.RecordBatch.from_arrays([pa.array([*(r[0] for r in rows), None], pa.int64()), pa.array([shard] * (len(rows) + 1), pa.int32()), pa.array([*(packed(back[a:b]) for a, b in zip(ends, ends[1:], strict=False)), None], pa.binary()), *(pa.array(x, pa.int64()) for x in own)], names=["piece", "shard", "counts", "n", "v", "n1", "n2"])
 
     sent = pieces.select("piece", "trains", "sizes", "flat", "words").mapInArrow(send, "shard int, piece long, keys binary, counts binary")
     return shared.written(_by_shard(sent, 1 << bits).mapInArrow(lambda found: _fold(found, fold), "piece long, shard int, counts binary, n long, v long, n1 long, n2 long"), "words")
@@ -236,22 +258,23 @@ def _levels(pieces: DataFrame, order: int, bits: int) -> DataFrame:
         for batch in found:
             for piece, trains, sizes, flat, words in _rows(batch):
                 keys, _ = ngram_keys(*_opened(flat, words, sizes), order)
-                by, cuts = _dealt(keys, bits)
-                raw = np.ascontiguousarray(keys[by].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes()
+                keys, times = np.unique(keys, return_counts=True)
+                cuts, times = _cuts(keys, bits), (times if trains else np.zeros(len(keys))).astype("<u4")
+                keys = ((keys << np.uint64(bits)) >> np.uint64(32)).astype("<u4")
                 some = [s for s in range(1 << bits) if cuts[s + 1] > cuts[s]]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([piece] * len(some), pa.int64()), pa.array([trains] * len(some), pa.bool_()), pa.array([raw[KEY_BYTES * cuts[s] : KEY_BYTES * cuts[s + 1]] for s in some], pa.binary())], names=["shard", "piece", "trains", "keys"])
+                body = [[packed(keys[cuts[s] : cuts[s + 1]], rising=True) for s in some], [packed(times[cuts[s] : cuts[s + 1]]) for s in some]]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([piece] * len(some), pa.int64()), *(pa.array(x, pa.binary()) for x in body)], names=["shard", "piece", "keys", "times"])
 
     def fold(shard: int, rows: list) -> pa.RecordBatch:
-        sizes = [len(r[2]) // KEY_BYTES for r in rows]
-        keys, inverse = np.unique(np.frombuffer(b"".join(r[2] for r in rows), "<u4"), return_inverse=True)
-        counts = np.bincount(inverse[np.repeat([r[1] for r in rows], sizes)], minlength=len(keys))
-        keys = _mix(keys.astype(np.uint64))
-        seen = counts > 0
+        found = [unpacked(r[1], "<u4", rising=True) for r in rows]
+        keys, inverse = np.unique(np.concatenate(found), return_inverse=True)
+        counts = np.bincount(inverse, np.concatenate([unpacked(r[2], "<u4") for r in rows]), len(keys))
+        keys, seen = _mix(keys.astype(np.uint64)), counts > 0
         level = LogBloom.of(keys[seen], level_of(counts[seen])).levels(keys).astype(np.uint8)[inverse]
-        ends = np.cumsum([0, *sizes]).tolist()
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([shard] * len(rows), pa.int32()), pa.array([level[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], names=["piece", "shard", "levels"])
+        ends = np.cumsum([0, *map(len, found)]).tolist()
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([shard] * len(rows), pa.int32()), pa.array([_pressed(level[a:b].tobytes()) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], names=["piece", "shard", "levels"])
 
-    sent = pieces.select("piece", "trains", "sizes", "flat", "words").mapInArrow(send, "shard int, piece long, trains boolean, keys binary")
+    sent = pieces.select("piece", "trains", "sizes", "flat", "words").mapInArrow(send, "shard int, piece long, keys binary, times binary")
     return _by_shard(sent, 1 << bits).mapInArrow(lambda found: _fold(found, fold), "piece long, shard int, levels binary")
 
 
@@ -314,13 +337,13 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     n, v, n1, n2 = words.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "n1", "n2"))).first()
     d = min(max(n1 / max(n1 + 2 * n2, 1), 0.1), 0.9)
 
-    def step(doc_ids, scored, sizes, flat, words, trains, counts: bytes, levels: bytes) -> pa.RecordBatch:
+    def step(doc_ids, scored, sizes, flat, words, trains, counts: list[bytes], levels: list[bytes]) -> pa.RecordBatch:
         hashes, flat, starts = _opened(flat, words, sizes)
         exact = np.zeros(len(hashes), np.int64)
-        exact[_dealt(hashes, word_bits)[0]] = np.frombuffer(counts, "<i8")
+        exact[np.argsort(hashes)] = np.concatenate([unpacked(x, "<u8") for x in counts]).astype(np.int64)
         keys, ends = ngram_keys(hashes, flat, starts, order)
-        level = np.zeros(len(keys), np.int64)
-        level[_dealt(keys, bits)[0]] = np.frombuffer(levels, np.uint8)
+        told = np.frombuffer(b"".join(map(_opened_bytes, levels)), np.uint8)
+        level = told[np.unique(keys, return_inverse=True)[1]] if len(keys) else told
         c = exact[flat].astype(float)
         least, longer, at = least_counts(), [c], 0
         for end in ends:
@@ -352,14 +375,14 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
             for kind, count, level, *more in _rows(batch):
                 if kind == 0:
                     if own is not None:
-                        yield step(*own, b"".join(counts), b"".join(levels))
+                        yield step(*own, counts, levels)
                     own, counts, levels = more, [], []
                 elif kind == 1:
                     counts.append(count)
                 else:
                     levels.append(level)
         if own is not None:
-            yield step(*own, b"".join(counts), b"".join(levels))
+            yield step(*own, counts, levels)
 
     # A piece's own row comes before its counts and levels, these by shard: in the order of its keys.
     parts = [
