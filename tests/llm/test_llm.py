@@ -193,6 +193,44 @@ def test_toxic_words_raise_the_score(spark):
     assert all(r["score"] < 0.1 for r in toxicity.toxicity(df, flat).limit(3).collect()) and toxicity.train(df.limit(0)).weights[-1] == 0
 
 
+def test_ratios_are_those_of_kneser_ney():
+    rnd = random.Random(8)
+    word = lambda k: "".join(rnd.choice("abcd"[:k]) for _ in range(rnd.randint(1, 9)))
+    by_class = tuple(Counter(word(k) for _ in range(300)) for k in (4, 3))
+    got = toxicity.Ratios(by_class)
+    m, d = toxicity.ORDER, toxicity.DISCOUNT
+    own = [Counter(p for w, n in c.items() for p in toxicity.pieces(w) for _ in range(n)) for c in by_class]
+    kept = {p for p in own[0] | own[1] if own[0][p] + own[1][p] >= toxicity.LEAST}
+    # What each length has: pieces of ORDER characters, then, for shorter ones, the different characters seen before them.
+    levels = {m: kept}
+    for k in range(m - 1, 0, -1):
+        levels[k] = {p[1:] for p in levels[k + 1]}
+    before = lambda p: sum(q[1:] == p for q in levels[len(p) + 1])
+
+    def shared(p):
+        if not p:
+            return 1 / (len(levels[1]) + 1)
+        after = [q for q in levels[len(p)] if q[:-1] == p[:-1]]
+        if not after:
+            return shared(p[1:])
+        total = sum(map(before, after))
+        return max((before(p) if p in levels[len(p)] else 0) - d, 0) / total + d * len(after) / total * shared(p[1:])
+
+    def chance(c, p):
+        after = [q for q in kept if q[:-1] == p[:-1] and own[c][q]]
+        total = sum(own[c][q] for q in after)
+        if not total:
+            return shared(p[1:])
+        return max(own[c][p] - d, 0) / total + d * len(after) / total * shared(p[1:])
+
+    some = rnd.sample(sorted(kept), 40)
+    for p in some:
+        assert got.seen[p] == pytest.approx(math.log(chance(1, p) / chance(0, p)))
+        # A continuation that neither class has: backoff weights alone, whatever the shorter pieces say.
+        assert got.unseen.get(p[:-1], 0.0) == pytest.approx(math.log(chance(1, p[:-1] + "!") / chance(0, p[:-1] + "!")))
+    assert set(got.seen) == kept
+
+
 # 5
 
 

@@ -2,7 +2,8 @@
 
 Each class has counts of ORDER-character pieces of words; both back off to one model of shorter pieces, counted over both
 classes. The log-likelihood ratio of a piece that a class has not seen is then the ratio of two backoff weights, and rare
-expressions cancel out. A text is judged by its length-normalised ratio, as a whole and in the word where it is strongest.
+expressions cancel out. A text is judged by length-normalised ratios: of the whole text, for a character, and of its one,
+two, four and eight most toxic words, for a character and for a word.
 """
 
 from __future__ import annotations
@@ -10,23 +11,27 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topolidar.llm import shared
 from topolidar.llm.batches import map_texts
 
 ORDER, DISCOUNT = 8, 0.75
 #: Pieces found less often in both classes together are left to the backoff.
 LEAST = 2
-#: Words of a stronger ratio than that count as evidence.
-STRONG = 2.0
-#: The fit takes that many labelled rows at most, by hashed ids, and of texts up to that many bytes.
+#: Numbers of strongest words that a text is judged by.
+TOPS = (1, 2, 4, 8)
+#: The fit takes that many labelled rows at most, by hashed ids, and of texts up to that many bytes. ORDER, LEAST, TOPS and
+#: FOLDS were chosen by folds of the rows that one may learn from.
 SAMPLE_ROWS, SAMPLE_BYTES = 8_000, 1 << 16
-FOLDS, FEATURES = 2, 5
+FOLDS, FEATURES = 4, 1 + 2 * len(TOPS)
 
 _WORD = re.compile(r"\w+")
 
@@ -90,24 +95,28 @@ def word_ratio(word: str, seen: dict[str, float], unseen: dict[str, float]) -> f
 
 
 def features(texts: list[str], seen: dict[str, float], unseen: dict[str, float]) -> np.ndarray:
-    """For each text: the ratio for a character of the whole text and of its strongest word, the ratios of the strongest word
-    and of the mean of three, and what words have over STRONG, for the square root of the text's words."""
+    """For each text: the ratio for a character of the whole text; of its strongest 1, 2, 4 and 8 different words, or as many
+    as it has, the ratio for a character and for a word (of so many)."""
     known: dict[str, float] = {}
     out = np.zeros((len(texts), FEATURES))
     for i, text in enumerate(texts):
-        found = words(text)
+        found = Counter(words(text))
         if not found:
             continue
         for word in found:
             if word not in known:
                 known[word] = word_ratio(word, seen, unseen)
         ratios = np.fromiter(map(known.__getitem__, found), float, len(found))
-        lengths = np.fromiter(map(len, found), float, len(found)) + 1
-        out[i] = ratios.sum() / lengths.sum(), (ratios / lengths).max(), ratios.max(), np.sort(ratios)[-3:].sum() / 3, np.maximum(ratios - STRONG, 0).sum() / math.sqrt(len(found))
+        lengths, times = np.fromiter(map(len, found), float, len(found)) + 1, np.fromiter(found.values(), float, len(found))
+        out[i, 0] = (ratios * times).sum() / (lengths * times).sum()
+        top = np.lexsort((lengths, -ratios))[: TOPS[-1]]
+        for j, k in enumerate(TOPS):
+            total = ratios[top[:k]].sum()
+            out[i, 1 + j], out[i, 1 + len(TOPS) + j] = total / lengths[top[:k]].sum(), total / k
     return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 50) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, rounds: int = 50) -> np.ndarray:
     """Weights, the constant last, of a logistic regression with a ridge penalty, by Newton's method."""
     x = np.column_stack((x, np.ones(len(x))))
     w, ridge = np.zeros(x.shape[1]), np.diag([penalty] * (x.shape[1] - 1) + [1e-6])
@@ -127,35 +136,74 @@ class ToxicityModel:
     weights: list[float]
 
 
+def _counted(sample: DataFrame) -> DataFrame:
+    """(fit, label, word, n): the words of a sample (fold, label, text) for each fit; fit k leaves fold k out, fit FOLDS none."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            counts: dict[tuple[int, int], Counter] = {}
+            for fold, label, text in zip(*(batch.column(c) for c in ("fold", "label", "text")), strict=True):
+                counts.setdefault((fold.as_py(), label.as_py()), Counter()).update(words(text.as_py()))
+            for (fold, label), some in counts.items():
+                yield pa.RecordBatch.from_arrays([pa.array([fold] * len(some), pa.int32()), pa.array([label] * len(some), pa.int32()), pa.array(list(some), pa.string()), pa.array(list(some.values()), pa.int64())], names=["fold", "label", "word", "n"])
+
+    counted = sample.select("fold", "label", "text").mapInArrow(run, "fold int, label int, word string, n long")
+    counted = counted.groupBy("fold", "label", "word").agg(F.sum("n").alias("n"))
+    fits = F.filter(F.sequence(F.lit(0), F.lit(FOLDS)), lambda k: k != F.col("fold"))
+    return counted.select(F.explode(fits).alias("fit"), "label", "word", "n").groupBy("fit", "label", "word").agg(F.sum("n").alias("n"))
+
+
+def _fitted(counted: DataFrame) -> DataFrame:
+    """(fit, piece, ratio): the ratios of each fit, those of unseen continuations under a context's ORDER - 1 characters. A
+    task makes one fit, which the sample bounds."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        by_class = tuple(Counter(dict(zip(some["word"], some["n"], strict=True))) for some in (pdf[pdf["label"] == c] for c in (0, 1)))
+        number = pdf["fit"].iloc[0]
+        if not all(by_class):
+            return pd.DataFrame({"fit": [], "piece": [], "ratio": []})
+        ratios = Ratios(by_class)
+        return pd.DataFrame({"fit": number, "piece": [*ratios.seen, *ratios.unseen], "ratio": [*ratios.seen.values(), *ratios.unseen.values()]})
+
+    return counted.groupBy("fit").applyInPandas(fit, "fit int, piece string, ratio double")
+
+
+def _split(pieces: list[str], ratios: list[float]) -> tuple[dict[str, float], dict[str, float]]:
+    both = list(zip(pieces, ratios, strict=True))
+    return {p: r for p, r in both if len(p) == ORDER}, {p: r for p, r in both if len(p) < ORDER}
+
+
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Fits both models, and the weights of the features on texts that the ratios they are fitted on have not seen.
 
     Rows without a label or a text are left out. Takes at most SAMPLE_ROWS rows; with none, or none of a class, the score is
-    the share of class 1 for all texts (a half with no rows).
+    the share of class 1 for all texts (a half with no rows). Executors count, fit and take the features; the driver gets a
+    few numbers for each row of the sample, and the ratios, which it sends on.
     """
     labelled = labelled.where(F.col(label_col).isNotNull())
     # By their number, which needs no texts, rows are thinned to some more than the sample before any of them is sorted.
     share = min(1.0, 1.2 * SAMPLE_ROWS / max(labelled.count(), 1))
     thin = labelled.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 32)) < int(share * (1 << 32)))
-    rows = thin.where(F.octet_length(text_col) <= SAMPLE_BYTES).select(F.xxhash64(id_col).alias("by"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
-    found = rows.orderBy("by", "text", "label").limit(SAMPLE_ROWS).collect()
-    labels = np.array([r["label"] for r in found], int)
-    if not 0 < labels.sum() < len(labels):
-        share = (labels.sum() + 0.5) / (len(labels) + 1)
+    rows = thin.where(F.octet_length(text_col) <= SAMPLE_BYTES).select(F.xxhash64(id_col).alias("by"), F.col(text_col).alias("text"), (F.col(label_col).cast("int") > 0).cast("int").alias("label"))
+    fold = F.pmod(F.xxhash64("by", "text"), F.lit(FOLDS)).cast("int").alias("fold")
+    sample = shared.written(rows.orderBy("by", "text", "label").limit(SAMPLE_ROWS).select("text", "label", fold), "sample")
+    n, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if not 0 < toxic < n:
+        share = (toxic + 0.5) / (n + 1)
         return ToxicityModel({}, {}, [0.0] * FEATURES + [math.log(share / (1 - share))])
-    counted = [[(Counter(), Counter()) for _ in range(FOLDS)], (Counter(), Counter())]
-    for i, r in enumerate(found):
-        some = words(r["text"])
-        counted[0][i % FOLDS][r["label"]].update(some)
-        counted[1][r["label"]].update(some)
-    x = np.zeros((len(found), FEATURES))
-    for fold in range(FOLDS):
-        rest = tuple(sum((counted[0][k][c] for k in range(FOLDS) if k != fold), Counter()) for c in range(2))
-        if all(rest):
-            ratios = Ratios(rest)
-            x[fold::FOLDS] = features([r["text"] for r in found[fold::FOLDS]], ratios.seen, ratios.unseen)
-    ratios = Ratios(counted[1])
-    return ToxicityModel(ratios.seen, ratios.unseen, logistic(x, labels).tolist())
+    fitted = shared.written(_fitted(_counted(sample)), "ratios")
+
+    def judged(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        x = features(left["text"].tolist(), *_split(right["piece"].tolist(), right["ratio"].tolist()))
+        return pd.DataFrame({"label": left["label"], "x": list(x)})
+
+    # Each text meets the fit that left its fold out.
+    sides = sample.groupBy("fold").cogroup(fitted.where(F.col("fit") < FOLDS).withColumnRenamed("fit", "fold").groupBy("fold"))
+    found = sides.applyInPandas(judged, "label int, x array<double>").toArrow()
+    x = np.array(found.column("x").to_pylist(), float).reshape(-1, FEATURES)
+    weights = logistic(x, found.column("label").to_numpy()).tolist()
+    whole = fitted.where(F.col("fit") == FOLDS).select("piece", "ratio").toArrow()
+    return ToxicityModel(*_split(whole.column("piece").to_pylist(), whole.column("ratio").to_pylist()), weights)
 
 
 def toxicity(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
