@@ -149,8 +149,9 @@ def near_links(fps: DataFrame, radius: int = 4, tile: int = TILE, together: int
     keyed = fps.select("fp", F.posexplode(masks).alias("block", "mask")).select("fp", F.bit_count("fp").alias("ones"), F.xxhash64("block", F.col("fp").bitwiseAND(F.col("mask"))).alias("value"))
     sizes = keyed.groupBy("value", "ones").count()
     hot = sizes.groupBy("value").agg(F.sum("count").alias("n"), F.map_from_entries(F.collect_list(F.struct("ones", F.ceil(F.col("count") / tile).cast("int").alias("salts")))).alias("salts"))
-    # Values that one fingerprint has alone make no pair and go no further.
-    dealt = keyed.join(hot.where("n > 1").select("value", F.when(F.col("n") > tile, F.col("salts")).alias("salts")), "value")
+    # Values that one fingerprint has alone make no pair and go no further. Never a broadcast: a table's size says nothing of
+    # what its rows are laid out to.
+    dealt = keyed.join(hot.where("n > 1").select("value", F.when(F.col("n") > tile, F.col("salts")).alias("salts")).hint("merge"), "value")
     salt = F.pmod(F.xxhash64("fp"), F.col("salts")[F.col("ones")]).cast("int")
     mine = F.struct(F.col("ones").alias("o"), salt.alias("s"))
     near = F.filter(F.map_entries("salts"), lambda e: F.abs(e["key"] - F.col("ones")) <= radius)
