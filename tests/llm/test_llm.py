@@ -170,12 +170,111 @@ def test_forced_cuts_fall_between_characters(spark):
 # 3
 
 
-def test_licence_rules(spark):
-    mit = [s for i, s in licenses.SENTENCES if i in ("MitGrant", "AsIsSoftware", "MitLiable")]
-    wrapped = "Copyright (c) 2020 Someone\n\n" + "\n".join(mit).replace(" software ", "\nsoftware ")
-    rows = [(1, "Text.\nReleased under the MIT License.\nMore text."), (2, wrapped), (3, "Licensed under CC BY-NC 4.0. All rights reserved."), (4, None), (5, mit[1])]
-    got = by_id(licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")), "licenses", "n_unmatched")
-    assert got == {1: (["MIT"], 0), 2: (["MIT"], 0), 3: (["CC-BY-NC-4.0"], 1), 4: ([], 0), 5: ([], 1)}
+AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+{0}1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+{1}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+NAME = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+"""
+ISC = """Copyright 2019 Someone
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
+OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE.
+"""
+APACHE = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+GNU = """This {1} is free software{2} you can redistribute it and/or
+modify it under the terms of the GNU {0}General Public
+License as published by the Free Software Foundation; either
+version {3} of the License, or (at your option) any later version.
+
+This {1} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {0}General Public License for more details.
+"""
+
+
+def test_licence_texts_as_they_are(spark):
+    commented = lambda t, mark: "\n".join((mark + line).rstrip() for line in t.splitlines())
+    cases = [
+        (MIT + AS_IS, ["MIT"], 0), (commented(MIT + AS_IS, "// "), ["MIT"], 0), (commented(MIT + AS_IS, " * "), ["MIT"], 0),
+        (BSD.format("\n", NAME), ["BSD-3-Clause"], 0), (BSD.format("", ""), ["BSD-2-Clause"], 0), (BSD.format("", NAME), ["BSD-3-Clause"], 0), (BSD.format("", NAME).replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* "), ["BSD-3-Clause"], 0),
+        (ISC, ["ISC"], 0), (APACHE, ["Apache-2.0"], 0), (commented(APACHE, "# "), ["Apache-2.0"], 0), (MPL, ["MPL-2.0"], 0), (commented(MPL, " * "), ["MPL-2.0"], 0),
+        (GNU.format("Lesser ", "library", ";", "2.1"), ["LGPL-2.1-or-later"], 0), (GNU.format("Affero ", "program", ":", "3"), ["AGPL-3.0-or-later"], 0), (GNU.format("", "program", ":", "3"), ["GPL-3.0-or-later"], 0), (GNU.format("", "program", ";", "2"), ["GPL-2.0-or-later"], 0),
+        ("// SPDX-License-Identifier: MPL-2.0\ncode", ["MPL-2.0"], 0), ("SPDX-License-Identifier: nothing", [], 0), ("Text.\nReleased under the MIT License.\nMore text.", ["MIT"], 0), ("Licensed under CC BY-NC 4.0. All rights reserved.", ["CC-BY-NC-4.0"], 1),
+        ("Copyright law has changed. Copyright holders know.", [], 0), (AS_IS, [], 2), (MIT + "\n" + APACHE, ["Apache-2.0"], 2), (None, [], 0), ("", [], 0), ("word " * 200_000 + MIT.replace("MIT License", "") + AS_IS, ["MIT"], 0),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(cases)], "doc_id long, text string")
+    got = by_id(licenses.license_scan(df), "licenses", "n_unmatched", "sentence_ids")
+    for i, (_, names, rest) in enumerate(cases):
+        assert got[i][:2] == (names, rest), (i, got[i])
+    assert "Copyright" in got[0][2] and "Copyright" in got[7][2] and not got[20][2]
 
 
 # 4

@@ -48,13 +48,14 @@ def op2_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql_licenses() -> str:
     text = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    flowing = rf"regexp_replace({text}, '([^.!?\n\x20\x09\x0D])[\x20\x09\x0D]*\n[\x20\x09\x0D]*([^\n\x20\x09\x0D])', '\1 \2', 'g')"
+    bare = f"regexp_replace({text}, '{licenses.LEADERS}', '\\1', 'g')"
+    flowing = rf"regexp_replace({bare}, '([^.!?\n\x20\x09\x0D])[\x20\x09\x0D]*\n[\x20\x09\x0D]*([^\n\x20\x09\x0D])', '\1 \2', 'g')"
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     ids = "MAP {" + ", ".join(f"{quote(k)}: {quote(v)}" for k, v in licenses.known_sentences().items()) + "}"
 
     def known(source: str) -> str:
         marked = f"regexp_replace(regexp_replace({source}, '{licenses.END}', '\\1' || chr(10), 'g'), '{licenses.OTHER}', ' ', 'g')"
-        mapped = f"list_transform(string_split({marked}, chr(10)), lambda s: coalesce(({ids})[trim(s)], CASE WHEN starts_with(trim(s), '{licenses.COPYRIGHT}') THEN 'Copyright' END))"
+        mapped = f"list_transform(string_split({marked}, chr(10)), lambda s: coalesce(({ids})[trim(s)], CASE WHEN regexp_matches(trim(s), '{licenses.COPYRIGHT}') THEN 'Copyright' END))"
         return f"list_filter({mapped}, lambda s: s IS NOT NULL)"
 
     steps, before = [], "start"
