@@ -28,11 +28,13 @@ END = b"\n"
 BASE, HASHES, BITS_PER_INSERT = 1.5, 6, 14
 #: What a context's count is held against when the estimates of an n-gram and of the shorter one are mixed. For each training
 #: text the one counts that makes it likeliest, each token left out in its turn; the middle of these is taken.
-STRENGTHS = (1.0, 5.0, 25.0, 125.0, 625.0, 3125.0)
+STRENGTHS = (25.0, 125.0, 625.0, 3125.0)
 #: Keys that a shard gets on average at most, and bytes of text in a piece, unless a single text is longer. Of an n-gram's key
 #: 32 bits are sent beside the shard's number: of a shard's 2^20 keys one in 4,096 meets another by chance. Keys of words are
 #: sent whole.
-SHARD_KEYS, PIECE = 1 << 20, 4 << 20
+SHARD_KEYS, PIECE = 1 << 20, 2 << 20
+#: Keys of a shard, in their order, that have a segment of the filter to themselves: one that stays in a processor's cache.
+SEGMENT_KEYS = 1 << 15
 
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -250,6 +252,12 @@ def _word_counts(pieces: DataFrame, bits: int) -> DataFrame:
     return shared.written(_by_shard(sent, 1 << bits).mapInArrow(lambda found: _fold(found, fold), "piece long, shard int, counts binary, n long, v long, n1 long, n2 long"), "words")
 
 
+def _probed(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The levels that a segment of the filter, made of the keys that are counted, gives for all of ``keys``."""
+    keys, seen = _mix(keys.astype(np.uint64)), counts > 0
+    return LogBloom.of(keys[seen], level_of(counts[seen])).levels(keys).astype(np.uint8)
+
+
 def _levels(pieces: DataFrame, order: int, bits: int) -> DataFrame:
     """(piece, shard, levels): each shard adds up the n-grams of training pieces, makes its segment of the filter and probes
     it for the n-grams of all pieces, a byte for each."""
@@ -269,8 +277,7 @@ def _levels(pieces: DataFrame, order: int, bits: int) -> DataFrame:
         found = [unpacked(r[1], "<u4", rising=True) for r in rows]
         keys, inverse = np.unique(np.concatenate(found), return_inverse=True)
         counts = np.bincount(inverse, np.concatenate([unpacked(r[2], "<u4") for r in rows]), len(keys))
-        keys, seen = _mix(keys.astype(np.uint64)), counts > 0
-        level = LogBloom.of(keys[seen], level_of(counts[seen])).levels(keys).astype(np.uint8)[inverse]
+        level = np.concatenate([_probed(keys[a : a + SEGMENT_KEYS], counts[a : a + SEGMENT_KEYS]) for a in range(0, len(keys), SEGMENT_KEYS)])[inverse]
         ends = np.cumsum([0, *map(len, found)]).tolist()
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([shard] * len(rows), pa.int32()), pa.array([_pressed(level[a:b].tobytes()) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], names=["piece", "shard", "levels"])
 
