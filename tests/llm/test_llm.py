@@ -70,6 +70,15 @@ def test_bpe_round_trip_and_offsets(odd):
             assert strings[i] in piece and len(r["text"][a + 1 : b - 1].encode()) <= len(strings[i])
 
 
+def test_decoding_odd_lists(spark):
+    df = spark.createDataFrame([(1, None), (2, []), (3, [0, 1])], "doc_id long, ids array<int>").withColumn("decoded", F.lit("clash"))
+    got = {r["doc_id"]: r["decoded"] for r in bpe.decode(df.drop("decoded"), PATH).collect()}
+    strings = {i: t for t, i in bpe.read_ranks(PATH).items()}
+    assert bytes(got[3]) == strings[0] + strings[1] and not got[2] and not got[1]
+    with pytest.raises(Exception, match="Error"):
+        bpe.decode(spark.createDataFrame([(1, [10_000_000])], "doc_id long, ids array<int>"), PATH).collect()
+
+
 def test_bpe_equals_tiktoken_on_random_bytes():
     rnd, enc = random.Random(7), tik()
     coder, keys = bpe.BytePairs(bpe.tokenizer_json(PATH), PATTERN), list(bpe.read_ranks(PATH))
@@ -106,6 +115,22 @@ def test_token_files_are_read_in_blocks(spark, tmp_path):
     assert sorted((r["ordinal"], r["start"], r["n_tokens"], r["closed"]) for r in got.collect()) == [(0, 0, 2, True), (1, 3, 1, True), (2, 5, 0, True), (3, 6, 1, False)]
 
 
+def test_packing_odd_rows(spark):
+    rows = [(1, [1, 2]), (1, [3]), (None, [4, 5, 6]), (2, None), (3, []), (4, list(range(10, 3000)))]
+    df = spark.createDataFrame(rows, "doc_id long, ids array<int>").withColumns({"file": F.lit(1), "block": F.lit("x")}).repartition(2)
+    for width in (2, 4):
+        blocks, order = separators.pack(df, 9, width, block_tokens=64)
+        got = separators.document_counts(blocks, 9, width).join(order, ["file", "ordinal"])
+        assert sorted((r["doc_id"] or -1, r["n_tokens"]) for r in got.collect()) == sorted((i or -1, len(x or [])) for i, x in rows)
+    blocks, order = separators.pack(df.limit(0), 9)
+    assert separators.document_counts(blocks, 9).count() == 0 and order.count() == 0
+    for wrong, separator in ([9], 9), ([65536], 9), ([-1], 9):
+        with pytest.raises(Exception, match="ids must be"):
+            separators.pack(spark.createDataFrame([(1, wrong)], "doc_id long, ids array<int>"), separator)
+    with pytest.raises(ValueError):
+        separators.pack(df, 65536)
+
+
 def test_counts_of_packed_documents(spark, docs):
     enc = tik()
     got = by_id(llm_queries.op1_separator_scan(spark, SF), "n_tokens")

@@ -35,9 +35,11 @@ def _multi_bpe() -> tuple[str, str]:
 
 @_query
 def op1_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    separator = 50_256  # the first id that the ranks leave free
-    blocks, order = separators.pack(bpe.encode(_table(spark, sf_dir, "documents"), *_multi_bpe()), separator)
-    return separators.document_counts(blocks, separator).join(order, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
+    path, pattern = _multi_bpe()
+    separator = max(bpe.read_ranks(path).values()) + 1  # the first id that the ranks leave free
+    width = 2 if separator < 1 << 16 else 4
+    blocks, order = separators.pack(bpe.encode(_table(spark, sf_dir, "documents"), path, pattern), separator, width)
+    return separators.document_counts(blocks, separator, width).join(order, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
 
 
 @_query

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +30,11 @@ def read_token_files(spark: SparkSession, path: str, token_bytes: int = 2, block
 def pack(encoded: DataFrame, separator: int, token_bytes: int = 2, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
     """Flat token files, one for each partition of ``encoded`` (doc_id, ids): the ids of its documents in a row, each closed
     by the separator, cut into blocks without regard to documents. Returns (file, block, data) and, for those who need to
-    know which document is which, (file, ordinal, doc_id). Written once to the shared folder."""
+    know which document is which, (file, ordinal, doc_id). Written once to the shared folder. Null ids count as none; repeated
+    and null doc_ids are documents of their own. An id that ``token_bytes`` don't hold, or that is the separator, raises."""
     kind = np.dtype(f"<u{token_bytes}")
+    if not 0 <= separator < 1 << 8 * token_bytes:
+        raise ValueError(f"separator {separator} does not fit in {token_bytes} bytes")
     names = ["file", "block", "data", "doc_ids"]
     types = [pa.string(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
 
@@ -41,8 +45,11 @@ def pack(encoded: DataFrame, separator: int, token_bytes: int = 2, block_tokens:
         file, block, order, rest = f"part-{TaskContext.get().partitionId():06d}", 0, 0, np.zeros(0, kind)
         for batch in found:
             ids = batch.column("ids")
-            lengths = np.diff(ids.offsets.to_numpy())
-            flat = np.insert(ids.flatten().to_numpy(zero_copy_only=False), np.cumsum(lengths), separator).astype(kind)
+            lengths = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+            flat = ids.flatten().to_numpy(zero_copy_only=False)
+            if len(flat) and (flat.min() < 0 or flat.max() >= 1 << 8 * token_bytes or (flat == separator).any()):
+                raise ValueError(f"ids must be from 0 to {(1 << 8 * token_bytes) - 1} and other than the separator {separator}")
+            flat = np.insert(flat.astype(kind), np.cumsum(lengths), separator)
             rest = np.concatenate((rest, flat))
             for at in range(0, len(rest) - block_tokens + 1, block_tokens):
                 yield row(file, block, rest[at : at + block_tokens].tobytes(), None)
