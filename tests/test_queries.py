@@ -49,5 +49,5 @@ def test_merge_of_all_rows_reaches_past_the_first_orders(spark, tmp_path):
     at = [*range(0, 100, 10), *range(12000, 12100, 10)]
     spark.createDataFrame([(i, 3, "click", float(i)) for i in at], "event_id long, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
     spark.createDataFrame([(3 * (i // 3), 2, 7.0) for i in at], "l_orderkey long, l_linenumber int, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
-    rows = registry.queries()["topobathy_merge_all"](spark, str(tmp_path)).collect()
+    rows = registry.queries()["topobathy_merge"](spark, str(tmp_path)).collect()
     assert {r["key_id"]: r["als_h_te_median"] for r in rows} == {0: 7.0, 1: 7.0, 240: 7.0, 241: 7.0}

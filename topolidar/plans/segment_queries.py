@@ -249,7 +249,7 @@ def sub_segment_offset(spark, sf_dir):
 _MERGE = """WITH p AS (SELECT user_id % 3 AS granule, event_id AS pos, value AS h, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'signup' THEN 3 WHEN 'purchase' THEN 40 ELSE 0 END AS c FROM events),
 k AS (SELECT *, CAST(floor((pos - min(pos) OVER (PARTITION BY granule)) / 50) AS BIGINT) AS key_id, min(pos) OVER (PARTITION BY granule) AS p0 FROM p),
 a AS (SELECT granule, key_id, key_id * 50 + min(p0) + 25.0::DOUBLE AS x, median(h) FILTER (WHERE c = 1) AS te, quantile_cont(h - 10, 0.98) FILTER (WHERE c IN (2, 3)) AS ca, count(*) FILTER (WHERE c = 1) AS n FROM k GROUP BY granule, key_id),
-l AS (SELECT l_orderkey % 3 AS granule, l_orderkey AS pos, l_quantity AS h, l_linenumber AS c FROM lineitem WHERE l_orderkey < 9000),
+l AS (SELECT l_orderkey % 3 AS granule, l_orderkey AS pos, l_quantity AS h, l_linenumber AS c FROM lineitem),
 m AS (SELECT *, CAST(floor((pos - min(pos) OVER (PARTITION BY granule)) / 50) AS BIGINT) AS key_id FROM l),
 b AS (SELECT granule, key_id, median(h) FILTER (WHERE c = 2) AS als, count(*) FILTER (WHERE c IN (3, 4, 5)) AS nc FROM m GROUP BY granule, key_id)
 SELECT granule, key_id, round(x, 6) + 0.0 AS alongtrack_x, round(te, 6) + 0.0 AS h_te_median, round(ca, 6) + 0.0 AS h_canopy, coalesce(nullif(n, 0), -1) AS n_terrain,
@@ -269,9 +269,4 @@ def _merge(spark, sf_dir, lineitem):
 
 @query("topobathy_merge", _MERGE)
 def topobathy_merge(spark, sf_dir):
-    return _merge(spark, sf_dir, table(spark, sf_dir, "lineitem").where("l_orderkey < 9000"))
-
-
-@query("topobathy_merge_all", _MERGE.replace(" WHERE l_orderkey < 9000", ""))
-def topobathy_merge_all(spark, sf_dir):
     return _merge(spark, sf_dir, table(spark, sf_dir, "lineitem"))

@@ -9,13 +9,14 @@ from topolidar.operators import edges, labels, offset, spatial
 from topolidar.plans.inputs import C_SQL, E_SQL, V_SQL, events, places, points, r, table
 from topolidar.plans.registry import query
 
-_SEG = "s AS (SELECT o_orderkey, o_orderkey * 4 - 3 AS beg, o_orderkey % 4 AS cnt, o_custkey AS v FROM orders WHERE o_orderkey % 7 <> 0)"
+#: Every seventh segment is empty: it begins at 0.
+_SEG = "s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE o_orderkey * 4 - 3 END AS beg, o_orderkey % 4 AS cnt, o_custkey AS v FROM orders)"
 _PH = "p AS (SELECT event_id AS ph_index FROM events)"
 
 
 def _order_segments(spark, sf_dir):
     k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").where(k % 7 != 0).select(k.alias("segment_id"), (k * 4 - 3).alias("ph_index_beg"), (k % 4).alias("ph_count"), F.col("o_custkey").alias("v"))
+    return table(spark, sf_dir, "orders").select(k.alias("segment_id"), F.when(k % 7 == 0, 0).otherwise(k * 4 - 3).alias("ph_index_beg"), (k % 4).alias("ph_count"), F.col("o_custkey").alias("v"))
 
 
 def _event_photons(spark, sf_dir):
@@ -27,12 +28,12 @@ def segment_to_photon(spark, sf_dir):
     return labels.segment_to_photon(_event_photons(spark, sf_dir), _order_segments(spark, sf_dir), ["v"])
 
 
-_SIGNAL = "g AS (SELECT l_orderkey AS seg, l_linenumber AS i, CAST(l_linenumber % 4 AS INTEGER) AS cls, l_quantity AS h FROM lineitem WHERE l_linenumber <= 4), x AS (SELECT beg + i - 2 AS ph_index, max(struct_pack(o := h, c := cls)) AS m FROM g JOIN s ON seg = o_orderkey WHERE beg <> 0 GROUP BY 1)"
+_SIGNAL = "g AS (SELECT l_orderkey AS seg, 1 + l_linenumber % 4 AS i, CAST(l_linenumber % 4 AS INTEGER) AS cls, l_quantity AS h FROM lineitem), x AS (SELECT beg + i - 2 AS ph_index, max(struct_pack(o := h, c := cls)) AS m FROM g JOIN s ON seg = o_orderkey WHERE beg <> 0 GROUP BY 1)"
 
 
 def _signal(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 4")
-    signal = rows.select(F.col("l_orderkey").alias("ph_segment_id"), F.col("l_linenumber").alias("classed_pc_indx"), F.pmod("l_linenumber", F.lit(4)).cast("int").alias("cls"), F.col("l_quantity").alias("h"))
+    rows = table(spark, sf_dir, "lineitem")
+    signal = rows.select(F.col("l_orderkey").alias("ph_segment_id"), (1 + F.col("l_linenumber") % 4).alias("classed_pc_indx"), F.pmod("l_linenumber", F.lit(4)).cast("int").alias("cls"), F.col("l_quantity").alias("h"))
     return labels.label_index(signal, _order_segments(spark, sf_dir))
 
 
@@ -60,33 +61,33 @@ def ismember_rows(spark, sf_dir):
     return labels.is_member(rows, reference, ["a", "b"], "l_orderkey").select("s_suppkey", F.coalesce("first_index", F.lit(-1)).alias("first_index"))
 
 
-_NAME = "printf('%s_2020%04d010203_%08d_006_01.h5', '{0}', o_orderkey % 1231, o_orderkey)"
-_NAMES_SQL = f"a AS (SELECT {_NAME.format('ATL03')} AS name FROM orders WHERE o_orderkey % 3 = 0), b AS (SELECT {_NAME.format('ATL08')} AS path FROM orders WHERE o_orderkey % 2 = 0)"
+#: Granules of all orders; the files of the other product are of another day for every other one.
+_NAME = "printf('%s_2020%04d010203_%08d_006_01.h5', '{0}', (o_orderkey + {1}) % 1231, o_orderkey)"
+_NAMES_SQL = f"a AS (SELECT {_NAME.format('ATL03', '0')} AS name FROM orders), b AS (SELECT {_NAME.format('ATL08', 'o_orderkey % 2')} AS path FROM orders)"
 
 
-def _names(spark, sf_dir, product, every, out):
+def _names(spark, sf_dir, product, moved, out):
     k = F.col("o_orderkey")
-    name = F.format_string(f"{product}_2020%04d010203_%08d_006_01.h5", k % 1231, k)
-    return table(spark, sf_dir, "orders").where(k % every == 0).select(name.alias(out))
+    return table(spark, sf_dir, "orders").select(F.format_string(f"{product}_2020%04d010203_%08d_006_01.h5", (k + (k % 2 if moved else 0)) % 1231, k).alias(out))
 
 
 @query("granule_pairing", f"WITH {_NAMES_SQL} SELECT name, path FROM a JOIN b ON substr(name, 6) = substr(path, 6)")
 def granule_pairing(spark, sf_dir):
     from topolidar.sources.granules import pair_granules
 
-    return pair_granules(_names(spark, sf_dir, "ATL03", 3, "name"), _names(spark, sf_dir, "ATL08", 2, "path")).where("path is not null").select("name", "path")
+    return pair_granules(_names(spark, sf_dir, "ATL03", False, "name"), _names(spark, sf_dir, "ATL08", True, "path")).where("path is not null").select("name", "path")
 
 
 @query("missing_pairs_anti", f"WITH {_NAMES_SQL} SELECT name FROM a WHERE substr(name, 6) NOT IN (SELECT substr(path, 6) FROM b)")
 def missing_pairs_anti(spark, sf_dir):
     from topolidar.sources.granules import unpaired
 
-    return unpaired(_names(spark, sf_dir, "ATL03", 3, "name"), _names(spark, sf_dir, "ATL08", 2, "path"))
+    return unpaired(_names(spark, sf_dir, "ATL03", False, "name"), _names(spark, sf_dir, "ATL08", True, "path"))
 
 
 @query("meta_parse", f"WITH {_NAMES_SQL} SELECT name, substr(name, 1, 5) AS product, substr(name, 7, 8) AS date, substr(name, 15, 6) AS time, substr(name, 22, 4) AS track, substr(name, 26, 4) AS cycle, substr(name, 31, 3) AS release, substr(name, 35, 2) AS version, 'final' AS kind FROM a")
 def meta_parse(spark, sf_dir):
-    names = _names(spark, sf_dir, "ATL03", 3, "name")
+    names = _names(spark, sf_dir, "ATL03", False, "name")
     return names.select("name", *(c.alias(k) for k, c in meta.granule_fields(F.col("name")).items()))
 
 
@@ -102,9 +103,27 @@ def haversine(spark, sf_dir):
     return places(spark, sf_dir).select("custkey", r(geo.haversine(F.col("lat"), F.col("lon"), F.lit(10.0), F.lit(20.0)), 3).alias("metres"))
 
 
-@query("vincenty")
+def _vincenty_sql() -> str:
+    """The iteration as a recursive query: rounds until the step in longitude is under the tolerance."""
+    f, a = repr(geo.FLATTENING), repr(geo.A)
+    b = repr((1 - geo.FLATTENING) * geo.A)
+    return f"""WITH RECURSIVE {C_SQL},
+    p AS (SELECT custkey, atan((1 - {f}) * tan(radians(lat))) AS u1, atan((1 - {f}) * tan(radians(10.0::DOUBLE))) AS u2, radians(20.0::DOUBLE) - radians(lon) AS apart, lat = 10 AND lon = 20 AS here FROM c),
+    it AS (SELECT custkey, u1, u2, apart, here, apart AS lam, 1.0::DOUBLE AS step, 0 AS n FROM p UNION ALL
+      SELECT custkey, u1, u2, apart, here, fresh, abs(fresh - lam), n + 1 FROM (SELECT *, apart + (1 - cc) * {f} * sa * (sigma + cc * ss * (mid + cc * cs * (2 * mid * mid - 1))) AS fresh FROM
+        (SELECT *, {f} / 16 * (1 - sa * sa) * (4 + {f} * (4 - 3 * (1 - sa * sa))) AS cc, CASE WHEN 1 - sa * sa = 0 THEN 0 ELSE cs - 2 * sin(u1) * sin(u2) / (1 - sa * sa) END AS mid FROM
+          (SELECT *, atan2(ss, cs) AS sigma, CASE WHEN ss = 0 THEN 0 ELSE cos(u1) * cos(u2) * sin(lam) / ss END AS sa FROM
+            (SELECT *, sqrt(pow(cos(u2) * sin(lam), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam), 2)) AS ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) AS cs FROM it WHERE step >= 1e-12 AND n < 200))))),
+    e AS (SELECT *, sqrt(pow(cos(u2) * sin(lam), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam), 2)) AS ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) AS cs FROM it QUALIFY row_number() OVER (PARTITION BY custkey ORDER BY n DESC) = 1),
+    g AS (SELECT *, atan2(ss, cs) AS sigma, CASE WHEN ss = 0 THEN 0 ELSE cos(u1) * cos(u2) * sin(lam) / ss END AS sa FROM e),
+    h AS (SELECT *, CASE WHEN 1 - sa * sa = 0 THEN 0 ELSE cs - 2 * sin(u1) * sin(u2) / (1 - sa * sa) END AS mid, (1 - sa * sa) * (pow({a}::DOUBLE, 2) - pow({b}::DOUBLE, 2)) / pow({b}::DOUBLE, 2) AS u FROM g),
+    k AS (SELECT *, 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u))) AS big, u / 1024 * (256 + u * (-128 + u * (74 - 47 * u))) AS small FROM h)
+    SELECT custkey, CASE WHEN here THEN 0 WHEN step < 1e-12 THEN round({b}::DOUBLE * big * (sigma - small * ss * (mid + small / 4 * (cs * (2 * mid * mid - 1) - small / 6 * mid * (4 * ss * ss - 3) * (4 * mid * mid - 3)))), 3) + 0.0 END AS metres FROM k"""
+
+
+@query("vincenty", _vincenty_sql())
 def vincenty(spark, sf_dir):
-    return places(spark, sf_dir).select("custkey", r(geo.vincenty(F.col("lat"), F.col("lon"), F.lit(10.0), F.lit(20.0)), 3).alias("metres"))
+    return places(spark, sf_dir).select("custkey", F.nanvl(r(geo.vincenty(F.col("lat"), F.col("lon"), F.lit(10.0), F.lit(20.0)), 3), F.lit(None).cast("double")).alias("metres"))
 
 
 _ZONE = "CASE WHEN lat >= 56 AND lat < 64 AND lon >= 3 AND lon < 12 THEN 32 ELSE CAST(floor((lon + 180) / 6) AS INTEGER) + 1 END"
@@ -342,15 +361,25 @@ def track_coordinates(spark, sf_dir):
     return out.select("vec_id", r("crosstrack").alias("crosstrack"), r("alongtrack").alias("alongtrack"))
 
 
-@query("radius_p98", f"WITH {V_SQL}, t AS (SELECT vec_id AS id, x AS tx, y AS ty FROM v WHERE label = 3), j AS (SELECT id, z, label % 6 AS c FROM t JOIN v ON sqrt(pow(tx - x, 2) + pow(ty - y, 2)) < 6) , a AS (SELECT id, count(*) AS n, quantile_cont(z, 0.98) FILTER (WHERE c IN (0, 1, 3, 4, 5)) - median(z) FILTER (WHERE c = 2) AS h FROM j GROUP BY id) SELECT t.id, coalesce(n, 0) AS n_points, round(CASE WHEN n >= 5 THEN h END, 6) + 0.0 AS als_98 FROM t LEFT JOIN a USING (id)")
+@query("radius_p98", f"WITH {V_SQL}, t AS (SELECT vec_id AS id, x AS tx, y AS ty FROM v WHERE vec_id % 50 = 0), j AS (SELECT id, z, label % 6 AS c FROM t JOIN v ON sqrt(pow(tx - x, 2) + pow(ty - y, 2)) < 6) , a AS (SELECT id, count(*) AS n, quantile_cont(z, 0.98) FILTER (WHERE c IN (0, 1, 3, 4, 5)) - median(z) FILTER (WHERE c = 2) AS h FROM j GROUP BY id) SELECT t.id, coalesce(n, 0) AS n_points, round(CASE WHEN n >= 5 THEN h END, 6) + 0.0 AS als_98 FROM t LEFT JOIN a USING (id)")
 def radius_p98(spark, sf_dir):
     v = points(spark, sf_dir)
-    targets = v.where("label = 3").select(F.col("vec_id").alias("id"), "x", "y")
+    targets = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("id"), "x", "y")
     cloud = v.select(F.col("x").alias("px"), F.col("y").alias("py"), "z", (F.col("label") % 6).alias("classification"))
     return spatial.heights_around(targets, cloud, "id", 6.0).select("id", "n_points", r("als_98").alias("als_98"))
 
 
-@query("clip_buildings")
+def _clip_sql() -> str:
+    away = []
+    for (ax, ay), (bx, by) in zip(_RING, _RING[1:] + _RING[:1], strict=True):
+        dx, dy = bx - ax, by - ay
+        t = f"greatest(0.0, least(1.0, ((x - ({ax})) * ({dx}) + (y - ({ay})) * ({dy})) / {dx * dx + dy * dy}))"
+        away.append(f"sqrt(pow(x - ({ax}) - {t} * ({dx}), 2) + pow(y - ({ay}) - {t} * ({dy}), 2))")
+    inside = _ring_sql()
+    return f"{inside[: inside.index(' SELECT vec_id FROM v WHERE')]} SELECT vec_id, 1 AS building_id FROM v WHERE {inside.split(' FROM v WHERE ')[1]} OR least({', '.join(away)}) < 2"
+
+
+@query("clip_buildings", _clip_sql())
 def clip_buildings(spark, sf_dir):
     ring = spark.range(1).select(F.lit(1).alias("building_id"), _ring().alias("ring"))
     return spatial.clip(points(spark, sf_dir), ring, 2.0, x="x", y="y").select("vec_id", "building_id")
@@ -363,15 +392,29 @@ def building_edges(spark, sf_dir):
     return edges.building_edges(v, centre).select("building_id", F.to_json("entry").alias("entry"), F.to_json("exit").alias("exit"))
 
 
-@query("tile_catalogue", f"WITH {_TILES} SELECT file_name, round(x_min * 100 + 500000, 3) + 0.0 AS x_min, CAST(lon_max > lon_min AND lat_max > lat_min AND abs(lat_max - lat_min - 0.009::DOUBLE) < 0.0005 AS BOOLEAN) AS sound FROM (SELECT *, 1.0 AS lon_max, 0.0 AS lon_min, 0.009::DOUBLE AS lat_max, 0.0::DOUBLE AS lat_min FROM tiles)")
+def _unproject_sql(x: str, y: str) -> tuple[str, str, str]:
+    """CTEs from ``corner`` to ``geo`` (its columns, lat and lon): the inverse of the projection's series in zone 10."""
+    radius, _, beta = geo._krueger()
+    e, scale = repr((geo.FLATTENING * (2 - geo.FLATTENING)) ** 0.5), repr(0.9996 * radius)
+    xs = " + ".join(f"{v!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, v in enumerate(beta, 1))
+    ys = " + ".join(f"{v!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, v in enumerate(beta, 1))
+    rounds = ", ".join(f"f{i} AS (SELECT * REPLACE (atan(sinh(q + {e} * atanh({e} * sin(f)))) AS f) FROM f{i - 1})" for i in range(1, 5))
+    return f"""xe AS (SELECT *, {y} / {scale}::DOUBLE AS xi, ({x} - 500000) / {scale}::DOUBLE AS eta FROM corner),
+    x1 AS (SELECT *, xi - ({xs}) AS xi1, eta - ({ys}) AS eta1 FROM xe),
+    f0 AS (SELECT *, asinh(sin(xi1) / sqrt(pow(sinh(eta1), 2) + pow(cos(xi1), 2))) AS q, atan(sin(xi1) / sqrt(pow(sinh(eta1), 2) + pow(cos(xi1), 2))) AS f FROM x1), {rounds},
+    geo AS (SELECT *, degrees(f) AS lat, degrees(atan2(sinh(eta1), cos(xi1))) - 123 AS lon FROM f4)"""
+
+
+_CORNERS = "corner AS (SELECT file_name, x_min * 100 + 500000 AS x0, CASE WHEN i IN (1, 2) THEN x_max ELSE x_min END * 100 + 500000 AS cx, CASE WHEN i IN (2, 3) THEN y_max ELSE y_min END * 100 + 4000000 AS cy FROM tiles, range(0, 4) t(i))"
+
+
+@query("tile_catalogue", f"WITH {_TILES}, {_CORNERS}, {_unproject_sql('cx', 'cy')} SELECT file_name, round(min(x0), 3) + 0.0 AS x_min, round(min(lon), 8) + 0.0 AS lon_min, round(max(lon), 8) + 0.0 AS lon_max, round(min(lat), 8) + 0.0 AS lat_min, round(max(lat), 8) + 0.0 AS lat_max FROM geo GROUP BY file_name")
 def tile_catalogue(spark, sf_dir):
     from topolidar.plans import pipelines
 
     at = lambda c, base: (F.col(c) * 100 + base).alias(c)
     heads = _tiles(spark).select("file_name", at("x_min", 500_000), at("x_max", 500_000), at("y_min", 4_000_000), at("y_max", 4_000_000), F.lit(10).alias("zone"), F.lit("EPSG:32610").alias("crs"), F.lit(None).cast("string").alias("error"))
-    out = pipelines.tile_catalogue(heads)
-    sound = (F.col("lon_max") > F.col("lon_min")) & (F.col("lat_max") > F.col("lat_min")) & (F.abs(F.col("lat_max") - F.col("lat_min") - 0.009) < 0.0005)
-    return out.select("file_name", r("x_min", 3).alias("x_min"), sound.alias("sound"))
+    return pipelines.tile_catalogue(heads).select("file_name", r("x_min", 3).alias("x_min"), *(r(c, 8).alias(c) for c in ("lon_min", "lon_max", "lat_min", "lat_max")))
 
 
 def _footprint_inputs(spark, sf_dir):
