@@ -53,6 +53,41 @@ def test_range_sum_like_a_join(spark):
         assert r["total"] == pytest.approx(sum(v for k, v in right if r["lo"] <= k <= r["hi"]))
 
 
+def test_scans_by_ranges_equal_windows(spark):
+    rnd = random.Random(21)
+    left = [(i, g, float(rnd.randint(0, 300)) if rnd.random() > 0.02 else None) for i in range(400) for g in ("a",)] + [(i, "b", float(rnd.randint(0, 30))) for i in range(400, 420)]
+    right = [(g, float(rnd.randint(0, 300)), float(i)) for i, g in enumerate("a" * 90 + "b" * 5)]
+    ldf, rdf = spark.createDataFrame(left, "id int, g string, at double").repartition(5), spark.createDataFrame(right, "g string, at double, v double")
+    for by in ([], ["g"]):
+        make = [
+            lambda wide: ordered.asof_nearest(ldf, rdf, "at", ["v"], by, wide=wide),
+            lambda wide: ordered.sample_line(ldf, rdf.withColumnsRenamed({"at": "lx", "v": "ly"}), "at", "lx", "ly", by, wide=wide),
+            lambda wide: ordered.range_sum(ldf.withColumn("hi", F.col("at") + 20), rdf.withColumnRenamed("at", "k"), "at", "hi", "k", "v", by, wide=wide),
+        ]
+        for f in make:
+            assert rows(f(True).where("at is not null")) == rows(f(False).where("at is not null"))
+
+
+@pytest.mark.parametrize("kind", ordered.KINDS)
+def test_kinds_of_interpolation(spark, kind):
+    line = [(0.0, 1.0), (2.0, 5.0), (4.0, 4.0), (4.0, 6.0), (10.0, -1.0)]
+    asked = [-3.0, 0.0, 0.5, 1.0, 1.5, 2.0, 3.0, 7.0, 9.0, 10.0, 12.0]
+    x, y = np.array([0, 2, 4, 10.0]), np.array([1, 5, 5, -1.0])
+    df, ldf = spark.createDataFrame([(a,) for a in asked], "x double"), spark.createDataFrame(line, "lx double, ly double")
+    got = {r["x"]: r["y"] for r in ordered.sample_line(df, ldf, "x", "lx", "ly", kind=kind, beyond="null").collect()}
+    for a in asked:
+        i, j = np.searchsorted(x, a, "right") - 1, np.searchsorted(x, a)
+        want = None
+        if 0 <= a <= 10:
+            want = {"linear": np.interp(a, x, y), "nearest": y[i] if a - x[i] <= x[j] - a else y[j], "nearest-up": y[j] if x[j] - a <= a - x[i] else y[i], "next": y[j]}.get(kind, y[i])
+        assert got[a] == (None if want is None else pytest.approx(want))
+    held = {r["x"]: r["y"] for r in ordered.sample_line(df, ldf, "x", "lx", "ly", kind=kind).collect()}
+    assert (held[-3.0], held[12.0]) == (1.0, -1.0)
+    if kind == "linear":
+        on = {r["x"]: r["y"] for r in ordered.sample_line(df, ldf, "x", "lx", "ly", beyond="extend").collect()}
+        assert (on[-3.0], on[12.0], on[7.0]) == (pytest.approx(-5.0), pytest.approx(-3.0), pytest.approx(2.0))
+
+
 def test_labels_scatter_and_expand(spark):
     photons = spark.range(8).withColumnRenamed("id", "ph_index")
     seg = spark.createDataFrame([(1, 1, 3, 5.0), (2, 0, 2, 9.0), (3, 4, 0, 9.0), (4, 6, 2, 7.0)], "segment_id long, ph_index_beg long, ph_count int, v double")

@@ -29,6 +29,13 @@ def test_las_headers_and_points(spark, tmp_path):
     assert heads["bad.las"]["error"] and heads["a.las"]["crs"] == "EPSG:32610" and heads["a.las"]["x_max"] == 1024 and str(heads["a.las"]["creation_date"]) == "2021-02-01"
     got = binary.read_las_points(spark, str(tmp_path)).orderBy("pt_index").collect()
     assert [(r["pt_index"], round(r["x"], 2), r["classification"]) for r in got] == [(0, 1000.0, 0), (10, 1010.0, 1), (20, 1020.0, 2)]
+    packed = bytearray(las_file([(1000, 2000, 5.5, 1)]))
+    packed[104] |= 0x80
+    (tmp_path / "packed.las").write_bytes(packed)
+    (tmp_path / "short.las").write_bytes(las_file([(1000, 2000, 5.5, 1)] * 9)[:-5])
+    assert {r["file"].rsplit("/", 1)[1]: r["error"] for r in binary.unreadable_las(spark, str(tmp_path)).collect()} == {"bad.las": "not a LAS file", "packed.las": "packed", "short.las": "cut short"}
+    for name in ("packed.las", "short.las"):
+        (tmp_path / name).unlink()
     zoned = binary.read_las_headers(spark, str(tmp_path)).withColumn("zone", F.lit(10))
     assert pipelines.tile_catalogue(zoned).count() == 1
 

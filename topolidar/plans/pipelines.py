@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from topolidar.functions import geo, geometry, rules
 from topolidar.operators import edges, labels, offset, ordered, reshape, segments, spatial
@@ -80,11 +81,22 @@ def topobathy(photons: DataFrame, swath: DataFrame | None = None, res: float = 2
     return own
 
 
-def land_segments(photons: DataFrame, land: DataFrame, geosegments: DataFrame, by: Sequence[str] = BY, res: float = 30.0) -> DataFrame:
-    """30 m segments of photons with what the nearest land segment says, and photon rates for a shot."""
+def land_alongtrack(land: DataFrame, geosegments: DataFrame | None, by: Sequence[str] = BY, metres=geo.vincenty) -> DataFrame:
+    """``land`` with alongtrack: the start of the first geolocation segment and half the length of all of them; without such
+    segments the running sum of ``metres`` between neighbouring centroids, which falls short of the orbit's path."""
+    if geosegments is None:
+        w = Window.partitionBy(*by).orderBy("segment_id_beg")
+        stepped = land.withColumns({"_lat": F.lag("latitude").over(w), "_lon": F.lag("longitude").over(w)})
+        stepped = stepped.withColumn("_metres", metres(F.col("_lat"), F.col("_lon"), F.col("latitude"), F.col("longitude")))
+        return ordered.running_distance(stepped, F.col("_metres"), "segment_id_beg", by).drop("_lat", "_lon", "_metres")
     lengths = ordered.range_sum(land, geosegments, "segment_id_beg", "segment_id_end", "segment_id", "segment_length", by, out="total")
     starts = geosegments.select(*by, F.col("segment_id").alias("segment_id_beg"), "segment_dist_x")
-    at = lengths.join(starts, [*by, "segment_id_beg"], "left").withColumn("alongtrack", F.col("segment_dist_x") + F.col("total") / 2).drop("segment_dist_x", "total")
+    return lengths.join(starts, [*by, "segment_id_beg"], "left").withColumn("alongtrack", F.col("segment_dist_x") + F.col("total") / 2).drop("segment_dist_x", "total")
+
+
+def land_segments(photons: DataFrame, land: DataFrame, geosegments: DataFrame | None, by: Sequence[str] = BY, res: float = 30.0) -> DataFrame:
+    """30 m segments of photons with what the nearest land segment says, and photon rates for a shot."""
+    at = land_alongtrack(land, geosegments, by)
     Recipe, cls = segments.Recipe, "atl08_class"
     recipes = [Recipe("h_ph", "get_len", cls, 1, "n_te_photons"), Recipe("h_ph", "get_len", cls, 2, "n_ca_photons"), Recipe("h_ph", "get_len", cls, 3, "n_toc_photons"), Recipe("h_ph", "get_len_unique", cls, (0, 1, 2, 3), "n_shots")]
     own = segments.aggregate_by_segment(photons, recipes, res, by)

@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from topolidar.plans import segment_queries, space_queries  # noqa: F401  importing registers
+    from topolidar.plans import chain_queries, segment_queries, space_queries  # noqa: F401  importing registers
 
 
 def queries() -> dict[str, Callable]:

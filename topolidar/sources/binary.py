@@ -49,6 +49,11 @@ def las_header(data: bytes) -> dict:
 def read_las_headers(spark: SparkSession, path: str) -> DataFrame:
     """A row of LAS_HEADER for each .las file under ``path``; of each file only its beginning goes to Python."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.las").load(path)
+    return las_headers(files.select("path", F.substring("content", 1, 1 << 16).alias("head")))
+
+
+def las_headers(files: DataFrame) -> DataFrame:
+    """A row of LAS_HEADER for each of ``files`` (path, head: its first bytes); one that is broken has an error."""
 
     def run(found):
         for pdf in found:
@@ -62,12 +67,37 @@ def read_las_headers(spark: SparkSession, path: str) -> DataFrame:
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in LAS_HEADER.split(", ")])
             yield out.astype({c: object for c in ("creation_date", "crs", "error")}).where(out.notna(), None)
 
-    return files.select("path", F.substring("content", 1, 1 << 16).alias("head")).mapInPandas(run, LAS_HEADER)
+    return files.select("path", "head").mapInPandas(run, LAS_HEADER)
 
 
 def read_las_points(spark: SparkSession, path: str, step: int = 10, most: int = 1 << 20) -> DataFrame:
-    """Every ``step``-th point of the uncompressed .las files under ``path``, in batches of ``most``; broken files give none."""
+    """Every ``step``-th point of the uncompressed .las files under ``path``; see las_points."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.las").load(path)
+    return las_points(files.select("path", "content"), step, most)
+
+
+def unreadable_las(spark: SparkSession, path: str) -> DataFrame:
+    """(file, error) of the .las files under ``path`` that las_points gives no points of: packed or broken ones."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.las").load(path)
+
+    def run(found):
+        for pdf in found:
+            faults = []
+            for name, head, size in zip(pdf["path"], pdf["head"], pdf["length"], strict=True):
+                try:
+                    h = las_header(bytes(head))
+                    fault = "packed" if h["packed"] else "cut short" if h["offset"] + h["n_points"] * h["length"] > size else None
+                except Exception as e:  # noqa: BLE001
+                    fault = str(e) or type(e).__name__
+                faults += [(name, fault)] if fault else []
+            yield pd.DataFrame(faults, columns=["file", "error"])
+
+    return files.select("path", F.substring("content", 1, 1 << 16).alias("head"), "length").mapInPandas(run, "file string, error string")
+
+
+def las_points(files: DataFrame, step: int = 10, most: int = 1 << 20) -> DataFrame:
+    """Every ``step``-th point of ``files`` (path, content), in batches of ``most``; packed and broken files give none, and are
+    told by unreadable_las."""
 
     def run(found):
         for pdf in found:
