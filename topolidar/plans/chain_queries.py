@@ -93,6 +93,33 @@ def las_headers(spark, sf_dir):
     return out.select("file_name", *(r(c, 2).alias(c) for c in ("x_min", "x_max", "y_min", "y_max", "z_min", "z_max")), "creation_date", "n_points", "crs")
 
 
+@query("gpkg_round_trip", "SELECT n_name, CAST(n_nationkey AS VARCHAR) AS nation, CAST(4326 AS INTEGER) AS srid, CAST(5 AS INTEGER) AS vertices, round(CAST(n_nationkey AS DOUBLE), 6) + 0.0 AS x, round(n_regionkey + 0.5::DOUBLE, 6) + 0.0 AS y FROM nation")
+def gpkg_round_trip(spark, sf_dir):
+    path = _fresh(spark, "layer") + ".gpkg"
+    n = table(spark, sf_dir, "nation")
+    x, y = F.col("n_nationkey").cast("double"), F.col("n_regionkey") + 0.5
+    ring = F.array(*(F.struct((x + a).alias("x"), (y + b).alias("y")) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1))))
+    tables.write_gpkg(n.select("n_name", F.col("n_nationkey").alias("nation"), ring.alias("ring")), path, "nations", 4326)
+    back = tables.read_gpkg(spark, path)
+    return back.select("n_name", "nation", "srid", F.size("ring").alias("vertices"), r(F.col("ring")[0]["x"]).alias("x"), r(F.col("ring")[0]["y"]).alias("y"))
+
+
+@query("rings_as_wkb", f"WITH {C_SQL} SELECT custkey, CAST(93 AS INTEGER) AS bytes, '01030000000100000005000000' AS head FROM c")
+def rings_as_wkb(spark, sf_dir):
+    ring = F.array(*(F.struct((F.col("lon") + a).alias("x"), (F.col("lat") + b).alias("y")) for a, b in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0))))
+    wkb = places(spark, sf_dir).select("custkey", tables.ring_wkb(ring).alias("w"))
+    return wkb.select("custkey", F.length("w").alias("bytes"), F.substring(F.lower(F.hex("w")), 1, 26).alias("head"))
+
+
+@query("gtx_geoid", f"WITH {C_SQL}, g AS (SELECT CAST(floor((lat - 85.25) / -0.5) AS INTEGER) AS i, CAST(floor((CASE WHEN lon < 0 THEN lon + 360 ELSE lon END + 0.25) / 0.5) AS INTEGER) AS j, custkey FROM c) SELECT custkey, CASE WHEN i BETWEEN 0 AND 339 AND j BETWEEN 0 AND 719 THEN round(CAST((339 - i) * 7 % 50 + j % 30 AS DOUBLE) / 4, 6) + 0.0 END AS geoid FROM g")
+def gtx_geoid(spark, sf_dir):
+    path = _fresh(spark, "geoid") + ".gtx"
+    i, j = np.mgrid[0:340, 0:720]
+    tables.put(spark, path, struct.pack(">4d2i", -84.5, 0.0, 0.5, 0.5, 340, 720) + ((i * 7 % 50 + j % 30) / 4).astype(">f4").tobytes())
+    grid, origin, step, right = binary.read_gtx(spark, path)
+    return geo.geoid_height(places(spark, sf_dir), grid, "lon", "lat", origin, step, right).select("custkey", r("geoid").alias("geoid"))
+
+
 @query("stacked", "SELECT 'c' AS kind, c_custkey AS id, c_acctbal AS balance, NULL AS name FROM customer UNION ALL SELECT 's', s_suppkey, NULL, s_name FROM supplier")
 def stacked(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.lit("c").alias("kind"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"))

@@ -119,14 +119,21 @@ def las_points(files: DataFrame, step: int = 10, most: int = 1 << 20) -> DataFra
 
 
 def read_gtx(spark: SparkSession, path: str) -> tuple[DataFrame, tuple[float, float], tuple[float, float], float]:
-    """(grid of row, col, value from the north; origin; step; right side) of a GTX geoid grid on the driver's disk."""
-    with open(path, "rb") as file:
-        data = file.read()
-    south, west, dy, dx, rows, cols = struct.unpack_from(">4d2i", data)
-    values = np.frombuffer(data, ">f4", count=rows * cols, offset=40).reshape(rows, cols)[::-1].astype(float)
-    row, col = np.divmod(np.arange(rows * cols), cols)
-    pdf = pd.DataFrame({"row": row.astype(np.int32), "col": col.astype(np.int32), "value": values.ravel()})
-    grid = spark.createDataFrame(pdf[pdf["value"] > -88.88])  # the format's mark for no value
+    """(grid of row, col, value from the north; origin; step; right side) of a GTX geoid grid. The driver reads its 40 first
+    bytes, an executor the values, a few rows of the grid at a time."""
+    files = spark.read.format("binaryFile").load(path)
+    south, west, dy, dx, rows, cols = struct.unpack(">4d2i", files.select(F.substring("content", 1, 40)).first()[0])
+
+    def run(found):
+        for pdf in found:
+            for content in pdf["content"]:
+                values = np.frombuffer(content, ">f4", count=rows * cols, offset=40).reshape(rows, cols)[::-1]
+                for at in range(0, rows, max(1, (1 << 18) // cols)):
+                    part = values[at : at + max(1, (1 << 18) // cols)].astype(float)
+                    row, col = np.divmod(np.arange(part.size), cols)
+                    yield pd.DataFrame({"row": (row + at).astype(np.int32), "col": col.astype(np.int32), "value": part.ravel()})
+
+    grid = files.select("content").mapInPandas(run, "row int, col int, value double").where("value > -88.88")  # the format's mark for no value
     return grid, (west - dx / 2, south + (rows - 0.5) * dy), (dx, -dy), west + (cols - 0.5) * dx
 
 

@@ -7,6 +7,10 @@ import sqlite3
 import struct
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,14 +50,18 @@ def edges_json(df: DataFrame, path: str, by: Sequence[str], mode: str = "overwri
 
 
 def ring_wkb(ring: Column) -> Column:
-    """A ring as the bytes of a polygon in well-known binary, closed if it is open."""
-
-    @F.udf("binary")
-    def run(points):
-        if not points:
-            return None
-        points = [*points, points[0]] if tuple(points[0]) != tuple(points[-1]) else points
-        return struct.pack("<BIII", 1, 3, 1, len(points)) + b"".join(struct.pack("<dd", p["x"], p["y"]) for p in points)
+    """A ring as the bytes of a polygon in well-known binary, closed if it is open; NULL for a null or empty one."""
+
+    @F.arrow_udf("binary")
+    def run(rings: pa.Array) -> pa.Array:
+        flat = rings.flatten()
+        xy = np.column_stack([flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1)]).astype("<f8")
+        ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(rings), 0).to_pylist()]).tolist()
+        out = []
+        for a, b in zip(ends, ends[1:], strict=False):
+            points = xy[a:b] if a == b or (xy[a] == xy[b - 1]).all() else np.vstack((xy[a:b], xy[a]))
+            out.append(struct.pack("<BIII", 1, 3, 1, len(points)) + points.tobytes() if len(points) else None)
+        return pa.array(out, pa.binary())
 
     return run(ring)
 
@@ -95,30 +103,64 @@ def _wkb_of(blob: bytes) -> bytes:
     return blob[8 + {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}[(blob[3] >> 1) & 7] :]
 
 
-def read_gpkg(spark: SparkSession, path: str, layer: str | None = None) -> DataFrame:
-    """A vector layer of a GeoPackage on the driver's disk: its columns as text, ring and srid; a row for each polygon."""
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-        layer = layer or db.execute("SELECT table_name FROM gpkg_contents WHERE data_type = 'features' ORDER BY table_name").fetchone()[0]
-        geom, srid = db.execute("SELECT column_name, srs_id FROM gpkg_geometry_columns WHERE table_name = ?", (layer,)).fetchone()
-        found = db.execute(f'SELECT * FROM "{layer}"')
-        names = [c[0] for c in found.description]
-        rows = []
-        for values in found:
-            row = dict(zip(names, values, strict=True))
-            blob = row.pop(geom)
-            for ring in polygon_rings(_wkb_of(blob)) if blob else []:
-                rows.append((json.dumps({k: v for k, v in row.items() if not isinstance(v, bytes)}), [{"x": x, "y": y} for x, y in ring], srid))
-    df = spark.createDataFrame(rows, f"properties string, ring {RING}, srid int")
+def _database(content: bytes) -> sqlite3.Connection:
+    db = sqlite3.connect(":memory:")
+    db.deserialize(content)
+    return db
+
+
+def read_gpkg(spark: SparkSession, path: str, layer: str | None = None, most: int = 10_000) -> DataFrame:
+    """A vector layer of the GeoPackage at ``path``: its columns as text, ring and srid; a row for each polygon. An executor
+    reads the file, in batches of ``most`` rows; the driver learns the names of the columns only."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def described(content: bytes):
+        db = _database(content)
+        name = layer or db.execute("SELECT table_name FROM gpkg_contents WHERE data_type = 'features' ORDER BY table_name").fetchone()[0]
+        geom, srid = db.execute("SELECT column_name, srs_id FROM gpkg_geometry_columns WHERE table_name = ?", (name,)).fetchone()
+        found = db.execute(f'SELECT * FROM "{name}"')
+        return found, [c[0] for c in found.description], geom, srid
+
+    def head(found):
+        for pdf in found:
+            yield pd.DataFrame([(names, geom) for _, names, geom, _ in map(described, pdf["content"])], columns=["names", "geom"])
+
+    def run(found):
+        for pdf in found:
+            for content in pdf["content"]:
+                cursor, names, geom, srid = described(content)
+                while part := cursor.fetchmany(most):
+                    rows = []
+                    for values in part:
+                        row = dict(zip(names, values, strict=True))
+                        blob = row.pop(geom)
+                        kept = json.dumps({k: v for k, v in row.items() if not isinstance(v, bytes)})
+                        rows += [(kept, [{"x": x, "y": y} for x, y in ring], srid) for ring in (polygon_rings(_wkb_of(blob)) if blob else [])]
+                    yield pd.DataFrame(rows, columns=["properties", "ring", "srid"])
+
+    names, geom = files.mapInPandas(head, "names array<string>, geom string").first()
+    df = files.mapInPandas(run, f"properties string, ring {RING}, srid int")
     return df.select(*(F.get_json_object("properties", f"$['{n}']").alias(n) for n in names if n != geom), "ring", "srid")
 
 
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write bytes to a path of any file system that Spark knows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def write_gpkg(df: DataFrame, path: str, layer: str, srid: int, most: int = 1_000_000) -> None:
-    """A table with ring to a GeoPackage on the driver's disk, for exchange; larger tables belong in Parquet, with ring_wkb."""
+    """A table with ring to a GeoPackage of one layer, for exchange. A GeoPackage is one database made by one writer; tables of
+    more than ``most`` rows belong in Parquet, with ring_wkb, and raise."""
     rows = df.limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} rows: write Parquet instead")
     names = [c for c in df.columns if c != "ring"]
-    with sqlite3.connect(path) as db:
+    with sqlite3.connect(":memory:") as db:
         db.execute("PRAGMA application_id = 1196444487")
         db.execute("CREATE TABLE IF NOT EXISTS gpkg_spatial_ref_sys (srs_name TEXT NOT NULL, srs_id INTEGER PRIMARY KEY, organization TEXT NOT NULL, organization_coordsys_id INTEGER NOT NULL, definition TEXT NOT NULL, description TEXT)")
         db.execute("CREATE TABLE IF NOT EXISTS gpkg_contents (table_name TEXT PRIMARY KEY, data_type TEXT NOT NULL, identifier TEXT UNIQUE, description TEXT DEFAULT '', last_change DATETIME DEFAULT CURRENT_TIMESTAMP, min_x DOUBLE, min_y DOUBLE, max_x DOUBLE, max_y DOUBLE, srs_id INTEGER)")
@@ -132,3 +174,5 @@ def write_gpkg(df: DataFrame, path: str, layer: str, srid: int, most: int = 1_00
             ring = [*ring, ring[0]] if ring[0] != ring[-1] else ring
             blob = b"GP\x00\x01" + struct.pack("<i", srid) + struct.pack("<BIII", 1, 3, 1, len(ring)) + b"".join(struct.pack("<dd", *p) for p in ring)
             db.execute(f'INSERT INTO "{layer}" (geom{"".join(f", {chr(34)}{n}{chr(34)}" for n in names)}) VALUES ({", ".join("?" * (len(names) + 1))})', [blob, *(row[n] for n in names)])
+        db.commit()
+        put(df.sparkSession, path, db.serialize())
