@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from topolidar.functions import geo
+from topolidar.functions import crs, geo
 from topolidar.operators import labels, ordered, profile, reshape, spatial
 from topolidar.plans import pipelines
 from topolidar.plans.inputs import C_SQL, E_SQL, V_SQL, events, places, points, r, table
@@ -285,3 +285,60 @@ def track_line(spark, sf_dir):
     line = spatial.track_line(points(spark, sf_dir).select("label", F.col("y").alias("alongtrack"), "x", F.col("z").alias("y")), ["label"], res=10.0)
     total = F.aggregate(F.transform("line", lambda p: p["x"]), F.lit(0.0), lambda s, v: s + v)
     return line.select("label", F.size("line").cast("long").alias("vertices"), r(F.element_at("line", 1)["at"]).alias("first"), r(total).alias("xs"))
+
+
+# Coordinate systems.
+
+
+def _conic_sql(code: int) -> str:
+    """Easting and northing in US feet from lon and lat, by the formulas of a conic projection with two parallels."""
+    system = crs.parse_crs(f"EPSG:{code}")
+    e2 = geo.FLATTENING_NAD * (2 - geo.FLATTENING_NAD)
+    e = f"sqrt({e2!r})"
+    m = lambda p: f"(cos(radians({p})) / sqrt(1 - {e2!r} * pow(sin(radians({p})), 2)))"
+    t = lambda p: f"(tan(pi() / 4 - radians({p}) / 2) / pow((1 - {e} * sin(radians({p}))) / (1 + {e} * sin(radians({p}))), {e} / 2))"
+    a, b = (repr(p) for p in system.parallels)
+    n = f"((ln{m(a)} - ln{m(b)}) / (ln{t(a)} - ln{t(b)}))"
+    scale = f"({geo.A_NAD!r}::DOUBLE * {m(a)} / ({n} * pow({t(a)}, {n})))"
+    rho = lambda p: f"({scale} * pow({t(p)}, {n}))"
+    theta = f"({n} * radians(lon - ({system.origin[0]!r})))"
+    return f"round(({system.false[0]!r}::DOUBLE + {rho('lat')} * sin({theta})) * 3937 / 1200, 2) + 0.0 AS x, round(({system.false[1]!r}::DOUBLE + {rho(repr(system.origin[1]))} - {rho('lat')} * cos({theta})) * 3937 / 1200, 2) + 0.0 AS y"
+
+
+@query("conic_project", f"WITH {C_SQL} SELECT custkey, {_conic_sql(8716)} FROM c WHERE lat > -60")
+def conic_project(spark, sf_dir):
+    x, y = crs.project(crs.parse_crs("EPSG:8716"), F.col("lon"), F.col("lat"))
+    return places(spark, sf_dir).where("lat > -60").select("custkey", r(x, 2).alias("x"), r(y, 2).alias("y"))
+
+
+@query("mercator_project", f"WITH {C_SQL} SELECT custkey, round(6378137.0::DOUBLE * radians(lon), 3) + 0.0 AS x, round(6378137.0::DOUBLE * ln(tan(pi() / 4 + radians(lat) / 2)), 3) + 0.0 AS y FROM c")
+def mercator_project(spark, sf_dir):
+    out = crs.reproject(places(spark, sf_dir), "EPSG:4326", "EPSG:3857", "lon", "lat")
+    return out.select("custkey", r("lon", 3).alias("x"), r("lat", 3).alias("y"))
+
+
+@query("reproject_there_and_back", f"WITH {C_SQL} SELECT custkey, round(lat, 6) + 0.0 AS lat, round(lon, 6) + 0.0 AS lon, round(CAST(custkey % 500 AS DOUBLE), 4) + 0.0 AS h FROM c WHERE lat BETWEEN 0 AND 70")
+def reproject_there_and_back(spark, sf_dir):
+    """Degrees on NAD83 to a conic system in feet, to Web Mercator and back to NAD83, with heights over a sloping geoid."""
+    i, j = F.col("i"), F.col("j")
+    grid = spark.range(181).select(F.col("id").cast("int").alias("i")).crossJoin(spark.range(361).select(F.col("id").cast("int").alias("j"))).select(i.alias("row"), j.alias("col"), ((i + j) / 10.0).alias("value"))
+    geoid = (grid, (-180.5037, 90.5037), (1.0, -1.0), 180.4963)  # no point lies on a cell's side
+    at = places(spark, sf_dir).where("lat between 0 and 70").withColumn("h", (F.col("custkey") % 500).cast("double"))
+    conic = crs.reproject(at, "EPSG:4269", "EPSG:8716", "lon", "lat", "h", target_geoid=geoid)
+    flat = crs.reproject(conic.withColumn("h", F.col("h") / crs.US_FOOT), "EPSG:8716", "EPSG:3857", "lon", "lat", "h", z_unit=crs.US_FOOT, source_geoid=geoid)
+    back = crs.reproject(flat, "EPSG:3857", "EPSG:4269", "lon", "lat", "h")
+    # The shift back is one with negated parameters: good to some tenths of a millimetre, which the rounding hides but for heights.
+    return back.select("custkey", r("lat").alias("lat"), r("lon").alias("lon"), (F.round("h", 1) + 0.0).alias("h"))
+
+
+@query("region_points", f"WITH {V_SQL}, {_TILES}, t AS (SELECT vec_id AS target_id, x AS tx, y AS ty FROM v WHERE vec_id % 50 = 0) SELECT target_id, count(*) AS n, round(avg(z * 1200 / 3937), 6) + 0.0 AS z FROM t JOIN v ON sqrt(pow(tx - x, 2) + pow(ty - y, 2)) < 2 GROUP BY target_id")
+def region_points(spark, sf_dir):
+    """Points of a cloud in UTM within two metres of targets in degrees; heights in feet."""
+    system = crs.parse_crs("EPSG:32610")
+    x, y = F.col("x") + 500_000, F.col("y") + 4_000_000
+    v = points(spark, sf_dir)
+    lon, lat = crs.unproject(system, x, y)
+    targets = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("target_id"), lon.alias("lon"), lat.alias("lat"))
+    cloud = v.select(x.alias("px"), y.alias("py"), "z", F.col("label").alias("classification"))
+    found = pipelines.region_points(targets, cloud, "EPSG:32610", "EPSG:4326", radius=2.0, z_unit=crs.US_FOOT)
+    return found.groupBy("target_id").agg(F.count(F.lit(1)).alias("n"), r(F.avg("z")).alias("z"))

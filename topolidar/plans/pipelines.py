@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from topolidar.functions import geo, geometry, rules
+from topolidar.functions import crs, geo, geometry, rules
 from topolidar.operators import edges, labels, offset, ordered, reshape, segments, spatial
 from topolidar.sources import scratch
 
@@ -81,6 +81,20 @@ def topobathy(photons: DataFrame, swath: DataFrame | None = None, res: float = 2
     return own
 
 
+def region_points(targets: DataFrame, cloud: DataFrame, source: str, target: str, radius: float = 6.0, z_unit: float = 1.0, geoid: tuple | None = None) -> DataFrame:
+    """(target_id, px, py, z, classification): the points of a cloud (px, py, z in the ``source`` system) within ``radius``
+    metres of each target (target_id, lon, lat), in the ``target`` system; heights over the ellipsoid if a geoid is given."""
+    system = crs.parse_crs(source)
+    x, y = crs.project(system, F.col("lon"), F.col("lat"))
+    met = spatial.within_radius(targets.select("target_id", x.alias("x"), y.alias("y")), cloud, radius / system.unit)
+    return crs.reproject(met.select("target_id", "px", "py", "z", "classification"), source, target, "px", "py", "z", z_unit, source_geoid=geoid)
+
+
+def swath_and_heights(points: DataFrame, tiles: DataFrame, track: DataFrame, by: Sequence[str] = BY, buffer: float = 100.0, limit: float = 25.0, res: float = 100.0, step: int = 10, **heights) -> DataFrame:
+    """The swath of each track with its heights: lidar_swath, then lidar_heights with what is given for it."""
+    return lidar_heights(lidar_swath(points, tiles, track, by, buffer, limit, res, step), by, **heights)
+
+
 def land_alongtrack(land: DataFrame, geosegments: DataFrame | None, by: Sequence[str] = BY, metres=geo.vincenty) -> DataFrame:
     """``land`` with alongtrack: the start of the first geolocation segment and half the length of all of them; without such
     segments the running sum of ``metres`` between neighbouring centroids, which falls short of the orbit's path."""
