@@ -7,10 +7,12 @@ from functools import reduce
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from topolidar.llm import shared
 from topolidar.llm.batches import map_texts, texts
@@ -21,6 +23,8 @@ SEED = 42
 #: Fingerprints of a tile that goes between machines, and of one that is compared at a time.
 TILE = 1024
 INNER = 256
+#: Texts of a group that a round judges among themselves, and those that a task holds against what stays of them.
+FIRST, PART = 128, 2_000
 #: Groups of bits that fingerprints must share to meet. With a radius of four these are 70 ways to share 32 bits.
 TOGETHER = 4
 
@@ -195,15 +199,47 @@ def shingles(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in some), np.uint64))
 
 
+def _shared_counts(rows: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of ``rows`` shares with each of ``others``, sets of distinct numbers."""
+    values, owner = np.concatenate(others), np.repeat(np.arange(len(others)), [len(x) for x in others])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    out = np.zeros((len(rows), len(others)), np.int64)
+    for i, x in enumerate(rows):
+        first, last = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
+        sizes = last - first
+        at = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        out[i] = np.bincount(owner[at], minlength=len(others))
+    return out
+
+
+def alike(rows: list[np.ndarray], others: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of ``rows`` have a Jaccard similarity of ``similarity`` or more with any of ``others``."""
+    if not rows or not others:
+        return np.zeros(len(rows), bool)
+    both = _shared_counts(rows, others)
+    union = np.array([len(x) for x in rows])[:, None] + np.array([len(x) for x in others])[None] - both
+    return ((both > 0) & (both >= similarity * union)).any(axis=1)
+
+
+def in_turn(rows: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of ``rows`` stay: in their order, each that resembles none that stays."""
+    stay = np.zeros(len(rows), bool)
+    for i, x in enumerate(rows):
+        stay[i] = not alike([x], [rows[j] for j in np.flatnonzero(stay[:i])], similarity)[0]
+    return stay
+
+
 def near_duplicates(df: DataFrame, words: int = 5, radius: int = 6, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", together: int = 3) -> DataFrame:
     """(doc_id, mark, stays): which rows of ``df`` repeat another one and go, by doc_id and ``mark``, a hash of the text;
     ``stays``: of several rows with this id and text one stays.
 
-    Candidates are what links of fingerprints at most ``radius`` bits apart connect. Of each such group the text with the
-    smallest id stays (a null id comes last; of one id the smallest mark), and those go whose shingle sets have a Jaccard
-    similarity of ``similarity`` or more with it. What is left of the group is judged again in the next round, without what
-    stayed or went: there are as many rounds as texts of one group that stay. Equal texts count as one, of the smallest id;
-    a null text counts as empty. Texts without words are similar to none. An empty table gives no rows.
+    Candidates are what links of fingerprints at most ``radius`` bits apart connect. In each such group texts are judged by
+    id (a null id comes last; those of one id by mark): one goes if its shingle set has a Jaccard similarity of
+    ``similarity`` or more with one that stays. A round judges the first of each group among themselves, and holds the
+    others, in salted parts, against those that stay; what neither stays nor goes is left for the next. Rounds grow with the
+    texts of one group that stay, by FIRST of them for each. Equal texts count as one, of the smallest id; a null text
+    counts as empty. Texts without words are similar to none. An empty table gives no rows.
     """
     last = F.lit(2**63 - 1)
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), last).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -215,11 +251,11 @@ def near_duplicates(df: DataFrame, words: int = 5, radius: int = 6, similarity:
 
     docs = shared.written(map_texts(rows, "id long, fp long", step, "id", "text", ["mark"]), "fingerprints")
     # Rows of equal texts are one: the first id stays for all of them.
-    alike = docs.groupBy("fp", "mark").agg(F.min("id").alias("id"))
-    distinct = alike.select("fp").distinct()
+    one = docs.groupBy("fp", "mark").agg(F.min("id").alias("id"))
+    distinct = one.select("fp").distinct()
     rooted = _rooted(distinct, radius, together).where("linked").select("fp", "root")
-    single = alike.groupBy("fp").count().where("count > 1").select("fp", F.col("fp").alias("own"))
-    groups = alike.join(rooted, "fp", "left").join(single, "fp", "left").withColumn("root", F.coalesce("root", "own")).where("root is not null")
+    single = one.groupBy("fp").count().where("count > 1").select("fp", F.col("fp").alias("own"))
+    groups = one.join(rooted, "fp", "left").join(single, "fp", "left").withColumn("root", F.coalesce("root", "own")).where("root is not null")
     groups = shared.written(groups.select("root", "id", "mark"), "groups")
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -230,32 +266,42 @@ def near_duplicates(df: DataFrame, words: int = 5, radius: int = 6, similarity:
 
     some = rows.join(groups.select("id", "mark"), ["id", "mark"], "left_semi")
     hashed = map_texts(some, "id long, shingles array<long>", sets, "id", "text", ["mark"]).dropDuplicates(["id", "mark"])
-    left = shared.written(hashed.join(groups, ["id", "mark"]).select("root", "id", "mark", "shingles"), "shingles")
-    gone = []
+    sizes = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / PART).alias("n"))
+    left = hashed.join(groups, ["id", "mark"]).join(sizes, "root").withColumn("salt", F.pmod(F.xxhash64("id", "mark"), F.col("n")))
+    left = shared.written(left.select("root", "salt", "n", "id", "mark", "shingles"), "shingles")
+    gone: list[DataFrame] = []
 
-    def judge(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in found:
-            same = []
-            for a, b in zip(batch.column("shingles"), batch.column("first"), strict=True):
-                x, y = (v.values.to_numpy(zero_copy_only=False) for v in (a, b))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                same.append(both >= similarity * (len(x) + len(y) - both) and both > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(same, pa.bool_())], names=["id", "mark", "same"])
+    def first_ones(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["id", "mark"])
+        return pdf[["root", "id", "mark"]].assign(stays=in_turn(list(pdf["shingles"]), similarity))
+
+    def others(rest: pd.DataFrame, stay: pd.DataFrame) -> pd.DataFrame:
+        return rest[["id", "mark"]].assign(same=alike(list(rest["shingles"]), list(stay["shingles"]), similarity))
 
     while not left.isEmpty():
-        first = left.groupBy("root").agg(F.min(F.struct("id", "mark")).alias("m")).select("root", "m.*")
-        held = left.join(first, ["root", "id", "mark"]).select("root", F.col("shingles").alias("first"), F.col("id").alias("own"), F.col("mark").alias("own_mark"))
-        rest = left.join(held, "root").where("id <> own or mark <> own_mark").select("id", "mark", "shingles", "first")
-        judged = shared.written(rest.mapInArrow(judge, "id long, mark long, same boolean"), "judged")
-        gone.append(judged.where("same").select("id", "mark"))
-        following = shared.written(left.join(judged.where("not same").select("id", "mark"), ["id", "mark"]).select(left.columns), "shingles")
-        shared.drop(left.sparkSession, left)
+        in_part, in_group = (Window.partitionBy(*by).orderBy("id", "mark") for by in (("root", "salt"), ("root",)))
+        heads = left.select("root", "salt", "id", "mark").withColumn("k", F.row_number().over(in_part)).where(F.col("k") <= FIRST)
+        heads = shared.written(heads.withColumn("k", F.row_number().over(in_group)).where(F.col("k") <= FIRST).select("root", "id", "mark"), "heads")
+        judged = left.join(heads, ["root", "id", "mark"]).groupBy("root").applyInPandas(first_ones, "root long, id long, mark long, stays boolean")
+        judged = shared.written(judged, "judged")
+        gone.append(judged.where("not stays").select("id", "mark"))
+        rest = left.join(heads, ["root", "id", "mark"], "left_anti")
+        following = left.limit(0)
+        if not rest.select("id").isEmpty():
+            stay = left.join(judged.where("stays").select("root", "id", "mark"), ["root", "id", "mark"])
+            # Written, as both sides come from one table; a copy for each part.
+            stay = shared.written(stay.select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("salt"), "shingles"), "stay")
+            found = rest.groupBy("root", "salt").cogroup(stay.groupBy("root", "salt")).applyInPandas(others, "id long, mark long, same boolean")
+            found = shared.written(found, "judged")
+            gone.append(found.where("same").select("id", "mark"))
+            following = shared.written(left.join(found.where("not same").select("id", "mark"), ["id", "mark"], "left_semi"), "shingles")
+            shared.drop(left.sparkSession, left)
         left = following
     # Of equal texts the rows of the first id stay, or one of them; none does if the text goes.
     counted = docs.groupBy("fp", "mark", "id").agg(F.count(F.lit(1)).alias("rows"))
     firsts = counted.groupBy("fp", "mark").agg(F.min("id").alias("first"), F.sum("rows").alias("all")).where("all > 1").drop("all")
     repeated = counted.join(firsts, ["fp", "mark"]).where("id <> first or rows > 1").withColumn("stays", F.col("id") == F.col("first"))
     if gone:
-        whole = reduce(DataFrame.union, gone).join(alike, ["id", "mark"]).select("fp", "mark")
+        whole = reduce(DataFrame.union, gone).join(one, ["id", "mark"]).select("fp", "mark")
         repeated = repeated.join(whole, ["fp", "mark"], "left_anti").select("id", "mark", "stays").union(counted.join(whole, ["fp", "mark"], "left_semi").select("id", "mark", F.lit(False)))
     return repeated.select(F.nullif("id", last).alias("doc_id"), "mark", "stays")
