@@ -1,7 +1,7 @@
 """Benchmark decontamination with a distributed positional inverted index, in DataFrame functions only.
 
 The index holds postings (term, document, place) of every term that the benchmark has, in segments that are made where the
-documents are read, each in the order of its terms. A benchmark window is looked up from its rarest term on: the postings of
+documents are read. A benchmark window is looked up from its rarest term on: the postings of
 the rarest one give candidates, those of the second rarest at its offset leave few of them, and these are then intersected
 with the postings of all other terms at their offsets.
 """
@@ -52,12 +52,12 @@ def terms_of(items: DataFrame) -> DataFrame:
 def build_index(docs: DataFrame, terms: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """(t, row, pos, doc_id, n_words, keep): a posting for each place, from 1 on, of a document's word that is a term, and one
     DOCUMENT row for each document, which alone has the last columns. ``row`` tells rows with equal or null ids apart.
-    Documents are read once; each task writes a segment, sorted by term."""
+    Documents are read once, and each task writes a segment as it reads them."""
     found = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("w"), *keep)
     found = found.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), *keep, F.posexplode(F.concat(F.array(F.lit("")), "w")).alias("pos", "term"))
     of_document = lambda c: F.when(F.col("pos") == 0, F.col(c)).alias(c)
     found = found.join(_small(terms), "term").select("t", "row", "pos", *(of_document(c) for c in ("doc_id", "n_words", *keep)))
-    return shared.written(found.sortWithinPartitions("t"), "index")
+    return shared.written(found, "index")
 
 
 def windows_of(items: DataFrame, terms: DataFrame, index: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
