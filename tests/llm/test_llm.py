@@ -623,6 +623,24 @@ def test_repeats_like_brute_force():
             assert {p for s in got["repeats"][k] for p in range(s["start"], s["stop"])} == covered
 
 
+def test_base_counts_by_definition(spark, odd, docs):
+    import re
+
+    rows = [(i, t) for i, t, *_ in ODD] + sorted(docs.items()) + [(900, "a # b\n\na # b\n \x1ca\n\x0b\na # b"), (901, "x | y < z > $ % & * #"), (902, "one two three one two three"), (903, "\u8a9e \U0001f600\u00e9")]
+    got = Counter()
+    for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[(r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"])] += 1
+        assert not (r["base_failed"] and r["kept"])
+    want = Counter()
+    for i, t in rows:
+        w = [x for x in re.split("[\x20\x09-\x0D]+", t or "") if x]
+        lines = [x for x in (t or "").split("\n") if re.search("[^\x20\x09-\x0D]", x)]
+        triples = Counter(zip(w, w[1:], w[2:], strict=False))
+        again = {p for k in range(len(w) - 2) if triples[tuple(w[k : k + 3])] > 1 for p in (k, k + 1, k + 2)}
+        want[(i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(again), len(w) < 50 or 100 * len(again) > 50 * len(w))] += 1
+    assert got == want
+
+
 # all
 
 
