@@ -230,7 +230,7 @@ def in_turn(rows: list[np.ndarray], similarity: float) -> np.ndarray:
     return stay
 
 
-def near_duplicates(df: DataFrame, words: int = 5, radius: int = 6, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", together: int = 3) -> DataFrame:
+def near_duplicates(df: DataFrame, words: int = 5, radius: int = 6, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", together: int = TOGETHER) -> DataFrame:
     """(doc_id, mark, stays): which rows of ``df`` repeat another one and go, by doc_id and ``mark``, a hash of the text;
     ``stays``: of several rows with this id and text one stays.
 
