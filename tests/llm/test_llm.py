@@ -726,7 +726,7 @@ def test_near_duplicates_like_brute_force(spark):
     before = simhash.FIRST, simhash.PART
     try:
         for radius, simhash.FIRST, simhash.PART in ((6, *before), (20, *before), (20, 3, 7)):
-            gone = {r["doc_id"] for r in simhash.near_duplicates(df, radius=radius).collect()}
+            gone = {r["doc_id"] for r in simhash.near_duplicates(df, radius=radius, together=4 if radius < 10 else 2).collect()}
             assert sorted(set(texts) - gone) == sorted(brute_near(texts, 5, radius, 0.8)) and len(gone) > 20
     finally:
         simhash.FIRST, simhash.PART = before
