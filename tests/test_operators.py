@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from topolidar.functions import crs, geo, geometry, meta, rules
 from topolidar.functions.aggregates import Recipe
 from topolidar.operators import clusters, edges, labels, offset, ordered, profile, reshape, segments, spatial
+from topolidar.plans import registry
 
 
 def rows(df):
@@ -285,3 +286,26 @@ def test_utm_and_back_within_nanometres(spark):
     x, y = crs.project(system, F.col("lon"), F.col("lat"))
     for r in df.select("x", "y", lon.alias("lon"), lat.alias("lat")).select("x", "y", x.alias("u"), y.alias("v")).collect():
         assert abs(r["x"] - r["u"]) < 1e-8 and abs(r["y"] - r["v"]) < 1e-8
+
+
+def test_longitudes_beyond_a_cone_s_cut_come_back(spark):
+    conic = crs.parse_crs("EPSG:8716")
+    at = [-180.0, -150.0, -120.5, 0.0, 59.0, 60.0, 150.0, 173.51, 179.99, 180.0]
+    df = spark.createDataFrame([(v, 40.0) for v in at], "lon double, lat double")
+    x, y = crs.project(conic, F.col("lon"), F.col("lat"))
+    u, v = crs.project(conic, F.col("lon") - 360, F.col("lat"))
+    flat = df.select("lon", x.alias("x"), y.alias("y"), u.alias("u"), v.alias("v"))
+    lon, lat = crs.unproject(conic, F.col("x"), F.col("y"))
+    for r in flat.select("*", lon.alias("back"), lat.alias("lat")).collect():
+        assert abs((r["lon"] - r["back"] + 180) % 360 - 180) < 1e-9 and abs(r["back"]) <= 180 + 1e-9 and abs(r["lat"] - 40) < 1e-9
+        assert abs(r["x"] - r["u"]) < 1e-4 and abs(r["y"] - r["v"]) < 1e-4
+    lon, _ = crs.unproject(crs.parse_crs("EPSG:32660"), F.lit(900_000.0), F.lit(4e6))
+    assert -180 < spark.range(1).select(lon.alias("lon")).first()["lon"] < -178
+
+
+def test_reprojection_at_the_antimeridian_equals_its_table(spark, tmp_path):
+    keys = [1519, 1541, 36000, 72000]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    want = [(k, k * 7919 % 16000 / 100 - 80, k * 104729 % 36000 / 100 - 180, float(k % 500)) for k in keys]
+    got = rows(registry.queries()["reproject_there_and_back"](spark, str(tmp_path)))
+    assert [tuple(round(v, 6) for v in r) for r in want] == got
