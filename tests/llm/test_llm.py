@@ -383,6 +383,21 @@ def test_links_and_components_like_brute_force(spark):
         assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
 
 
+def test_fingerprints_are_laid_out_by_many_tasks(spark):
+    fps = np.random.default_rng(5).integers(-(2**63), 2**63, 30_000)
+    df = spark.createDataFrame([(x,) for x in fps.tolist()], "fp long").coalesce(1)
+    store, none, gateway = spark.sparkContext._jsc.sc().statusStore(), spark._jvm.java.util.ArrayList(), spark.sparkContext._gateway
+
+    def stages():
+        found = store.stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)
+        return [found.apply(i) for i in range(found.size())]
+
+    before = {s.stageId() for s in stages()}
+    assert simhash.near_links(df, 4).count() == 0
+    of_a_task = [s.peakExecutionMemory() / max(s.numCompleteTasks(), 1) for s in stages() if s.stageId() not in before]
+    assert 0 < max(of_a_task) < 200 << 20  # bytes, for 2.1 million rows under masks out of one partition
+
+
 def test_fingerprint_by_definition():
     import xxhash
 

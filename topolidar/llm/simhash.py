@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
@@ -27,6 +28,8 @@ INNER = 256
 FIRST, PART = 128, 2_000
 #: Groups of bits that fingerprints must share to meet. With a radius of four these are 70 ways to share 32 bits.
 TOGETHER = 4
+#: Rows under masks that a task lays out, some 50 MB of them in its aggregate.
+LAID_OUT = 500_000
 
 
 def fingerprint(text: bytes, words: int) -> int:
@@ -146,24 +149,30 @@ def near_links(fps: DataFrame, radius: int = 4, tile: int = TILE, together: int
     Only fingerprints that agree under one of ``bit_masks`` meet in a tile: with the masks' many bits few do that aren't
     near, however many there are in all. Where more than ``tile`` agree, they are dealt by population count and a salt into
     tiles, and each pair of tiles whose counts are within the radius is a cell of its own: no task holds more than two tiles
-    of a value, and no pair is lost.
+    of a value, and no pair is lost. Fingerprints, few bytes in few tasks, are dealt out by their number first, as each gives a
+    row for every mask; rows that meet are written at once.
     """
     signed = lambda m: m - (1 << BITS) if m >> (BITS - 1) else m
-    masks = F.array(*(F.lit(signed(m)).cast("long") for m in bit_masks(radius, together)))
-    keyed = fps.select("fp", F.posexplode(masks).alias("block", "mask")).select("fp", F.bit_count("fp").alias("ones"), F.xxhash64("block", F.col("fp").bitwiseAND(F.col("mask"))).alias("value"))
-    sizes = keyed.groupBy("value", "ones").count()
-    hot = sizes.groupBy("value").agg(F.sum("count").alias("n"), F.map_from_entries(F.collect_list(F.struct("ones", F.ceil(F.col("count") / tile).cast("int").alias("salts")))).alias("salts"))
-    # Values that one fingerprint has alone make no pair and go no further. Never a broadcast: a table's size says nothing of
-    # what its rows are laid out to.
-    dealt = keyed.join(hot.where("n > 1").select("value", F.when(F.col("n") > tile, F.col("salts")).alias("salts")).hint("merge"), "value")
-    salt = F.pmod(F.xxhash64("fp"), F.col("salts")[F.col("ones")]).cast("int")
-    mine = F.struct(F.col("ones").alias("o"), salt.alias("s"))
-    near = F.filter(F.map_entries("salts"), lambda e: F.abs(e["key"] - F.col("ones")) <= radius)
-    tiles = F.flatten(F.transform(near, lambda e: F.transform(F.sequence(F.lit(0), e["value"] - 1), lambda s: F.struct(e["key"].alias("o"), s.alias("s")))))
-    other = F.explode(F.when(F.col("salts").isNotNull(), tiles).otherwise(F.array(F.struct(F.lit(0).alias("o"), F.lit(0).alias("s")))))
-    split = dealt.select("value", "fp", F.col("salts").isNotNull().alias("hot"), mine.alias("mine"), other.alias("other"))
-    cell = F.when(F.col("hot"), F.xxhash64("value", F.least("mine", "other"), F.greatest("mine", "other"))).otherwise(F.col("value"))
-    cells = split.select(cell.alias("cell"), F.when(F.col("hot"), (F.col("mine") > F.col("other")).cast("int")).otherwise(0).alias("side"), "fp")
+    some = bit_masks(radius, together)
+    masks = F.array(*(F.lit(signed(m)).cast("long") for m in some))
+    parts = max(1, math.ceil(fps.count() * len(some) / LAID_OUT))
+    keyed = fps.repartition(parts, "fp").select("fp", F.posexplode(masks).alias("block", "mask")).select("fp", F.xxhash64("block", F.col("fp").bitwiseAND(F.col("mask"))).alias("value"))
+    # Values that one fingerprint has alone, as most are, make no pair and go no further: only what is left is sized up for
+    # tiles. Never a broadcast: a table's size says nothing of what its rows are laid out to.
+    several = keyed.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = shared.written(keyed.join(several.hint("merge"), "value"), "meeting")
+    cells = met.where(F.col("n") <= tile).select(F.col("value").alias("cell"), F.lit(0).alias("side"), "fp")
+    hot = met.where(F.col("n") > tile).select("value", "fp", F.bit_count("fp").alias("ones"))
+    if not hot.isEmpty():
+        sizes = hot.groupBy("value", "ones").count()
+        salts = sizes.groupBy("value").agg(F.map_from_entries(F.collect_list(F.struct("ones", F.ceil(F.col("count") / tile).cast("int").alias("salts")))).alias("salts"))
+        salt = F.pmod(F.xxhash64("fp"), F.col("salts")[F.col("ones")]).cast("int")
+        mine = F.struct(F.col("ones").alias("o"), salt.alias("s"))
+        near = F.filter(F.map_entries("salts"), lambda e: F.abs(e["key"] - F.col("ones")) <= radius)
+        tiles = F.flatten(F.transform(near, lambda e: F.transform(F.sequence(F.lit(0), e["value"] - 1), lambda s: F.struct(e["key"].alias("o"), s.alias("s")))))
+        dealt = hot.join(salts.hint("merge"), "value").select("value", "fp", mine.alias("mine"), F.explode(tiles).alias("other"))
+        cell = F.xxhash64("value", F.least("mine", "other"), F.greatest("mine", "other"))
+        cells = cells.union(dealt.select(cell.alias("cell"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "fp"))
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_links(radius), "a long, b long").distinct()
 
 
@@ -252,7 +261,7 @@ def near_duplicates(df: DataFrame, words: int = 5, radius: int = 6, similarity:
     docs = shared.written(map_texts(rows, "id long, fp long", step, "id", "text", ["mark"]), "fingerprints")
     # Rows of equal texts are one: the first id stays for all of them.
     one = docs.groupBy("fp", "mark").agg(F.min("id").alias("id"))
-    distinct = one.select("fp").distinct()
+    distinct = shared.written(one.select("fp").distinct(), "distinct")
     rooted = _rooted(distinct, radius, together).where("linked").select("fp", "root")
     single = one.groupBy("fp").count().where("count > 1").select("fp", F.col("fp").alias("own"))
     groups = one.join(rooted, "fp", "left").join(single, "fp", "left").withColumn("root", F.coalesce("root", "own")).where("root is not null")
